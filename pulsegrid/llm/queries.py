@@ -7,13 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, toxicity
+from . import dedup, packing, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Where a file of the public tokenizers is; it must be there on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = tokens.counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.checked(packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
+    return packed.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.groups(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -26,6 +43,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_counts": op2_token_counts,
+    "op3_packing": op3_packing,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_toxicity": op10_toxicity,
 }
