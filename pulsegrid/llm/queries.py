@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, packing, tokens, toxicity
+from . import dedup, jaccard, packing, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), n=3, num=90, den=100).withColumnRenamed("id", "doc_id")
+
+
 def vocabulary(name: str) -> str:
     """Where a file of the public tokenizers is; it must be there on every executor."""
     import public_tokenizers
@@ -43,6 +47,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard": op1_jaccard,
     "op2_token_counts": op2_token_counts,
     "op3_packing": op3_packing,
     "op8_exact_dedup": op8_exact_dedup,
