@@ -175,7 +175,7 @@ def tiled(rows: DataFrame, num: int, den: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             key = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], 1)
-            bits = batch.column("bits").flatten().to_numpy().reshape(len(key), -1)
+            bits = batch.column("bits").flatten().to_numpy().view(np.uint64).reshape(len(key), -1)  # bits of signed numbers are counted of the absolute value
             part = (key, batch.column("id").to_numpy(), batch.column("root").to_numpy(), batch.column("n").to_numpy(), bits)
             whole = np.flatnonzero((key != key[-1]).any(1))  # what comes before the last tile, which may go on
             cut = int(whole[-1]) + 1 if len(whole) else 0
