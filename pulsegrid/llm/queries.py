@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, jaccard, packing, tokens, toxicity
+from . import dedup, jaccard, lm, packing, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return lm.scores(table(spark, sf_dir, "documents"), held_out).withColumnRenamed("id", "doc_id")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.groups(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard": op1_jaccard,
     "op2_token_counts": op2_token_counts,
     "op3_packing": op3_packing,
+    "op5_lm_scores": op5_lm_scores,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_toxicity": op10_toxicity,
 }
