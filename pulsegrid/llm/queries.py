@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dedup, jaccard, lm, packing, scratch, simhash, tokens, toxicity, urlrules
+from . import chat, dedup, jaccard, lm, packing, pieces, scratch, simhash, tokens, toxicity, urlrules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,20 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: ids and chunks, a CRC-32 of the ids, and code points and SHA-256 of the text decoded from them."""
+    path = vocabulary("piece_bpe_32k.model")
+    decoded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), path), path)
+    return decoded.select(
+        F.col("id").alias("doc_id"),
+        F.col("n_chunks").cast("long").alias("n_chunks"),
+        (F.octet_length("ids") / 4).cast("long").alias("n_ids"),
+        F.crc32("ids").alias("ids_crc32"),
+        F.length("text").cast("long").alias("decoded_chars"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
     return lm.scores(table(spark, sf_dir, "documents"), held_out).withColumnRenamed("id", "doc_id")
@@ -90,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard": op1_jaccard,
     "op2_token_counts": op2_token_counts,
     "op3_packing": op3_packing,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_lm_scores": op5_lm_scores,
     "op6_chat_format": op6_chat_format,
     "op7_fingerprints": op7_fingerprints,
