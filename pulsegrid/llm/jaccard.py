@@ -232,4 +232,4 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str
     final = scratch.written(final.unionByName(merged.select(F.col("root").alias("id"), F.col("top").alias("component"))), "final")
     out = made.select("id", "n", "sig").join(small(classes), "sig", "left").withColumn("rep", F.coalesce("rep", "id"))
     out = out.join(small(final.select(F.col("id").alias("rep"), "component")), "rep", "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
