@@ -61,11 +61,10 @@ def paths(nodes: DataFrame) -> DataFrame:
             break
         steps.append(far)
     leaves = ids.alias("l").join(steps[0].alias("r"), same("tree", "tree") & (F.col("l.node") == F.col("r.above")), "left_anti")
-    found = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("height"))
+    found = scratch.written(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("height")), "paths")
     for k in range(len(steps) - 1, -1, -1):
         up = found.alias("l").join(steps[k].alias("r"), same("tree", "tree") & (F.col("l.node") == F.col("r.node")))
-        found = found.unionByName(up.select("l.tree", "leaf", F.col("r.above").alias("node"), (F.col("height") + (1 << k)).alias("height")))
-    found = scratch.written(found, "paths")
+        found = scratch.written(found.unionByName(up.select("l.tree", "leaf", F.col("r.above").alias("node"), (F.col("height") + (1 << k)).alias("height"))), "paths")
     rooted = found.alias("l").join(steps[0].alias("r"), same("tree", "tree") & (F.col("l.node") == F.col("r.node")), "left_anti")
     ends = rooted.select("tree", "leaf").distinct()
     return found.alias("l").join(ends.alias("r"), same("tree", "tree") & (F.col("l.leaf") == F.col("r.leaf")), "left_semi")
@@ -73,6 +72,7 @@ def paths(nodes: DataFrame) -> DataFrame:
 
 def chosen(nodes: DataFrame, best: int = 1) -> DataFrame:
     """(tree, leaf, score, turns) of the ``best`` paths of each tree of ``nodes`` (tree, node, parent, role, text, score)."""
+    nodes = scratch.written(nodes.select("tree", "node", "parent", "role", "text", "score"), "nodes")
     on_path = paths(nodes.select("tree", "node", "parent"))
     told = nodes.select("tree", "node", "role", "text", F.coalesce(F.col("score"), F.lit(0.0)).alias("score"))
     same = F.col("l.tree").eqNullSafe(F.col("r.tree")) & (F.col("l.node") == F.col("r.node"))
