@@ -36,6 +36,7 @@ from . import textkernel as tk
 BITS = 256
 WORDS = BITS // 64
 RADIUS = 7
+_SEEDS = np.arange(1, WORDS + 1, dtype=np.uint64) * np.full(WORDS, 0x9E3779B97F4A7C15, np.uint64)
 
 
 def sketch(own: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -43,7 +44,7 @@ def sketch(own: np.ndarray, weight: np.ndarray) -> np.ndarray:
     votes = np.zeros(BITS, np.float64)
     for lo in range(0, len(own), 1 << 14):
         term, w = own[lo : lo + (1 << 14)], weight[lo : lo + (1 << 14)]
-        wide = np.stack([tk.mix(term + np.uint64(i + 1) * np.uint64(0x9E3779B97F4A7C15)) for i in range(WORDS)], 1)
+        wide = np.stack([tk.mix(term + seed) for seed in _SEEDS], 1)
         bits = np.unpackbits(wide.view(np.uint8), axis=1)
         votes += 2.0 * (w @ bits.astype(np.float32)) - w.sum()
     return np.packbits(votes > 0).view(np.uint64)
