@@ -124,11 +124,17 @@ def grids(x: np.ndarray, period: float, phases: np.ndarray):
     """(mean, sd, beats) of ``x`` on the grid of ``period`` at each phase."""
     beats = np.floor((len(x) - 1 - phases) / period).astype(np.int64) + 1
     most = max(1, int(beats.max(initial=0)))
-    v = at(x, phases[:, None] + np.arange(most) * period)
-    v[np.arange(most) >= beats[:, None]] = 0
+    where = phases[:, None] + np.arange(most) * period
+    i = np.minimum(where.astype(np.int32), len(x) - 1)  # all on the grid are inside
+    v = np.append(np.diff(x), 0.0)[i]
+    v *= where - i
+    v += x[i]
+    least = int(beats.min(initial=most))
+    if least < most:  # phases differ by a beat at most, unless the series is short
+        v[:, least:][np.arange(least, most) >= beats[:, None]] = 0
     n = np.maximum(beats, 1)
     mean = v.sum(1) / n
-    return mean, np.sqrt(np.maximum((v**2).sum(1) / n - mean**2, 0)), beats
+    return mean, np.sqrt(np.maximum(np.einsum("ij,ij->i", v, v) / n - mean**2, 0)), beats
 
 
 def missed(x: np.ndarray, fps: float, period: float, phase: float) -> float:
