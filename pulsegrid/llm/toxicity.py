@@ -169,15 +169,25 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
         share = min(1.0, 1.2 * most / n[label])
         part = rows.where((F.col("label") == label) & (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))).orderBy(F.xxhash64("id"), "id").limit(most)
         picked = part if picked is None else picked.unionByName(part)
-    got = picked.select("text", "label").mapInArrow(_bags, "label int, bucket array<int>, share array<float>").toArrow()
-    labels = got.column("label").to_numpy().astype(np.int64)
-    bucket, share = got.column("bucket").combine_chunks(), got.column("share").combine_chunks()
-    at = bucket.offsets.to_numpy()
-    flat, part = bucket.values.to_numpy(), share.values.to_numpy()
-    cut = lambda x: [x[a:b] for a, b in zip(at[:-1], at[1:])]
-    order = np.lexsort((np.array([int(x.sum(dtype=np.int64)) for x in cut(flat)]), labels))  # not as the rows came in
-    bags, shares = cut(flat), cut(part)
-    return train([bags[i] for i in order], [shares[i] for i in order], labels[order], n[1] / (n[0] + n[1]))
+    prior = n[1] / (n[0] + n[1])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bags, shares, labels = [], [], []
+        for batch in batches:
+            bucket, share = batch.column("bucket"), batch.column("share")
+            at = bucket.offsets.to_numpy()
+            bags += [bucket.values.to_numpy()[x:y] for x, y in zip(at, at[1:])]
+            shares += [share.values.to_numpy()[x:y] for x, y in zip(at, at[1:])]
+            labels.append(batch.column("label").to_numpy())
+        labels = np.concatenate(labels).astype(np.int64)
+        order = np.lexsort((np.array([int(x.sum(dtype=np.int64)) for x in bags]), labels))  # not as the rows came in
+        weight, bias = train([bags[i] for i in order], [shares[i] for i in order], labels[order], prior)
+        yield pa.RecordBatch.from_pydict({"weight": pa.array([weight.tobytes()], pa.binary()), "bias": [bias]})
+
+    # the sample is bounded, so one task holds it; the driver gets the model alone
+    bags = picked.select("text", "label").mapInArrow(_bags, "label int, bucket array<int>, share array<float>")
+    model = bags.repartition(1).mapInArrow(learn, "weight binary, bias double").first()
+    return np.frombuffer(bytes(model["weight"]), np.float32), model["bias"]
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, text_col: str = "text", into: str = "score") -> DataFrame:
