@@ -145,7 +145,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     best = F.max(F.struct("n_cp", F.col("id").isNotNull().alias("has"), (-F.col("id")).alias("neg"), (-F.col("pid")).alias("p"), (-F.col("seat")).alias("s")))
     copies = doubted.groupBy("sha").agg(F.count("*").alias("size"), best.alias("best")).where("size > 1")
     copies = copies.join(proven, "sha").where(F.assert_true(F.col("variants") == 1, F.lit("two texts with one SHA-256")).isNull())
-    found = seen.join(copies, "sha", "left")
+    copies = scratch.written(copies.select("sha", "size", "best"), "copies")  # read again, so that a hot sha's rows can be split
+    found = seen.join(F.broadcast(copies) if scratch.at_most(copies, BROADCAST_ROWS // 4) else copies, "sha", "left")
     alone = F.col("size").isNull()
     return found.select(
         F.col("id"),
