@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 REMEMBERED = 600_000
-JOINED = 2_000
+JOINED = 64
 _L = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 _N = "0-9²³¹¼-¾"
 _S = "\\t-\\r \u0085 "
@@ -90,9 +90,9 @@ class Counter:
     def learn(self, unknown: list[str]) -> None:
         if len(self.known) + len(unknown) > REMEMBERED + len(self.single):
             self.known = dict.fromkeys(self.single, 1)
-        for lo in range(0, len(unknown), JOINED):
-            part = unknown[lo : lo + JOINED]
-            stops = np.flatnonzero(self.ends[self.library.encode(" ".join(part), add_special_tokens=False).ids])
+        parts = [unknown[lo : lo + JOINED] for lo in range(0, len(unknown), JOINED)]
+        for part, got in zip(parts, self.library.encode_batch_fast([" ".join(x) for x in parts], add_special_tokens=False)):
+            stops = np.flatnonzero(self.ends[got.ids])
             assert len(stops) == len(part), "a pre-token was cut otherwise by the library"
             self.known.update(zip(part, np.diff(stops, prepend=-1).tolist()))
 
@@ -139,14 +139,14 @@ class Encoder:
         spaced, other = [], []
         for x in unknown:
             (spaced if _SPACED.fullmatch(x) else other).append(x)
-        for lo in range(0, len(spaced), JOINED):
-            part = spaced[lo : lo + JOINED]
-            ids = np.array(self.library.encode("".join(part), add_special_tokens=False).ids)
+        parts = [spaced[lo : lo + JOINED] for lo in range(0, len(spaced), JOINED)]
+        for part, got in zip(parts, self.library.encode_batch_fast(["".join(x) for x in parts], add_special_tokens=False)):
+            ids = np.array(got.ids)
             first = np.flatnonzero(self.starts[ids])
             assert len(first) == len(part), "a pre-token was cut otherwise by the library"
             raw, cut = ids.astype(self.dtype).tobytes(), [*(first * self.dtype.itemsize).tolist(), None]
             self.known.update((x, raw[a:b]) for x, a, b in zip(part, cut, cut[1:]))
-        for x, got in zip(other, self.library.encode_batch(other, add_special_tokens=False)):
+        for x, got in zip(other, self.library.encode_batch_fast(other, add_special_tokens=False)):
             self.known[x] = np.array(got.ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
