@@ -6,14 +6,15 @@ block of sorted keys and counts, so the exchange moves blocks, not rows.
 
 The model is a Bloom filter over pairs (n-gram, level): an n-gram seen c times is
 entered at the levels 1 to 1 + floor(log2 c), and its count is read back, to a factor
-of two, by probing level after level until one is missing.  The filter is built in
-shards by hash and has a proven size bound (MAX_BITS); if entries would crowd it, the
-count from which word pairs are entered rises.  Probability of a word w after v:
+of two, by probing level after level until one is missing.  The filter has 8 to 16
+bits an entry at any number of entries.  It is built and kept in shards by hash, never
+gathered: each block of texts sends its distinct words and pairs, 5 bytes each, to the
+shards' tasks and gets a level for each back.  Probability of a word w after v:
 
     lambda * c(v w) / c(v)  +  (1 - lambda) * (c(w) + 1) / (N + V + 1)
 
-with counts read from the filter and lambda set by expectation maximisation on a
-bounded sample of training texts, each count less one there (its own occurrence).
+with counts read from the filter and lambda set by expectation maximisation on SAMPLE
+training texts, each count less one there (its own occurrence).
 
 The base score needs exact counts.  Those of the most frequent words (HEAD at most)
 are broadcast; all others are joined to the texts' words by a shuffle in which no key
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,9 +41,14 @@ from . import textkernel as tk
 
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 SHARDS = 1024
-MAX_BITS = 1 << 28
 BITS_PER_ENTRY = 8
 HASHES = 3
+#: Bits of a key that the filter tells apart; the lowest, SHARDS' worth, are its shard.
+KEY_BITS, SHARD_BITS = 48, 10
+#: Groups of neighbouring shards, at least; a task holds one at a time, of 8 MB up to SHARDS of them.
+ROUTES, ROUTE_BITS = 256, 1 << 26
+#: Levels are below this.
+LEVELS = 64
 HEAD = 1 << 18
 FLUSH = 2_500_000
 #: Texts, in the order of a hash of their id, on which lambda is set.
@@ -132,23 +139,23 @@ def spots(key: np.ndarray, level: np.ndarray | int, bits: int) -> np.ndarray:
     """The HASHES bits of (key, level), inside the key's shard: (HASHES, n) places in the whole filter."""
     inside = np.uint64(bits // SHARDS - 1)
     shard = (key & np.uint64(SHARDS - 1)).astype(np.int64) * (bits // SHARDS)
-    h = tk.mix(key + np.asarray(level, np.uint64) * np.uint64(0xA0761D6478BD642F))
+    h = tk.mix((key & np.uint64((1 << KEY_BITS) - 1)) + np.asarray(level, np.uint64) * np.uint64(0xA0761D6478BD642F))
     step = (h >> np.uint64(32)) | np.uint64(1)
     return np.stack([((h + np.uint64(i) * step) & inside).astype(np.int64) + shard for i in range(HASHES)])
 
 
 class Filter:
-    """The log-frequency filter: ``levels`` reads back how high each key was entered."""
+    """The log-frequency filter, or its bits from ``base`` on: ``levels`` reads back how high each key was entered."""
 
-    def __init__(self, raw: np.ndarray, bits: int):
-        self.raw, self.bits = raw, bits
+    def __init__(self, raw: np.ndarray, bits: int, base: int = 0, top: int = LEVELS - 1):
+        self.raw, self.bits, self.base, self.top = raw, bits, base, top
 
     def levels(self, key: np.ndarray) -> np.ndarray:
         out = np.zeros(len(key), np.int64)
         live = np.arange(len(key))
         level = 1
-        while len(live):
-            at = spots(key[live], level, self.bits)
+        while len(live) and level <= self.top:
+            at = spots(key[live], level, self.bits) - self.base
             there = np.ones(len(live), bool)
             for row in at:
                 there &= (self.raw[row >> 3] >> (row & 7).astype(np.uint8)) & 1 > 0
@@ -158,20 +165,28 @@ class Filter:
         return out
 
 
+def address(key: np.ndarray) -> np.ndarray:
+    """What the filter tells apart of each key, its shard in the highest bits."""
+    high = np.uint64(KEY_BITS - SHARD_BITS)
+    return (key & np.uint64(SHARDS - 1)) << high | (key & np.uint64((1 << KEY_BITS) - 1)) >> np.uint64(SHARD_BITS)
+
+
+def at_address(at: np.ndarray) -> np.ndarray:
+    """The key of each address, as far as the filter tells keys apart."""
+    high = np.uint64(KEY_BITS - SHARD_BITS)
+    return (at & ((np.uint64(1) << high) - np.uint64(1))) << np.uint64(SHARD_BITS) | at >> high
+
+
 def count_at(level: np.ndarray) -> np.ndarray:
     """The middle of the counts that are entered up to ``level``; 0 for none."""
     return np.where(level > 0, (3 * np.exp2(level - 1.0) - 1) / 2, 0.0)
 
 
-def build(table: DataFrame) -> tuple[np.ndarray, int]:
-    """(bytes, bits) of the filter over ``table`` (pair, key, c): all words, and the pairs that fit its size."""
-    level = (F.floor(F.log2(F.col("c").cast("double"))) + 1).cast("int")
-    load = {(r["pair"], r["level"]): r["n"] for r in table.groupBy("pair", level.alias("level")).agg(F.count("*").alias("n")).collect()}  # at most 128 rows
-    entries = lambda least: sum(l * n for (pair, l), n in load.items() if not pair or l >= least)
-    least = 2
-    while least < 64 and entries(least) * BITS_PER_ENTRY > MAX_BITS:
-        least += 1
-    bits = min(MAX_BITS, max(1 << 20, 1 << int(entries(least) * BITS_PER_ENTRY).bit_length()))
+def build(table: DataFrame) -> tuple[DataFrame, int, int]:
+    """(shards, bits, top): the filter over ``table`` (pair, key, c) as a table (shard, raw), its size and its highest level."""
+    level = F.least(F.floor(F.log2(F.col("c").cast("double"))) + 1, F.lit(LEVELS - 1)).cast("int")
+    load = {r["level"]: r["n"] for r in table.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()}  # LEVELS rows at most
+    bits = max(1 << 20, 1 << (sum(l * n for l, n in load.items()) * BITS_PER_ENTRY).bit_length())
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, size = {}, bits // SHARDS
@@ -189,43 +204,114 @@ def build(table: DataFrame) -> tuple[np.ndarray, int]:
         if raw:
             yield pa.RecordBatch.from_arrays([pa.array([*raw], pa.int32()), pa.array([x.tobytes() for x in raw.values()], pa.binary())], ["shard", "raw"])
 
-    rows = table.where((F.col("pair") == 0) | (level >= least)).select("key", level.alias("level"))
-    parts = rows.repartition(F.col("key").bitwiseAND(F.lit(SHARDS - 1))).mapInArrow(shard, "shard int, raw binary").toArrow()  # MAX_BITS / 8 bytes at most
-    whole = np.zeros(bits // 8, np.uint8)
-    size = bits // SHARDS // 8
-    for s, raw in zip(parts.column("shard").to_pylist(), parts.column("raw")):
-        whole[s * size : (s + 1) * size] |= np.frombuffer(raw.as_buffer(), np.uint8)
-    return whole, bits
-
-
-def likelihood(filter_: Filter, tokens: np.ndarray, cut: np.ndarray, n: int, v: int, less: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(pair estimate, word estimate, word level) of each token; ``less`` is taken off every count."""
-    word, back = np.unique(tokens, return_inverse=True)
-    level = filter_.levels(word)
-    count = count_at(level)[back]
-    pair, there = np.unique(pairs(tokens, cut), return_inverse=True)
-    both = count_at(filter_.levels(pair))[there]
-    before = np.empty_like(count)
-    before[1:] = count[:-1]
-    before[cut[:-1]] = count_at(filter_.levels(np.array([END])))[0]
+    rows = table.select("key", level.alias("level"))
+    made = rows.repartition(F.col("key").bitwiseAND(F.lit(SHARDS - 1))).mapInArrow(shard, "shard int, raw binary")
+    return scratch.written(made, "filter"), bits, max(load, default=0)
+
+
+def blocked(rows: DataFrame) -> DataFrame:
+    """``rows`` (id, held_out, text) a block of texts a row: (block, id, held_out, cut, words, index), ``index`` the place of each token in ``words``.
+
+    ``block`` is the number of its first text.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for first, after, data, at in tk.blocks(batch.column("text")):
+                tokens, cut = chain(data, at)
+                words, index = np.unique(tokens, return_inverse=True)
+                whole = pa.array([0, after - first], pa.int32())
+                listed = [pa.ListArray.from_arrays(whole, batch.column(c)[first:after]) for c in ("id", "held_out")]
+                raw = [pa.array([x.tobytes()], pa.binary()) for x in (cut.astype("<i8"), words, index.astype("<u4"))]
+                yield pa.RecordBatch.from_arrays([pa.array([row]), *listed, *raw], ["block", "id", "held_out", "cut", "words", "index"])
+                row += after - first
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(pack, f"block long, id array<{kind}>, held_out array<boolean>, cut binary, words binary, index binary")
+
+
+def unpacked(cut: pa.Scalar, words: pa.Scalar, index: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(cut, words, index, pair of each token) of a row of ``blocked``."""
+    cut, words, index = (np.frombuffer(x.as_buffer(), kind) for x, kind in ((cut, "<i8"), (words, np.uint64), (index, "<u4")))
+    return cut, words, index, pairs(words[index], cut)
+
+
+def answered(blocks: DataFrame, shards: DataFrame, bits: int, top: int) -> DataFrame:
+    """(block, route, levels): the levels of a block's distinct words and pairs by address, a byte each, cut by route."""
+    routes = max(ROUTES, min(SHARDS, bits // ROUTE_BITS))
+    each = SHARDS // routes
+    span = np.uint64(KEY_BITS - (routes.bit_length() - 1))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, *raw in zip(*(batch.column(x) for x in ("block", "cut", "words", "index"))):
+                _, words, _, pair = unpacked(*raw)
+                at = np.unique(address(np.append(words, pair)))
+                route, first = np.unique(at >> span, return_index=True)
+                sent = at.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+                ends = [*first[1:].tolist(), len(at)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(route.astype(np.int32)), pa.array(np.full(len(route), block.as_py())), pa.array([sent[5 * a : 5 * b] for a, b in zip(first.tolist(), ends)], pa.binary())], ["route", "block", "raw"]
+                )
+
+    def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, known, size = -1, None, bits // SHARDS // 8
+        for batch in batches:
+            route, block, raw = batch.column("route").to_numpy(), batch.column("block").to_numpy(), batch.column("raw")
+            i = 0
+            while i < len(route):
+                if route[i] != here:
+                    here = int(route[i])
+                    known = Filter(np.zeros(size * each, np.uint8), bits, here * each * size * 8, top)
+                if block[i] < 0:
+                    at = (-1 - int(block[i]) - here * each) * size
+                    known.raw[at : at + size] |= np.frombuffer(raw[i].as_buffer(), np.uint8)
+                    i += 1
+                    continue
+                first, keys = i, []
+                while i < len(route) and route[i] == here and sum(map(len, keys)) < 1 << 20:
+                    keys.append(np.frombuffer(raw[i].as_buffer(), np.uint8))
+                    i += 1
+                wide = np.zeros((sum(map(len, keys)) // 5, 8), np.uint8)
+                wide[:, :5] = np.concatenate(keys).reshape(-1, 5)
+                at = wide.view("<u8").ravel() & ((np.uint64(1) << span) - np.uint64(1)) | np.uint64(here) << span
+                level = known.levels(at_address(at)).astype(np.uint8).tobytes()
+                ends = np.cumsum([0, *(len(k) // 5 for k in keys)]).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(block[first:i]), pa.array(route[first:i]), pa.array([level[a:b] for a, b in zip(ends, ends[1:])], pa.binary())], ["block", "route", "levels"])
+
+    asked = blocks.select("block", "cut", "words", "index").mapInArrow(ask, "route int, block long, raw binary")
+    parts = shards.select(F.floor(F.col("shard") / each).cast("int").alias("route"), (-1 - F.col("shard")).cast("long").alias("block"), "raw")
+    return parts.union(asked).repartition("route").sortWithinPartitions("route", "block").mapInArrow(reply, "block long, route int, levels binary")
+
+
+def likelihood(code: np.ndarray, n: int, v: int, less: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(pair estimate, word estimate) of tokens by their code: the levels of pair, word before and word; ``less`` is taken off every count."""
+    both, before, count = (count_at(code // by % LEVELS) for by in (LEVELS * LEVELS, LEVELS, 1))
     both = np.minimum(both, np.minimum(before, count))
     two = np.maximum(both - less, 0) / np.maximum(before - less, 1)
     one = (np.maximum(count - less, 0) + 1) / (n + v + 1)
-    return np.minimum(two, 1), one, level[back]
+    return np.minimum(two, 1), one
+
 
+def mixture(learned: DataFrame, n: int, v: int) -> float:
+    """Lambda by expectation maximisation over ``learned`` (codes, often), each count less the token's own."""
 
-def mixture(texts: list[str], filter_: Filter, n: int, v: int) -> float:
-    """Lambda by expectation maximisation, each count less the token's own."""
-    if not texts:
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(LEVELS**3, np.int64)
+        for batch in batches:
+            np.add.at(seen, batch.column("codes").flatten().to_numpy(), batch.column("often").flatten().to_numpy())
+        code = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(seen[code])], ["code", "n"])
+
+    found = learned.select("codes", "often").mapInArrow(tally, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toArrow()  # LEVELS ** 3 rows at most
+    if not len(found):
         return 0.0
-    found = []
-    for _, _, data, at in tk.blocks(pa.array(texts, pa.string())):
-        tokens, cut = chain(data, at)
-        found.append(likelihood(filter_, tokens, cut, n, v, less=1)[:2])
-    two, one = (np.concatenate(x) for x in zip(*found))
+    two, one = likelihood(found.column("code").to_numpy(), n, v, less=1)
+    often = found.column("n").to_numpy()
     share = 0.3
     for _ in range(30):
-        share = float(np.mean(share * two / (share * two + (1 - share) * one)))
+        share = float(np.average(share * two / (share * two + (1 - share) * one), weights=often))
     return share
 
 
@@ -238,7 +324,7 @@ def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     single = table.where("pair = 0")
     tally = single.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = tally["n"] or 0, tally["v"]
-    raw, bits = build(table)
+    shards, bits, top = build(table)
     step = F.floor(F.log2(F.col("c").cast("double")) * 8).cast("int")
     low, taken = None, 0
     for r in sorted(single.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):  # at most 512 rows
@@ -249,46 +335,75 @@ def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     head = single.where(step >= low).select("key", "c").toArrow() if low is not None else None  # HEAD rows at most
     key = head.column("key").to_numpy().view(np.uint64) if head else np.zeros(0, np.uint64)
     order = np.argsort(key)
-    sample = [r["text"] for r in rows.where("NOT held_out AND text IS NOT NULL").orderBy(F.xxhash64("id"), "id").select("text").limit(SAMPLE).collect()]
-    share = mixture(sample, Filter(raw, bits), n, v)
-    shared = spark.sparkContext.broadcast((raw, bits, key[order], head.column("c").to_numpy()[order] if head else np.zeros(0, np.int64), n, v, share))
+    shared = spark.sparkContext.broadcast((key[order], head.column("c").to_numpy()[order] if head else np.zeros(0, np.int64)))
+
+    def read(block: dict, at_level: list[bytes]) -> pa.RecordBatch:
+        head, often = shared.value
+        cut, words, index, pair = unpacked(*(block[c] for c in ("cut", "words", "index")))
+        at, found = np.unique(address(np.append(words, pair)), return_inverse=True)
+        level = np.frombuffer(b"".join(at_level), np.uint8).astype(np.int64)
+        if len(level) != len(at):
+            raise RuntimeError("levels of a block are missing")
+        own, both = level[found[: len(words)]][index], level[found[len(words) :]]
+        before = np.empty_like(own)
+        before[1:] = own[:-1]
+        before[cut[:-1]] = own[cut[1:] - 1]  # an end
+        code = (both * LEVELS + before) * LEVELS + own
+        texts, size, tokens = len(cut) - 1, np.diff(cut), words[index]
+
+        def lists(text: np.ndarray, value: np.ndarray) -> tuple[pa.Array, pa.Array]:
+            by = np.lexsort((value, text))
+            text, value = text[by], value[by]
+            new = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (value[1:] != value[:-1]))) if len(text) else np.zeros(0, np.int64)
+            ends = np.searchsorted(text[new], np.arange(texts + 1)).astype(np.int32)
+            return pa.ListArray.from_arrays(ends, pa.array(value[new])), pa.ListArray.from_arrays(ends, pa.array(np.diff(new, append=len(text)).astype(np.int32)))
+
+        place = np.minimum(np.searchsorted(head, tokens), max(0, len(head) - 1))
+        in_head = head[place] == tokens if len(head) else np.zeros(len(tokens), bool)
+        part = np.zeros(len(tokens))
+        if len(head):
+            part[in_head] = np.log10(often[place[in_head]] + 1.0)
+        sure = np.add.reduceat(part, cut[:-1])
+        n_sure = np.add.reduceat(in_head.astype(np.int64), cut[:-1])
+        rest = np.flatnonzero(~in_head & (own > 0))
+        text = np.repeat(np.arange(texts), size)
+        row = block["block"].as_py()
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(row, row + texts)), block["id"].values, block["held_out"].values, pa.array(size), pa.array(n_sure), pa.array(sure), *lists(text, code.astype(np.int32)), *lists(text[rest], tokens[rest].view(np.int64))],
+            ["row", "id", "held_out", "n_tokens", "n_sure", "sure", "codes", "often", "word", "times"],
+        )
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, got = None, []
+        for batch in batches:
+            for i, route in enumerate(batch.column("route").to_pylist()):
+                if route >= 0:
+                    got.append(batch.column("levels")[i].as_py())
+                    continue
+                if block:
+                    yield read(block, got)
+                block, got = {c: batch.column(c)[i] for c in ("block", "id", "held_out", "cut", "words", "index")}, []
+        if block:
+            yield read(block, got)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, bits, head, often, n, v, share = shared.value
-        known, row = Filter(raw, bits), TaskContext.get().partitionId() << 40
         for batch in batches:
-            for first, after, data, at in tk.blocks(batch.column("text")):
-                texts = after - first
-                tokens, cut = chain(data, at)
-                size = np.diff(cut)
-                two, one, level = likelihood(known, tokens, cut, n, v)
-                model = np.add.reduceat(np.log10(share * two + (1 - share) * one), cut[:-1])
-                place = np.minimum(np.searchsorted(head, tokens), max(0, len(head) - 1))
-                top = head[place] == tokens if len(head) else np.zeros(len(tokens), bool)
-                part = np.zeros(len(tokens))
-                if len(head):
-                    part[top] = np.log10(often[place[top]] + 1.0)
-                sure = np.add.reduceat(part, cut[:-1])
-                n_sure = np.add.reduceat(top.astype(np.int64), cut[:-1])
-                rest = np.flatnonzero(~top & (level > 0))
-                text = np.repeat(np.arange(texts), size)[rest]
-                by = np.lexsort((tokens[rest], text))
-                text, word = text[by], tokens[rest][by]
-                new = np.append(True, (text[1:] != text[:-1]) | (word[1:] != word[:-1])) if len(text) else np.zeros(0, bool)
-                at_new = np.flatnonzero(new)
-                times = np.diff(at_new, append=len(text)).astype(np.int32)
-                ends = np.searchsorted(text[at_new], np.arange(texts + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + texts)), batch.column("id")[first:after], batch.column("held_out")[first:after], pa.array(size), pa.array(n_sure), pa.array(sure), pa.array(model), pa.ListArray.from_arrays(ends, pa.array(word[at_new].view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(times))],
-                    ["row", "id", "held_out", "n_tokens", "n_sure", "sure", "score", "word", "times"],
-                )
-                row += texts
+            code, often = batch.column("codes").flatten().to_numpy(), batch.column("often").flatten().to_numpy()
+            two, one = likelihood(code, n, v)
+            ends = np.cumsum([0, *pc.list_value_length(batch.column("codes")).to_pylist()])
+            model = np.add.reduceat(np.log10(share * two + (1 - share) * one) * often, ends[:-1]) if len(code) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(model)], [*batch.schema.names[:6], "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    done = scratch.written(rows.mapInArrow(score, f"row long, id {kind}, held_out boolean, n_tokens long, n_sure long, sure double, score double, word array<long>, times array<int>"), "scored")
+    blocks = scratch.written(blocked(rows), "blocks")
+    levels = answered(blocks, shards, bits, top)
+    met = blocks.withColumn("route", F.lit(-1)).unionByName(levels, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "route")
+    same = f"row long, id {kind}, held_out boolean, n_tokens long, n_sure long, sure double"
+    done = scratch.written(met.mapInArrow(gather, f"{same}, codes array<int>, often array<int>, word array<long>, times array<int>"), "scored")
+    share = mixture(done.where("NOT held_out").orderBy(F.xxhash64("id"), "id").limit(SAMPLE), n, v)
     tail = single.where(step < low) if low is not None else single
     rare = done.select("row", F.explode(F.arrays_zip("word", "times")).alias("x")).select("row", F.col("x.word").alias("key"), F.col("x.times").alias("times"))
     found = rare.join(tail.select("key", "c"), "key").groupBy("row").agg(F.sum("times").alias("n_rare"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("rare"))
-    out = done.drop("word", "times").join(found, "row", "left")
+    out = done.drop("word", "times").mapInArrow(score, f"{same}, score double").join(found, "row", "left")
     base = F.col("sure") + F.coalesce("rare", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(n + v + 1))
     return out.select("id", "held_out", "n_tokens", (F.col("n_sure") + F.coalesce("n_rare", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

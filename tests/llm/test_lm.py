@@ -41,3 +41,35 @@ def test_scores(spark, monkeypatch):
     assert lm.scores(df.limit(0), held).count() == 0
     alone = lm.scores(df.where("doc_id = 202"), F.lit(True)).first()
     assert (alone.n_tokens, alone.n_known, alone.train_tokens) == (3, 0, 0)
+
+
+def test_scores_follow_all_pairs(spark, monkeypatch):
+    """Against a plain model, with entries beyond what was the filter's ceiling."""
+    monkeypatch.setattr(lm, "MAX_BITS", 1 << 13, raising=False)
+    monkeypatch.setattr(lm, "SAMPLE", 1 << 20)
+    rng = np.random.default_rng(4)
+    rows = [(i, "one text that stands there many times") for i in range(300)]
+    rows += [(i, " ".join("w%d x%d" % (k, k % 90) for k in rng.zipf(1.4, rng.integers(1, 30)) % 2000)) for i in range(300, 1300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.id: r.score for r in lm.scores(df, F.col("doc_id") % 5 == 0).collect()}
+    cut = lambda t: [*WORD.findall(t), None]
+    ones, twos = Counter(), Counter()
+    for i, t in rows:
+        if i % 5:
+            ones.update(cut(t))
+            twos.update(zip([None, *cut(t)], cut(t)))
+    n, v = sum(ones.values()), len(ones)
+    middle = lambda c: (3 * 2.0 ** (c.bit_length() - 1) - 1) / 2 if c else 0.0
+
+    def estimates(t, less):
+        for a, b in zip([None, *cut(t)], cut(t)):
+            before, count = middle(ones[a]), middle(ones[b])
+            both = min(middle(twos[a, b]) if twos[a, b] > 1 else 0.0, before, count)
+            yield min(1, max(both - less, 0) / max(before - less, 1)), (max(count - less, 0) + 1) / (n + v + 1)
+
+    two, one = map(np.array, zip(*(x for i, t in rows if i % 5 for x in estimates(t, 1))))
+    share = 0.3
+    for _ in range(30):
+        share = float(np.mean(share * two / (share * two + (1 - share) * one)))
+    want = {i: sum(math.log10(share * p + (1 - share) * q) for p, q in estimates(t, 0)) for i, t in rows}
+    assert np.mean([abs(got[i] - want[i]) < 1e-6 for i in want]) > 0.99
