@@ -13,8 +13,9 @@ shards' tasks and gets a level for each back.  Probability of a word w after v:
 
     lambda * c(v w) / c(v)  +  (1 - lambda) * (c(w) + 1) / (N + V + 1)
 
-with counts read from the filter and lambda set by expectation maximisation on SAMPLE
-training texts, each count less one there (its own occurrence).
+with counts read from the filter and lambda set by expectation maximisation on all
+training texts, each count less one there (its own occurrence).  An estimate depends on
+three levels, so a table of how often each three occur stands for all tokens.
 
 The base score needs exact counts.  Those of the most frequent words (HEAD at most)
 are broadcast; all others are joined to the texts' words by a shuffle in which no key
@@ -51,8 +52,6 @@ ROUTES, ROUTE_BITS = 256, 1 << 26
 LEVELS = 64
 HEAD = 1 << 18
 FLUSH = 2_500_000
-#: Texts, in the order of a hash of their id, on which lambda is set.
-SAMPLE = 400
 
 
 def chain(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -400,7 +399,7 @@ def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     met = blocks.withColumn("route", F.lit(-1)).unionByName(levels, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "route")
     same = f"row long, id {kind}, held_out boolean, n_tokens long, n_sure long, sure double"
     done = scratch.written(met.mapInArrow(gather, f"{same}, codes array<int>, often array<int>, word array<long>, times array<int>"), "scored")
-    share = mixture(done.where("NOT held_out").orderBy(F.xxhash64("id"), "id").limit(SAMPLE), n, v)
+    share = mixture(done.where("NOT held_out"), n, v)
     tail = single.where(step < low) if low is not None else single
     rare = done.select("row", F.explode(F.arrays_zip("word", "times")).alias("x")).select("row", F.col("x.word").alias("key"), F.col("x.times").alias("times"))
     found = rare.join(tail.select("key", "c"), "key").groupBy("row").agg(F.sum("times").alias("n_rare"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("rare"))

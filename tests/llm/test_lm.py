@@ -43,10 +43,9 @@ def test_scores(spark, monkeypatch):
     assert (alone.n_tokens, alone.n_known, alone.train_tokens) == (3, 0, 0)
 
 
-def test_scores_follow_all_pairs(spark, monkeypatch):
-    """Against a plain model, with entries beyond what was the filter's ceiling."""
+def test_scores_follow_all_pairs_and_all_training_texts(spark, monkeypatch):
+    """Against a plain model, with entries beyond what was the filter's ceiling and more texts than lambda's sample had."""
     monkeypatch.setattr(lm, "MAX_BITS", 1 << 13, raising=False)
-    monkeypatch.setattr(lm, "SAMPLE", 1 << 20)
     rng = np.random.default_rng(4)
     rows = [(i, "one text that stands there many times") for i in range(300)]
     rows += [(i, " ".join("w%d x%d" % (k, k % 90) for k in rng.zipf(1.4, rng.integers(1, 30)) % 2000)) for i in range(300, 1300)]
