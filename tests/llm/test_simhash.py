@@ -40,3 +40,23 @@ def test_search_is_exact(spark):
     got = {r.query: r.n_near for r in simhash.search(df, df.where(F.col("id") % 3 == 0)).collect()}
     want = {prints[i]: int(((bits[i] ^ bits).sum(1) <= simhash.RADIUS).sum()) for i in range(0, len(bits), 3)}
     assert got == want and max(want.values()) > 1
+
+
+def test_near_copies_are_met(spark):
+    """Copies whose five-word shingles have a Jaccard likeness of 0.8 or more; other texts are not met."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(200):
+        words = ["w%d" % rng.randint(0, 30000) for _ in range(rng.choice([200, 400, 1000]))]
+        copy = list(words)
+        for at in rng.sample(range(len(words)), len(words) // 80):
+            copy[at] = "other%d" % i
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    prints = simhash.fingerprints([t for _, t in rows])
+    df = spark.createDataFrame([(i, p.tobytes().hex()) for (i, _), p in zip(rows, prints)], "doc_id long, fingerprint string")
+    name = {p.tobytes().hex(): i for (i, _), p in zip(rows, prints)}
+    got = {(name[r.query], r.doc_id) for r in simhash.neighbours(df, df.where("doc_id % 2 = 0")).collect()}
+    assert {(i, i) for i in range(0, 400, 2)} <= got and all(a == b // 2 * 2 for a, b in got)
+    assert sum(a != b for a, b in got) / 200 > 0.95
+    counted = {name[r.query]: r.n_near for r in simhash.search(df, df.where("doc_id % 2 = 0")).collect()}
+    assert counted == {i: sum(a == i for a, _ in got) for i in range(0, 400, 2)}
