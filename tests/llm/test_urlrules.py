@@ -44,3 +44,11 @@ def test_mined_rules(spark):
     brute = {i: any(set(r) <= set(t) for r in rules) for i, t in df.select("id", urlrules.tokens(F.col("url"))).collect()}
     assert brute == {i: v == "block" for i, v in judged.items()}
     assert len(tokens("http://" + ".".join("abcdefghijklmnopqrstuvwxyz") + "/")) == urlrules.TOKENS
+
+
+def test_late_tokens_count(spark):
+    word = lambda i, k: "".join(chr(97 + int(d)) for d in "%d%d" % (1000 + i, 10 + k))
+    rows = [(i, "http://a.b/" + "-".join(word(i, k) for k in range(30)) + ("?spam=1" if i % 3 == 0 else "?page=1"), i % 3 == 0) for i in range(1200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+    judged = {r.id: r.verdict for r in urlrules.judge(df, df.selectExpr("page_id AS id", "bad"), []).collect()}
+    assert judged == {i: "block" if bad else "allow" for i, _, bad in rows}
