@@ -28,6 +28,7 @@ texts N, V and all counts are 0; columns other than id and text are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +53,8 @@ ROUTES, ROUTE_BITS = 256, 1 << 26
 LEVELS = 64
 HEAD = 1 << 18
 FLUSH = 2_500_000
+#: Bytes of text that ask the filter together.
+ASK_BYTES = 1 << 22
 
 
 def chain(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,12 +220,12 @@ def blocked(rows: DataFrame) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for first, after, data, at in tk.blocks(batch.column("text")):
+            for first, after, data, at in tk.blocks(batch.column("text"), ASK_BYTES):
                 tokens, cut = chain(data, at)
                 words, index = np.unique(tokens, return_inverse=True)
                 whole = pa.array([0, after - first], pa.int32())
                 listed = [pa.ListArray.from_arrays(whole, batch.column(c)[first:after]) for c in ("id", "held_out")]
-                raw = [pa.array([x.tobytes()], pa.binary()) for x in (cut.astype("<i8"), words, index.astype("<u4"))]
+                raw = [pa.array([x], pa.binary()) for x in (cut.astype("<i8").tobytes(), words.tobytes(), zlib.compress(index.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32).tobytes(), 1))]
                 yield pa.RecordBatch.from_arrays([pa.array([row]), *listed, *raw], ["block", "id", "held_out", "cut", "words", "index"])
                 row += after - first
 
@@ -232,7 +235,8 @@ def blocked(rows: DataFrame) -> DataFrame:
 
 def unpacked(cut: pa.Scalar, words: pa.Scalar, index: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(cut, words, index, pair of each token) of a row of ``blocked``."""
-    cut, words, index = (np.frombuffer(x.as_buffer(), kind) for x, kind in ((cut, "<i8"), (words, np.uint64), (index, "<u4")))
+    cut, words = np.frombuffer(cut.as_buffer(), "<i8"), np.frombuffer(words.as_buffer(), np.uint64)
+    index = np.frombuffer(zlib.decompress(index.as_buffer()), np.uint16 if len(words) <= 1 << 16 else np.uint32)
     return cut, words, index, pairs(words[index], cut)
 
 
@@ -320,6 +324,7 @@ def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     buckets = 1 << max(4, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     table = scratch.written(counted(rows.where("NOT held_out"), buckets), "counts")
+    scratch.release(spark)
     single = table.where("pair = 0")
     tally = single.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = tally["n"] or 0, tally["v"]
@@ -394,11 +399,13 @@ def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(model)], [*batch.schema.names[:6], "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
+    scratch.release(spark)
     blocks = scratch.written(blocked(rows), "blocks")
     levels = answered(blocks, shards, bits, top)
     met = blocks.withColumn("route", F.lit(-1)).unionByName(levels, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "route")
     same = f"row long, id {kind}, held_out boolean, n_tokens long, n_sure long, sure double"
     done = scratch.written(met.mapInArrow(gather, f"{same}, codes array<int>, often array<int>, word array<long>, times array<int>"), "scored")
+    scratch.release(spark)
     share = mixture(done.where("NOT held_out"), n, v)
     tail = single.where(step < low) if low is not None else single
     rare = done.select("row", F.explode(F.arrays_zip("word", "times")).alias("x")).select("row", F.col("x.word").alias("key"), F.col("x.times").alias("times"))

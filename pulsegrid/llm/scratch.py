@@ -31,6 +31,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished queries now; it does so when the driver collects garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` (a written table) has no more than ``rows`` rows."""
     return df.count() <= rows
