@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as k
+from .. import scratch
 
 
 def normalize(text: Column) -> Column:
@@ -113,25 +114,69 @@ def pick_best(pairs: DataFrame, key: str = "query_id") -> DataFrame:
     return best.withColumn("match_score", F.round("score", 3)).withColumn("uncertain", F.col("score") < k.MATCH_SURE)
 
 
+#: A word's weight is this by the number of entries that have it, in whole numbers: sums are the same in any order.
+UNIT = 1 << 40
+
+
+def indexed(catalog: DataFrame) -> DataFrame:
+    """(words, n, ids) of the distinct word sets of a catalog: entries, and the smallest ids, as many as a search gives at most."""
+    own = words(normalize(F.concat_ws(" ", "c_artist", "c_title")))
+    entries = catalog.where("c_track_id IS NOT NULL").groupBy("c_track_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(own)))).alias("words"))
+    counted = entries.groupBy("words").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("words").orderBy("c_track_id")
+    first = entries.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k.SEARCH_LIMIT)
+    ids = first.groupBy("words").agg(F.array_sort(F.collect_list("c_track_id")).alias("ids"))
+    return counted.join(ids, "words")
+
+
 def block(queries: DataFrame, catalog: DataFrame, limit: int = k.SEARCH_LIMIT) -> DataFrame:
-    """Up to ``limit`` candidates a query, those sharing most distinct words of artist and title.
+    """Up to ``limit`` (k.SEARCH_LIMIT at most) candidates a query: those sharing most distinct words of artist and title, then by weight, then by id.
 
     ``queries`` (query_id, q_artist, q_title), ``catalog`` (c_track_id, c_artist, c_title,
-    c_preview).  Pairs carry ids alone until they are chosen; a word's weight falls with
-    the number of entries that have it, and rows are ranked within a query.
+    c_preview).  A word's weight falls with the number of entries that have it.
+
+    Queries and entries with the same words are one.  A query looks its words up rarest
+    first, in rounds of one, one, two, four words, ...  After r of its m words, an entry not
+    met yet shares at most m - r words, and if so many, then just the others; as soon as
+    ``limit`` entries are above that, the query is done.  So a word that many entries have
+    is looked up only by queries that no rarer word decides.
     """
-    index = lambda df, key, a, t: df.select(key, F.explode(F.array_distinct(words(normalize(F.concat_ws(" ", a, t))))).alias("word")).distinct()
-    asked, known = index(queries, "query_id", "q_artist", "q_title"), index(catalog, "c_track_id", "c_artist", "c_title")
-    weight = known.groupBy("word").agg((1 / F.count("*")).alias("weight"))
-    met = asked.join(weight, "word").join(known, "word").groupBy("query_id", "c_track_id").agg(F.count("*").alias("shared"), F.sum("weight").alias("weight"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("shared"), F.desc("weight"), "c_track_id")
-    top = met.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= limit).select("query_id", "c_track_id")
-    return top.join(queries, "query_id").join(catalog, "c_track_id")
+    known = scratch.written(indexed(catalog), "catalog")
+    weighed = known.select("n", F.explode("words").alias("word")).groupBy("word").agg(F.sum("n").alias("df"))
+    weighed = weighed.select("word", "df", F.expr(f"{UNIT} div df").alias("weight"))
+    named = queries.select("query_id", F.array_sort(F.array_distinct(words(normalize(F.concat_ws(" ", "q_artist", "q_title"))))).alias("asked"))
+    named = scratch.written(named, "named")
+    asked = named.select("asked").distinct().select("asked", F.explode("asked").alias("word")).join(weighed, "word")
+    asked = asked.groupBy("asked").agg(F.array_sort(F.collect_list(F.struct("df", "word", "weight"))).alias("ws"))
+    active = scratch.written(asked, "asked")
+    posted = known.select(F.explode("words").alias("word"), "words", "n", F.element_at("ids", 1).alias("least"))
+    best, done, step = None, 0, 1
+    while not active.isEmpty():
+        near = active.select("asked", "ws", F.posexplode(F.slice("ws", done + 1, step)).alias("_at", "_w")).select("asked", "ws", (F.col("_at") + done).alias("at"), "_w.word")
+        hit = near.join(posted, "word").where(~F.exists(F.slice("ws", F.lit(1), F.col("at").cast("int")), lambda w: F.array_contains("words", w["word"])))
+        both = F.filter("ws", lambda w: F.array_contains("words", w["word"]))
+        hit = hit.select("asked", "words", "n", "least", F.size(both).alias("shared"), F.aggregate(both, F.lit(0).cast("long"), lambda a, w: a + w["weight"]).alias("weight"))
+        order = Window.partitionBy("asked").orderBy(F.desc("shared"), F.desc("weight"), "least")
+        found = (hit if best is None else best.select(*hit.columns).unionByName(hit)).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= limit)
+        best = scratch.written(found.withColumn("upto", F.sum("n").over(order)), "best")
+        done, step = done + step, step if done == 0 else done + step
+        full = best.where(F.col("upto") >= limit).groupBy("asked").agg(F.max(F.struct("shared", "weight")).alias("last"))
+        left = F.greatest(F.size("ws") - done, F.lit(0))
+        rest = F.aggregate(F.slice("ws", done + 1, 1 << 20), F.lit(0).cast("long"), lambda a, w: a + w["weight"])
+        settled = (left == 0) | F.coalesce((F.col("last.shared") > left) | ((F.col("last.shared") == left) & (F.col("last.weight") > rest)), F.lit(False))
+        active = scratch.written(active.join(full, "asked", "left").where(~settled).select("asked", "ws"), "asked")
+    if best is None:
+        best = known.limit(0).select(F.col("words").alias("asked"), "words", F.lit(0).alias("shared"), F.lit(0).cast("long").alias("weight"))
+    rows = best.join(known.select("words", "ids"), "words").select("asked", "shared", "weight", F.explode("ids").alias("c_track_id"))
+    order = Window.partitionBy("asked").orderBy(F.desc("shared"), F.desc("weight"), "c_track_id")
+    top = rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= limit).select("asked", "c_track_id")
+    return named.join(top, "asked").select("query_id", "c_track_id").join(queries, "query_id").join(catalog, "c_track_id")
 
 
 def lookup(queries: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Requests by track id: the entry with just that id; ``not_found`` without one, ``no_preview`` without its preview."""
-    one = catalog.groupBy("c_track_id").agg(*[F.first(c).alias(c) for c in catalog.columns if c != "c_track_id"])
+    """Requests by track id: the entry with just that id (of several the greatest row); ``not_found`` without one, ``no_preview`` without its preview."""
+    rest = [c for c in catalog.columns if c != "c_track_id"]
+    one = catalog.groupBy("c_track_id").agg(F.max(F.struct(*rest)).alias("_one")).select("c_track_id", *[F.col(f"_one.{c}").alias(c) for c in rest])
     found = queries.join(one.withColumn("_there", F.lit(True)), queries["track_id"] == one["c_track_id"], "left")
     kind = F.when(F.col("_there").isNull(), "not_found").when(F.col("c_preview").isNull(), "no_preview")
     return found.withColumn("error", kind.cast("string")).withColumn("match_score", F.when(kind.isNull(), 1.0)).drop("_there")
