@@ -57,4 +57,19 @@ NEUTRAL = ("original mix", "album version", "single version", "radio edit", "rad
 
 # Limits.
 MAX_AUDIO_BYTES, MAX_SEARCH_BYTES, MAX_SECS, SILENT, PER_MINUTE, BURST, BPM_NEAR = 8 << 20, 1 << 20, 120, 0.001, 18.0, 5.0, 2.0
+MAX_REDIRECTS, FETCH_SECS, DEFAULT_MARKET = 2, 30, "us"
 ERROR_KINDS = ("invalid_input", "no_match", "not_found", "no_preview", "http", "decode", "unusable_audio", "cache", "internal")
+
+# Tracks of known tempo (and key, where known) that a validation run measures.
+REFERENCE_TRACKS = (
+    ("Robin S", "Show Me Love", 120.0, "", "house"),
+    ("Daft Punk", "Around the World", 121.0, "", "house"),
+    ("Stardust", "Music Sounds Better with You", 125.0, "", "house"),
+    ("Eric Prydz", "Call on Me", 126.0, "", "house"),
+    ("The Chemical Brothers", "Hey Boy Hey Girl", 127.0, "D", "big beat / techno"),
+    ("Darude", "Sandstorm", 136.0, "B", "trance"),
+    ("Underworld", "Born Slippy .NUXX", 140.0, "Bb", "techno"),
+    ("Roni Size / Reprazent", "Brown Paper Bag", 170.0, "", "drum & bass"),
+    ("Goldie", "Inner City Life", 155.0, "", "drum & bass"),
+    ("Pendulum", "Tarantula", 174.0, "", "drum & bass"),
+)

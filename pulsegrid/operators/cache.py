@@ -39,6 +39,12 @@ def hits(queries: DataFrame, results: DataFrame, options: str, payload: str, ver
     return queries.join(parsed.select("track_id", F.when(F.col("_ok"), F.col("hit")).alias("hit")), "track_id", "left")
 
 
+def resolutions(table: DataFrame, schema: str) -> DataFrame:
+    """(query_key, track): the latest resolution of each key, parsed by ``schema``; rows that don't parse are misses."""
+    kept = latest(table, "query_key").withColumn("track", F.from_json("matched", schema))
+    return kept.where(F.try_parse_json("matched").isNotNull() & F.col("track.track_id").isNotNull()).select("query_key", "track")
+
+
 def once(queries: DataFrame, key: str = "track_id") -> DataFrame:
     """The distinct keys to analyse: requests that share a track share its analysis."""
     return queries.where(F.col(key).isNotNull()).select(key).distinct()
@@ -48,6 +54,10 @@ def size(table: DataFrame, *keys: str) -> int:
     return latest(table, *keys).count()
 
 
+def is_empty(table: DataFrame) -> bool:
+    return table.isEmpty()
+
+
 def waits(arrivals: DataFrame, rate: float = k.PER_MINUTE, burst: float = k.BURST, key: str = "bucket", at: str = "secs") -> DataFrame:
     """A token bucket over all arrivals (bucket, secs, tie): how long each must wait, in seconds.
 

@@ -1,25 +1,30 @@
 """The whole batch: request lines to result lines, each request one result.
 
-parse, resolve (by id, or by blocking and matching), probe the cache, analyse each
-missing track once, and join back; whatever fails is a result with an error.
+parse, resolve (from the resolution cache; else by id, or by blocking and matching), probe
+the result cache, analyse each missing track once, and join back; whatever fails is a
+result with an error.  The catalog is a table or a search service (``web.Service``).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as k
+from .. import scratch
+from ..functions import expr
 from ..functions.sql import analyze_audio
 from ..operators import cache, match
-from ..schema import AUDIO, ERROR, FEATURES, KEY, TEMPO, analysis
-from ..sources import lines
+from ..schema import AUDIO, ERROR, FEATURES, KEY, TEMPO, TRACK, analysis
+from ..sources import lines, web
 
 
 @dataclass(frozen=True)
 class Options:
+    """``country``: a two-letter market, None for the default one; of a catalog table with a ``country`` column only its entries count."""
+
     key_profile: str = "bands"
     explain_key_scoring: bool = False
     country: str | None = None
@@ -27,36 +32,85 @@ class Options:
     def key(self) -> str:
         return f"key_profile={self.key_profile},explain_key_scoring={str(self.explain_key_scoring).lower()}"
 
+    def market(self) -> str | None:
+        code = (self.country or "").strip().lower()
+        return code or None
+
+
+def resolution_key(query: Column, options: Options) -> Column:
+    code = F.lit(options.market()).cast("string")
+    return expr.resolution_key(query["artist"], query["title"], query["track_id"], code)
+
 
-def resolved(requests: DataFrame, catalog: DataFrame) -> DataFrame:
+def entries(catalog: DataFrame, options: Options) -> DataFrame:
+    """The rows of a catalog table that are in the market; those without a country are in the default one."""
+    if "country" not in catalog.columns:
+        return catalog
+    mine = F.lower(F.coalesce(F.col("country"), F.lit(k.DEFAULT_MARKET))) == (options.market() or k.DEFAULT_MARKET)
+    return catalog.where(mine).drop("country")
+
+
+def resolved(requests: DataFrame, catalog: DataFrame | web.Service, options: Options = Options()) -> DataFrame:
     """(line_no, track, error) of requests (line_no, query) that are well formed."""
     by_id = requests.where("query.track_id IS NOT NULL").select("line_no", F.col("query.track_id").alias("track_id"))
-    looked = match.lookup(by_id, catalog).withColumn("uncertain", F.lit(False))
     asked = requests.where("query.track_id IS NULL").select(F.col("line_no").alias("query_id"), F.col("query.artist").alias("q_artist"), F.col("query.title").alias("q_title"))
-    best = match.pick_best(match.block(asked, catalog))
+    down = None
+    if isinstance(catalog, web.Service):
+        answers = catalog.answers(requests.select(F.col("line_no").alias("key"), "query.track_id", "query.artist", "query.title"), options.market())
+        columns = [c for c in answers.columns if c not in ("key", "error")]
+        down = answers.where("error IS NOT NULL").select(F.col("key").alias("_down"), F.col("error").alias("_error")).distinct()
+        there = answers.where("error IS NULL")
+        wanted = there.join(by_id, (F.col("key") == F.col("line_no")) & (F.col("c_track_id") == F.col("track_id")), "left_semi").select(*columns)
+        looked = match.lookup(by_id, wanted)
+        pairs = there.join(asked, F.col("key") == F.col("query_id")).drop("key", "error")
+    else:
+        known = entries(catalog, options)
+        columns = known.columns
+        looked = match.lookup(by_id, known)
+        pairs = match.block(asked, known)
+    looked = looked.withColumn("uncertain", F.lit(False))
+    best = match.pick_best(pairs)
     named = asked.select("query_id").join(best, "query_id", "left").withColumn("error", F.when(F.col("c_track_id").isNull(), "no_match").cast("string"))
-    cell = lambda c, kind: (F.col(c) if c in catalog.columns else F.lit(None)).cast(kind)
+    cell = lambda c, kind: (F.col(c) if c in columns else F.lit(None)).cast(kind)
     track = F.struct(
         F.col("c_track_id").alias("track_id"), F.coalesce("c_artist", F.lit("")).alias("artist"), F.coalesce("c_title", F.lit("")).alias("title"), cell("album", "string").alias("album"), cell("release_date", "string").alias("release_date"), cell("genre", "string").alias("genre"),
         F.col("c_preview").alias("preview_url"), cell("duration_ms", "long").alias("duration_ms"), F.col("match_score").cast("float").alias("match_score"), F.col("uncertain").alias("uncertain"),
     )
     show = lambda df, key: df.select(F.col(key).alias("line_no"), F.when(F.col("error").isNull(), track).alias("track"), "error")
-    return show(looked, "line_no").unionByName(show(named, "query_id"))
-
-
-def analyzed(tracks: DataFrame, files: DataFrame, options: Options) -> DataFrame:
-    """(track_id, audio, features, failed) of tracks (track_id, preview_url), each analysed once."""
-    with_file = tracks.join(files.select(F.col("path").alias("preview_url"), "content"), "preview_url", "left")
+    found = show(looked, "line_no").unionByName(show(named, "query_id"))
+    if down is None:
+        return found
+    return found.join(down, F.col("line_no") == F.col("_down"), "left").select("line_no", F.when(F.col("_error").isNull(), F.col("track")).alias("track"), F.coalesce("_error", "error").alias("error"))
+
+
+def analyzed(tracks: DataFrame, files: DataFrame | None, options: Options) -> DataFrame:
+    """(track_id, audio, features, failed, why) of tracks (track_id, preview_url), each analysed once; without ``files`` the previews are fetched."""
+    if files is None:
+        files = scratch.written(web.fetched(tracks.repartition("track_id")), "previews")
+    if "message" not in files.columns:
+        files = files.withColumn("message", F.lit(None).cast("string"))
+    with_file = tracks.join(files.select(F.col("path").alias("preview_url"), "content", "message"), "preview_url", "left")
     # few clips a task: an analysis takes seconds and some 100 MB
-    dealt = with_file.repartition("track_id").withColumn("got", F.when(F.col("content").isNotNull(), analyze_audio()(F.coalesce("content", F.lit(b"")), F.lit(options.key_profile))))
+    dealt = with_file.repartition("track_id").withColumn("got", F.when(F.col("content").isNotNull(), analyze_audio()(F.coalesce("content", F.lit(b"")), F.lit(options.key_profile), F.lit(options.explain_key_scoring))))
     failed = F.when(F.col("content").isNull(), "http").otherwise(F.col("got.error"))
-    return dealt.select("track_id", F.col("got.audio").alias("audio"), F.col("got.features").alias("features"), failed.alias("failed"))
+    why = F.when(F.col("content").isNull(), F.coalesce("message", F.lit("no such preview")))
+    return dealt.select("track_id", F.col("got.audio").alias("audio"), F.col("got.features").alias("features"), failed.alias("failed"), why.alias("why"))
 
 
-def run(request_lines: DataFrame, catalog: DataFrame, files: DataFrame, results: DataFrame | None = None, options: Options = Options()) -> DataFrame:
-    """(line_no, analysis) of (line_no, line)."""
+def run(request_lines: DataFrame, catalog: DataFrame | web.Service, files: DataFrame | None, results: DataFrame | None = None, options: Options = Options(), resolutions: DataFrame | None = None) -> DataFrame:
+    """(line_no, analysis) of (line_no, line); ``results`` and ``resolutions`` are the caches' tables."""
     parsed = lines.parsed(request_lines)
-    found = resolved(parsed.where("error IS NULL"), catalog)
+    valid = parsed.where("error IS NULL").select("line_no", "query")
+    if resolutions is None:
+        found = resolved(valid, catalog, options)
+    else:
+        keyed = valid.withColumn("query_key", resolution_key(F.col("query"), options))
+        kept = cache.resolutions(resolutions, TRACK).withColumnRenamed("query_key", "_key")
+        met = scratch.written(keyed.join(kept, F.col("query_key") == F.col("_key"), "left").drop("_key"), "resolutions")
+        fresh = resolved(met.where("track IS NULL").select("line_no", "query"), catalog, options)
+        found = met.where("track IS NOT NULL").select("line_no", "track", F.lit(None).cast("string").alias("error")).unionByName(fresh)
+    if not isinstance(catalog, DataFrame) or files is None:
+        found = scratch.written(found, "found")
     tracks = found.where("track IS NOT NULL").select(F.col("track.track_id").alias("track_id"), F.col("track.preview_url").alias("preview_url")).dropDuplicates(["track_id"])
     payload = f"audio {AUDIO}, features {FEATURES}"
     if results is not None:
@@ -64,11 +118,11 @@ def run(request_lines: DataFrame, catalog: DataFrame, files: DataFrame, results:
     else:
         known = tracks.withColumn("hit", F.lit(None).cast(f"struct<audio: {AUDIO}, features: {FEATURES}>"))
     fresh = analyzed(known.where("hit IS NULL").select("track_id", "preview_url"), files, options)
-    have = known.where("hit IS NOT NULL").select("track_id", F.col("hit.audio").alias("audio"), F.col("hit.features").alias("features"), F.lit(None).cast("string").alias("failed"), F.lit(True).alias("cached"))
+    have = known.where("hit IS NOT NULL").select("track_id", F.col("hit.audio").alias("audio"), F.col("hit.features").alias("features"), F.lit(None).cast("string").alias("failed"), F.lit(None).cast("string").alias("why"), F.lit(True).alias("cached"))
     all_ = fresh.withColumn("cached", F.lit(False)).unionByName(have)
     rows = parsed.join(found.withColumnRenamed("error", "unresolved"), "line_no", "left").join(all_, F.col("track.track_id") == F.col("track_id"), "left")
     kind = F.coalesce("unresolved", "failed")
-    error = F.coalesce(F.col("error"), F.when(kind.isNotNull(), F.struct(kind.alias("kind"), kind.alias("message"))).cast(ERROR))
+    error = F.coalesce(F.col("error"), F.when(kind.isNotNull(), F.struct(kind.alias("kind"), F.coalesce("why", kind).alias("message"))).cast(ERROR))
     features = F.coalesce("features", F.struct(F.lit(None).cast(TEMPO).alias("tempo"), F.lit(None).cast(KEY).alias("key")))
     return rows.select("line_no", analysis(F.col("query"), F.col("track"), features, F.col("audio"), F.col("cached"), error).alias("analysis"))
 
@@ -77,3 +131,29 @@ def storable(done: DataFrame, options: Options = Options()) -> DataFrame:
     """Rows for the result cache: fresh successes, one a track."""
     ok = done.where("analysis.status = 'ok' AND NOT analysis.cached").select(F.col("analysis.track.track_id").alias("track_id"), F.to_json(F.struct("analysis.audio", "analysis.features")).alias("payload"))
     return ok.dropDuplicates(["track_id"]).select("track_id", F.lit(k.ALGORITHM_VERSION).alias("algorithm_version"), F.lit(options.key()).alias("options"), "payload", F.current_timestamp().alias("created_at"))
+
+
+def resolvable(done: DataFrame, known: DataFrame | None = None, options: Options = Options()) -> DataFrame:
+    """Rows for the resolution cache: the track of every request that found one, but for keys in ``known``."""
+    rows = done.where("analysis.track IS NOT NULL").select(resolution_key(F.col("analysis.query"), options).alias("query_key"), F.to_json("analysis.track").alias("matched")).where("query_key IS NOT NULL").dropDuplicates(["query_key"])
+    if known is not None:
+        rows = rows.join(known.select("query_key").distinct(), "query_key", "left_anti")
+    return rows.withColumn("created_at", F.current_timestamp())
+
+
+@dataclass(frozen=True)
+class Cache:
+    """Both caches below one folder; ``path`` None: none."""
+
+    path: str | None
+
+    def answer(self, request_lines: DataFrame, catalog: DataFrame | web.Service, files: DataFrame | None, options: Options = Options()) -> DataFrame:
+        """``run`` with what is cached, a written table; what is new is stored."""
+        spark = request_lines.sparkSession
+        if self.path is None:
+            return run(request_lines, catalog, files, options=options)
+        results, resolutions = (cache.opened(spark, f"{self.path}/{name}", schema) for name, schema in (("results", cache.RESULTS), ("resolutions", cache.RESOLUTIONS)))
+        done = scratch.written(run(request_lines, catalog, files, results, options, resolutions), "answers")
+        cache.put(storable(done, options), f"{self.path}/results")
+        cache.put(resolvable(done, resolutions, options), f"{self.path}/resolutions")
+        return done

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Callable, Iterator
 
@@ -17,8 +18,10 @@ DECODERS: dict[bytes, Callable[[bytes], tuple[np.ndarray, int]]] = {}
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content, length); files over the size limit are not read."""
-    return spark.read.format("binaryFile").load(path).where(F.col("length") <= k.MAX_AUDIO_BYTES).select("path", "content", "length")
+    """(path, content, length, message); files over the size limit are there without content, which is not read."""
+    files = spark.read.format("binaryFile").load(path)
+    large = files.where(F.col("length") > k.MAX_AUDIO_BYTES).select("path", F.lit(None).cast("binary").alias("content"), "length", F.format_string(f"too large: %d bytes (limit {k.MAX_AUDIO_BYTES})", "length").alias("message"))
+    return files.where(F.col("length") <= k.MAX_AUDIO_BYTES).select("path", "content", "length", F.lit(None).cast("string").alias("message")).unionByName(large)
 
 
 def wav(raw: bytes) -> tuple[np.ndarray, int]:
@@ -73,6 +76,47 @@ def facts(pcm: dict) -> dict:
     return {"duration_secs": len(x) / pcm["sample_rate"] if pcm["sample_rate"] else 0.0, "sample_rate": pcm["sample_rate"], "source_channels": pcm["source_channels"], "silent_fraction": float((np.abs(x) < k.SILENT).mean()) if len(x) else 1.0, "truncated": True if pcm["truncated"] else None}
 
 
+def levels(pcm: dict) -> dict:
+    x = np.asarray(pcm["samples"], float)
+    return {"samples": len(x), "peak": float(np.abs(x).max()) if len(x) else 0.0, "rms": float(np.sqrt((x * x).mean())) if len(x) else 0.0}
+
+
+def middle(samples: np.ndarray, rate: int, secs: float = 30.0) -> np.ndarray:
+    """The ``secs`` seconds in the middle of a clip, as a store's preview would be."""
+    skip = int(max(len(samples) / rate - secs, 0.0) / 2 * rate)
+    return samples[skip : skip + int(secs * rate)]
+
+
+def benched(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """(dataset, id, value) of a manifest (dataset, id, url, tonic_pc, mode) and files (path, content): a JSON line each.
+
+    A line has the labels, the band chroma of the clip's middle, and the key that each
+    scorer gives; what fails is a line with an error.  Lines come in no order.
+    """
+    from ..operators import kernels
+
+    def one(row) -> dict:
+        try:
+            if row.content is None:
+                raise ValueError("no such file")
+            pcm = decode(bytes(row.content))
+            clip = middle(pcm["samples"], pcm["sample_rate"])
+            bands, _ = kernels.band_chroma(clip, pcm["sample_rate"])
+            found = {name: kernels.key(clip, pcm["sample_rate"], name) for name in ("edm", "krumhansl", "bands")}
+            told = {name: got and {"key": got["key"], "confidence": got["confidence"], "scoring": got["scoring"]} for name, got in found.items()}
+            return {"dataset": row.dataset, "id": row.id, "tonic": int(row.tonic_pc), "mode": row.mode, "bands": bands.tolist(), "estimates": told}
+        except Exception as error:  # noqa: BLE001  a bad file is a row
+            return {"dataset": row.dataset, "id": row.id, "error": str(error)}
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                yield pd.DataFrame({"dataset": [row.dataset], "id": [row.id], "value": [json.dumps(one(row))]})
+
+    rows = manifest.join(files.select(F.col("path").alias("url"), "content"), "url", "left").repartition("id")
+    return rows.select("dataset", "id", "tonic_pc", "mode", "content").mapInPandas(made, "dataset string, id string, value string")
+
+
 def decoded(files: DataFrame) -> DataFrame:
     """(path, samples, sample_rate, source_channels, truncated, error) of (path, content); a batch holds a few clips."""
 

@@ -96,10 +96,44 @@ def test_sql_functions(spark):
     assert got[0].key.key == "C major" and got[1].key is None
     n = spark.sql("SELECT count(*) AS n FROM (SELECT * FROM clips WHERE size(samples) > 0), LATERAL tempo_candidates(samples, rate)").first().n
     assert n > 0
-    assert spark.sql("SELECT max(frame) AS f FROM clips, LATERAL spectrogram(slice(samples, 1, 4096), rate)").first().f == 8
+    frames = spark.sql("SELECT max(frame) AS f, min(size(magnitudes)) AS n, max(size(magnitudes)) AS m FROM clips, LATERAL spectrogram(slice(samples, 1, 4096), rate)").first()
+    assert frames.f == 8 and frames.n == frames.m > 1000
+    raw = spark.createDataFrame([(bytearray(synth.wav(synth.chords(0, False, 1))),), (bytearray(b"no"),)], "content binary")
+    raw.createOrReplaceTempView("files")
+    got = [r.d for r in spark.sql("SELECT decode_audio(content) AS d FROM files").collect()]
+    assert got[0].sample_rate == 44100 and len(got[0].samples) == 44100 and got[1].error == "decode" and got[1].samples is None
 
 
 def test_search_responses(spark):
     bodies = [("a", json.dumps({"resultCount": 1, "results": [{"trackId": 5, "trackName": "T", "more": 1}]})), ("b", "{}"), ("c", "<html>")]
     got = {r.key: (r.c_track_id, r.error) for r in catalog.responses(spark.createDataFrame(bodies, "key string, body string")).collect()}
     assert got == {"a": (5, None), "b": (None, None), "c": (None, "http")}
+
+
+def test_key_bench(spark, tmp_path):
+    at = lambda name: f"file:{tmp_path}/{name}"
+    (tmp_path / "a.wav").write_bytes(synth.wav(synth.chords(9, True, 40) * 0.5))
+    (tmp_path / "b.wav").write_bytes(b"no audio")
+    rows = spark.createDataFrame([("d", "1", at("a.wav"), 9, "minor"), ("d", "2", at("b.wav"), 0, "major"), ("d", "3", at("none.wav"), 0, "major")], "dataset string, id string, url string, tonic_pc int, mode string")
+    got = {r.id: json.loads(r.value) for r in audio.benched(rows, audio.read(spark, str(tmp_path))).collect()}
+    assert got["1"]["tonic"] == 9 and set(got["1"]["estimates"]) == {"bands", "edm", "krumhansl"} and got["1"]["estimates"]["bands"]["key"] == "A minor"
+    assert len(got["1"]["bands"]) == 5 and got["1"]["estimates"]["edm"]["scoring"]["strength"] >= 0
+    assert set(got["2"]) == set(got["3"]) == {"dataset", "id", "error"}
+
+
+def test_oversize_file_is_told(spark, tmp_path, monkeypatch):
+    from pulsegrid import constants as k
+
+    monkeypatch.setattr(k, "MAX_AUDIO_BYTES", 10)
+    (tmp_path / "a.wav").write_bytes(b"0123456789x")
+    row = audio.read(spark, str(tmp_path)).first()
+    assert row.content is None and row.length == 11 and "too large" in row.message
+
+
+def test_parsed_stream_numbers_equal_lines(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    (inbox / "1.jsonl").write_text('{"track_id": 1}\n{"track_id": 1}\n\n{"track_id": 2}\n')
+    stream.parsed_stream(spark, str(inbox)).writeStream.format("memory").queryName("parsed").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.sql("SELECT line_no, query.track_id AS id FROM parsed ORDER BY line_no").collect()
+    assert [r.id for r in rows] == [1, 1, 2] and len({r.line_no for r in rows}) == 3
