@@ -62,7 +62,7 @@ MATCH = f"""{TITLED}, pt AS (SELECT *, {CUT(NORM("regexp_replace(title, '[(\\[][
       OR (len({WORDS("c.act")}) > 0 AND len(list_filter({WORDS("c.act")}, lambda w: NOT list_contains({WORDS("q.act")}, w))) = 0
           AND len(list_filter({WORDS("q.act")}, lambda w: w <> 'and' AND NOT list_contains({WORDS("c.act")}, w) AND NOT list_contains({WORDS("c.credit")}, w))) = 0)
     THEN greatest({SIM("q.act", "c.act")}, 0.9) ELSE {SIM("q.act", "c.act")} END AS score
-  FROM pt q JOIN pt c ON q.brand = c.brand AND q.name = c.name WHERE q.id % 5 = 0)"""
+  FROM pt q JOIN pt c ON q.brand = c.brand AND q.name = c.name)"""
 KEYED = f"turned AS (SELECT clip, tonic, (pc - tonic + 12) % 12 AS degree, e FROM ch, (SELECT unnest(range(12)) AS tonic)), co AS (SELECT clip, tonic, minor, CASE WHEN den > 1e-9 THEN (xy - x * y / 12) / den ELSE 0 END AS score FROM (SELECT clip, tonic, minor, sum(e * w) AS xy, sum(e) AS x, sum(w) AS y, sqrt(greatest(sum(e * e) - sum(e) * sum(e) / 12, 0) * greatest(sum(w * w) - sum(w) * sum(w) / 12, 0)) AS den FROM turned JOIN pf USING (degree) GROUP BY ALL))"
 LINES = """ln AS (SELECT o_orderkey AS line_no, CASE WHEN o_orderkey % 19 = 0 THEN ' ' WHEN o_orderkey % 17 = 0 THEN 'this is not json' WHEN o_orderkey % 13 = 0 THEN '[1]' ELSE '{' ||
   CASE WHEN o_orderkey % 5 = 0 THEN '"track_id":' || o_custkey || ',' ELSE '' END || CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE '"artist":"' || o_orderstatus || '",' END || '"title":"' || CASE WHEN o_orderkey % 11 = 0 THEN ' ' ELSE o_orderpriority END || '"}' END AS line FROM orders)"""
@@ -120,9 +120,67 @@ sql("dedupe_analyze", "", "SELECT l_orderkey, l_linenumber, l_partkey AS track_i
 sql("rate_limit", "ar AS (SELECT event_id, user_id, epoch(ts) - epoch(TIMESTAMP '2024-01-01') AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), ow AS (SELECT *, n - 0.3 / 60 * t + max(0.3 / 60 * t - n + 1) OVER (PARTITION BY user_id ORDER BY n) AS u FROM ar)", "SELECT event_id, round(greatest((u - 5) / (0.3 / 60), 0), 4) AS wait FROM ow")
 sql("verdict", "", f"SELECT l_orderkey, l_linenumber, {VERDICT} AS verdict FROM (SELECT *, 90 + l_quantity AS want, CASE WHEN l_linenumber <> 6 THEN 60 + l_discount * 2000 END AS got FROM lineitem)")
 sql("key_matches", "", "SELECT a.n_nationkey AS a, b.n_nationkey AS b, a.n_nationkey % 12 = b.n_nationkey % 12 AND (a.n_nationkey >= 24 OR b.n_nationkey >= 24 OR (a.n_nationkey >= 12) = (b.n_nationkey >= 12)) AS matches FROM nation a, nation b")
-sql("validation_summary", "", f"SELECT genre, count(*) AS total, count(*) FILTER (v = 'ok') AS tempo_ok, count(*) FILTER (v = 'octave_error') AS octave_errors, count(*) FILTER (v = 'metric_error') AS metric_errors, count(*) FILTER (v <> 'ok') AS failures FROM (SELECT l_returnflag AS genre, {VERDICT} AS v FROM (SELECT *, 90 + l_quantity AS want, CASE WHEN l_linenumber <> 6 THEN 60 + l_discount * 2000 END AS got FROM lineitem)) GROUP BY genre")
+#: Validation rows of all line items: what ``got`` and the keys are, by turns.
+KEYOF = lambda i: f"({NAMES}[{i} + 1] || CASE WHEN l_linenumber % 2 = 0 THEN ' minor' ELSE ' major' END)"
+CHECKED = f"""jd AS (SELECT *, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * 100)::BIGINT) AS label, l_returnflag AS genre, 90 + l_quantity AS want, CASE WHEN l_linenumber <> 6 THEN 60 + l_discount * 2000 END AS got, l_suppkey % 12 AS n FROM lineitem),
+  vr AS (SELECT *, {VERDICT} AS verdict, CASE WHEN l_linenumber = 3 THEN '' ELSE {KEYOF('n')} END AS expected_key, CASE WHEN l_linenumber = 4 THEN {KEYOF('(n + 7) % 12')} WHEN l_linenumber <> 5 THEN {KEYOF('n')} END AS key,
+    CASE WHEN l_linenumber <> 3 THEN l_linenumber NOT IN (4, 5) END AS key_ok, CASE WHEN got IS NOT NULL THEN round(l_discount * 10, 2) END AS sure, CASE WHEN l_linenumber <> 5 THEN round(l_tax * 12, 2) END AS key_sure FROM jd)"""
+sql("validation_rows", CHECKED, "SELECT label, verdict, key_ok, verdict = 'ok' AND coalesce(key_ok, true) AS passed FROM vr")
+sql("validation_summary", CHECKED, "SELECT genre, count(*) AS total, count(*) FILTER (verdict = 'ok') AS tempo_ok, count(*) FILTER (verdict = 'octave_error') AS octave_errors, count(*) FILTER (verdict = 'metric_error') AS metric_errors, count(*) FILTER (key_ok) AS key_ok, count(key_ok) AS key_checked, count(*) FILTER (verdict <> 'ok') AS failures FROM vr GROUP BY genre")
+sql("validation_diagnostics", CHECKED, """SELECT label, label || CASE WHEN l_linenumber = 7 THEN chr(10) || '    failed: decode: broken' ELSE '' END ||
+  CASE WHEN got IS NOT NULL THEN chr(10) || '    tempo: ' || printf('%.2f', got) || ' conf ' || printf('%.2f', sure) || CASE WHEN sure <= 0.5 THEN '  <- DISCARDED by a consumer' ELSE '' END ELSE '' END AS line
+  FROM vr WHERE NOT (verdict = 'ok' AND coalesce(key_ok, true)) OR coalesce(sure <= 0.5, false)""")
+sql("validation_report", CHECKED, """SELECT label, '| ' || label || ' | ' || genre || ' | ' || printf('%.0f', want) || ' | ' || coalesce(printf('%.2f', got), '—') || ' | ' ||
+  CASE verdict WHEN 'ok' THEN 'ok' WHEN 'octave_error' THEN '**OCTAVE**' WHEN 'metric_error' THEN '**METRIC**' WHEN 'missing' THEN '**none**' ELSE '**wrong**' END || ' | ' ||
+  CASE WHEN sure <= 0.5 THEN '**' || printf('%.2f', sure) || '**' ELSE coalesce(printf('%.2f', sure), '—') END || ' | ' || CASE WHEN expected_key = '' THEN '—' ELSE expected_key END || ' | ' ||
+  CASE WHEN key_ok = false THEN '**' || coalesce(key, 'none') || '**' ELSE coalesce(key, '—') END || ' | — | ' || coalesce(printf('%.2f', key_sure), '—') || ' | ' || CASE WHEN key_sure <= 0.5 THEN 'no' WHEN key_sure > 0.5 THEN 'yes' ELSE '—' END || ' |' AS line FROM vr""")
 sql("report_compare", "", "SELECT o_orderkey AS label, CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 THEN 'inconclusive' WHEN o_totalprice > 100000 AND o_totalprice <= 150000 THEN 'tempo_lost' WHEN o_custkey % 2 = 0 AND o_custkey % 4 = 0 THEN 'now_uncertain' WHEN o_orderstatus <> 'O' AND o_custkey % 3 = 0 THEN 'key_lost' ELSE 'same' END AS change FROM orders WHERE NOT (o_orderkey % 5 = 0 AND o_orderkey % 7 = 0)")
 sql("calibration", "", "SELECT lang AS dataset, least(floor(c / 0.2), 4)::INT AS bin, count(*) AS n, round(avg(quality), 6) AS share FROM (SELECT lang, quality, (doc_id % 101) / 100.0 AS c FROM labels JOIN documents USING (doc_id)) GROUP BY ALL HAVING count(*) >= 10")
 sql("mirex", "", f"SELECT a::BIGINT AS tonic, am AS minor, b::BIGINT AS got, bm AS got_minor, CASE WHEN am = bm AND {UP} = 0 THEN 1.0 WHEN am = bm AND {UP} IN (5, 7) THEN 0.5 WHEN am <> bm AND {UP} = CASE WHEN am THEN 3 ELSE 9 END THEN 0.3 WHEN am <> bm AND {UP} = 0 THEN 0.2 ELSE 0.0 END::DOUBLE AS score FROM (SELECT n_nationkey % 12 AS a, n_nationkey >= 12 AS am FROM nation WHERE n_nationkey < 24), (SELECT n_nationkey % 12 AS b, n_nationkey >= 12 AS bm FROM nation WHERE n_nationkey < 24)")
 sql("fetch_policy", "", "SELECT page_id, regexp_matches(lower(url), '^https://[^/?#:]+') OR regexp_matches(lower(url), '^http://(localhost|127\\.0\\.0\\.1)([:/?#]|$)') AS allowed, kind IN ('', 'video/mp4') OR kind LIKE 'audio/%' AS plausible FROM (SELECT page_id, url, CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'audio/mpeg' WHEN 2 THEN 'video/mp4' ELSE 'text/html' END AS kind FROM pages)")
 sql("search_url", "", "SELECT p_partkey, 'https://catalog.example/search?term=' || replace(replace(replace(p_name || ' ' || p_brand || ' ~*(x)', ' ', '+'), '#', '%23'), '*(x)', '%2A%28x%29') || '&media=music&entity=song&limit=12' || CASE WHEN p_partkey % 2 = 0 THEN '&country=de' ELSE '' END AS url FROM part")
+
+sql("flagship", f"{MEL}, {WHITE}, {FLUX.format(src='wh')}, {DETREND.format(h=15, src='fx')}, {ZSCORE.format(src='dt')}, hr AS (SELECT clip, t, x FROM zs), {ACF.format(most=27)}, {PEAKS}, rt AS (SELECT unnest([1.0, 1.5, 2.0/3, 4.0/3, 0.75]) AS ratio, unnest(range(5)) AS i), fo AS (SELECT clip, list({FOLD('bpm * ratio')} ORDER BY rank, i) AS l FROM pk, rt GROUP BY clip), kept AS (SELECT clip, list_reduce(list_transform(l, lambda v: [v::DOUBLE]), lambda a, v: CASE WHEN len(list_filter(a, lambda o: abs(o - v[1]) < 0.5)) > 0 THEN a ELSE a || v END) AS kept FROM fo)", "SELECT clip, (unnest(range(len(kept))))::INT AS place, round(unnest(kept), 6) AS bpm FROM kept")
+#: Requests are a part's brand and name; the catalog has all parts.  Names are plain, so a core is the name and there is no qualifier.
+BLOCK = f"""en AS (SELECT p_partkey AS id, p_brand, p_name, {NORM("p_brand")} AS act, {NORM("p_name")} AS core, list_sort(list_distinct({WORDS(NORM("p_brand || ' ' || p_name"))})) AS w FROM part),
+  ws AS (SELECT w, count(*) AS n, list_sort(list(id))[1:12] AS ids, first(act) AS act, first(core) AS core, count(DISTINCT act || '|' || core) AS kinds FROM en GROUP BY w),
+  df AS (SELECT word, (1099511627776 // sum(n))::BIGINT AS weight FROM (SELECT unnest(w) AS word, n FROM ws) GROUP BY word),
+  ix AS (SELECT w, unnest(w) AS word FROM ws),
+  mt AS (SELECT a.w AS q, b.w AS c, count(*) AS shared, sum(weight) AS weight FROM ix a JOIN ix b USING (word) JOIN df USING (word) GROUP BY ALL),
+  cd AS (SELECT q, id, shared, weight FROM (SELECT mt.*, unnest(ids) AS id FROM mt JOIN ws ON ws.w = mt.c)),
+  tp AS (SELECT q, id FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY shared DESC, weight DESC, id) AS r FROM cd) WHERE r <= 12)"""
+sql("block_and_match", BLOCK, f"""SELECT query_id, track_id, round(score, 3) AS match_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, track_id) AS r FROM (
+  SELECT q.id AS query_id, c.id AS track_id, 0.65 * (0.75 * {SIM("q.core", "c.core")} + 0.25) * CASE WHEN {NORM("q.p_name")} <> {NORM("c.p_name")} THEN 0.97 ELSE 1.0 END
+    + 0.35 * CASE WHEN (len({WORDS("q.act")}) > 0 AND len(list_filter({WORDS("q.act")}, lambda w: NOT list_contains({WORDS("c.act")}, w))) = 0) OR (len({WORDS("c.act")}) > 0 AND len(list_filter({WORDS("c.act")}, lambda w: NOT list_contains({WORDS("q.act")}, w))) = 0 AND len(list_filter({WORDS("q.act")}, lambda w: w <> 'and' AND NOT list_contains({WORDS("c.act")}, w))) = 0) THEN greatest({SIM("q.act", "c.act")}, 0.9) ELSE {SIM("q.act", "c.act")} END AS score
+  FROM tp JOIN en q ON q.w = tp.q JOIN en c ON c.id = tp.id)) WHERE r = 1""")
+sql("key_alternates", f"{TWELVE}, {EDM}, {KEYED}, rk AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY score DESC, tonic, minor) AS r FROM co)", f"""SELECT b.clip, (b.r - 2)::INT AS place, regexp_extract({CAMELOT('b.tonic', 'b.minor')}, '[0-9]+')::DOUBLE AS value, {KEYNAME('b.tonic', 'b.minor')} || ' (' || {CAMELOT('b.tonic', 'b.minor')} || ')' AS label,
+  CASE WHEN a.minor <> b.minor THEN CASE WHEN NOT a.minor AND (b.tonic - a.tonic + 12) % 12 = 9 THEN 'relative_minor' WHEN a.minor AND (b.tonic - a.tonic + 12) % 12 = 3 THEN 'relative_major' WHEN b.tonic = a.tonic THEN 'parallel' ELSE 'other' END WHEN (b.tonic - a.tonic + 12) % 12 = 7 THEN 'dominant' WHEN (b.tonic - a.tonic + 12) % 12 = 5 THEN 'subdominant' ELSE 'other' END AS relation,
+  round(b.score, 3) AS score FROM rk a JOIN rk b ON a.clip = b.clip AND a.r = 1 AND b.r BETWEEN 2 AND 4 WHERE a.score > 0""")
+sql("key_bands", f"""ba AS (SELECT vec_id AS clip, unnest(range(60)) AS i, abs(unnest(embedding[1:60])::DOUBLE) AS e FROM embeddings), {LEARNED}, z AS (SELECT clip, tonic, minor, sum(w * e) + CASE WHEN minor THEN {k.MODE_BIAS[1]} ELSE {k.MODE_BIAS[0]} END AS z FROM ba, (SELECT unnest(range(12)) AS tonic) t JOIN bw ON bw.band = i // 12 AND bw.degree = (i % 12 - tonic + 12) % 12 GROUP BY clip, tonic, minor),
+  co AS (SELECT clip, tonic::INT AS tonic, minor, exp(z - mx) / sum(exp(z - mx)) OVER (PARTITION BY clip) AS score FROM (SELECT *, max(z) OVER (PARTITION BY clip) AS mx FROM z)), rk AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY score DESC, tonic, minor) AS r FROM co),
+  ch AS (SELECT clip, i % 12 AS pc, sum(e) AS e FROM ba GROUP BY ALL), {GATES},
+  al AS (SELECT a.clip, a.tonic, a.minor, a.score AS r1, b.score AS r2, {unit('(salience - 0.02) / 0.08')} AS structure, {unit('(tpc - 3.0) / 1.0')} AS coverage FROM rk a JOIN rk b ON a.clip = b.clip AND a.r = 1 AND b.r = 2 JOIN gt ON gt.clip = a.clip)""",
+  f"SELECT clip, {KEYNAME('tonic', 'minor')} AS key, {CAMELOT('tonic', 'minor')} AS camelot, round(r1 * structure * coverage, 3) AS confidence, round(r1 * structure * coverage, 3) <= 0.5 AS uncertain, round(r1, 6) AS correlation, round(r2, 6) AS runner_up, round(structure, 6) AS structure, round(coverage, 6) AS coverage FROM al")
+sql("chroma_key", f"{TWELVE}, {EDM}, {KEYED}, rk AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY score DESC, tonic, minor) AS r FROM co)", f"SELECT clip, CASE WHEN score > 0 THEN {KEYNAME('tonic', 'minor')} END AS key FROM rk WHERE r = 1")
+sql("key_metrics", f"""j AS (SELECT lang AS dataset, doc_id % 12 AS a, doc_id % 2 = 0 AS am, (doc_id + CASE doc_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 7 ELSE 9 END) % 12 AS b, (doc_id % 2 = 0) <> (toxic = 1) AS bm, (doc_id % 101) / 100.0 AS c FROM labels JOIN documents USING (doc_id)),
+  s AS (SELECT *, (a = b AND am = bm)::INT AS exact, CASE WHEN am = bm AND {UP} = 0 THEN 1.0 WHEN am = bm AND {UP} IN (5, 7) THEN 0.5 WHEN am <> bm AND {UP} = CASE WHEN am THEN 3 ELSE 9 END THEN 0.3 WHEN am <> bm AND {UP} = 0 THEN 0.2 ELSE 0.0 END AS m FROM j)""",
+  "SELECT dataset, count(*) AS n, round(avg(exact), 6) AS exact, round(avg(m)::DOUBLE, 6) AS mirex, round(avg((c > 0.5)::INT), 6) AS coverage, round(avg(exact) FILTER (c > 0.5), 6) AS precision FROM s GROUP BY dataset")
+sql("track_lookup", "", "SELECT o_orderkey AS line_no, o_custkey AS track_id, CASE WHEN c_custkey % 7 <> 0 AND c_custkey % 5 <> 0 THEN greatest(c_name, 'A') END AS artist, CASE WHEN c_custkey % 7 <> 0 AND c_custkey % 5 <> 0 THEN 1.0::DOUBLE END AS match_score, CASE WHEN c_custkey IS NULL OR c_custkey % 7 = 0 THEN 'not_found' WHEN c_custkey % 5 = 0 THEN 'no_preview' END AS error FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
+sql("resolution_cache", "la AS (SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS p FROM orders GROUP BY 1)", "SELECT c_custkey, CASE WHEN c_custkey % 9 <> 0 THEN p END AS track_id FROM customer LEFT JOIN la ON o_custkey = c_custkey")
+sql("resolvable_rows", "", "SELECT DISTINCT CASE WHEN c_custkey % 2 = 0 THEN 'id:' || c_nationkey ELSE 'q3:' || lower(c_mktsegment) || chr(1) || 't' END AS query_key FROM customer WHERE c_custkey % 3 <> 0")
+sql("stream_batch", "", """SELECT CASE WHEN error IS NULL THEN 'ok' ELSE 'error' END AS status, artist, title, track_id, error FROM (SELECT artist, title, track_id, CASE WHEN bad OR (track_id IS NULL AND (artist IS NULL OR trim(title) = '')) THEN 'invalid_input' WHEN track_id IS NULL THEN 'no_match' WHEN c_custkey IS NULL THEN 'not_found' ELSE 'no_preview' END AS error FROM (
+  SELECT bad, CASE WHEN NOT bad AND o_orderkey % 7 <> 0 THEN o_orderstatus END AS artist, CASE WHEN NOT bad THEN CASE WHEN o_orderkey % 11 = 0 THEN ' ' ELSE o_orderpriority END END AS title, CASE WHEN NOT bad AND o_orderkey % 5 = 0 THEN o_custkey END AS track_id
+  FROM (SELECT *, o_orderkey % 17 = 0 OR o_orderkey % 13 = 0 AS bad FROM orders WHERE o_orderkey % 19 <> 0)) LEFT JOIN customer ON c_custkey = track_id)""")
+sql("search_responses", "", """SELECT p_brand || '/' || p_size AS key, p_partkey AS track_id, p_name AS title, p_brand AS artist, NULL::VARCHAR AS error FROM part WHERE p_size % 10 > 1
+  UNION ALL SELECT DISTINCT p_brand || '/' || p_size, NULL, NULL, NULL, CASE WHEN p_size % 10 = 0 THEN 'http' END FROM part WHERE p_size % 10 <= 1""")
+sql("manifest_rows", "", "SELECT 'set' AS dataset, c_custkey::VARCHAR AS id, c_name AS url, (c_custkey % 14)::INT AS tonic_pc, CASE WHEN c_custkey % 3 = 0 THEN 'major' ELSE 'minor' END AS mode FROM customer WHERE c_custkey % 11 <> 0 AND c_custkey % 14 < 12 AND c_custkey % 3 < 2")
+sql("confident_labels", "", "SELECT 'set' AS dataset, c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN 3 WHEN 1 THEN 6 WHEN 3 THEN 9 ELSE 11 END::INT AS tonic_pc, CASE WHEN c_custkey % 5 IN (0, 4) THEN 'minor' ELSE 'major' END AS mode FROM customer WHERE c_nationkey % 3 = 2 AND c_custkey % 5 <> 2")
+sql("parsed_options", "p AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'de' WHEN 4 THEN 'jp' END AS country, CASE c_custkey % 5 WHEN 0 THEN 'bands' WHEN 1 THEN 'krumhansl' WHEN 4 THEN NULL ELSE 'edm' END AS profile, ['bands', 'ks', 'shaath', 'edm', 'other'][c_custkey % 5 + 1] AS said FROM customer)", "SELECT c_custkey, country, profile, 'key_profile=' || said || ',explain_key_scoring=' || CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'false' END AS options, 'https://catalog.example/lookup?id=' || c_custkey || '&entity=song' || coalesce('&country=' || country, '') AS lookup_url FROM p")
+_pow2 = lambda secs: f"pow(2, ceil(log2(floor({secs} * rate))))::INT"
+sql("frame_sizes", f"r AS (SELECT (n_nationkey * 3777 + 4000)::INT AS rate FROM nation), s AS (SELECT rate, {_pow2(k.ONSET_WINDOW)} AS o, {_pow2(k.CHROMA_WINDOW)} AS c, (greatest(1, floor(16384 / 44100 * rate / 256 + 0.5)) * 256)::INT AS b FROM r)", "SELECT rate, o AS onset_window, (o // 8)::INT AS onset_hop, c AS chroma_window, (c // 4)::INT AS chroma_hop, b AS band_window, (b // 8)::INT AS band_hop FROM s")
+_mel = lambda hz: f"2595 * log10(1 + {hz} / 700.0)"
+sql("mel_filterbank", f"""ed AS (SELECT i, 700 * (pow(10, ({_mel(k.MEL_LOW)} + i * (({_mel(11000.0)}) - {_mel(k.MEL_LOW)}) / 65) / 2595) - 1) AS hz FROM (SELECT unnest(range(66)) AS i)),
+  tr AS (SELECT a.i AS m, a.hz AS low, b.hz AS mid, c.hz AS high FROM ed a JOIN ed b ON b.i = a.i + 1 JOIN ed c ON c.i = a.i + 2), bi AS (SELECT b, b * 22000 / 126.0 AS hz FROM (SELECT unnest(range(64)) AS b)),
+  wt AS (SELECT m, b, greatest(CASE WHEN hz <= mid THEN (hz - low) / (mid - low) ELSE (high - hz) / (high - mid) END, 0) AS w FROM tr, bi WHERE hz BETWEEN low AND high),
+  x AS (SELECT vec_id, unnest(range(64)) AS b, abs(unnest(embedding)::DOUBLE) AS v FROM embeddings)""", "SELECT vec_id AS clip, m::INT AS m, round(sum(w * v), 6) AS v FROM x JOIN wt USING (b) WHERE w > 0 GROUP BY ALL")
+sql("middle_slice", "s AS (SELECT vec_id, embedding AS x, vec_id % 7 + 4 AS rate FROM embeddings), c AS (SELECT vec_id, x[floor(greatest(64.0 / rate - 8, 0) / 2 * rate)::INT + 1 : floor(greatest(64.0 / rate - 8, 0) / 2 * rate)::INT + rate * 8] AS y FROM s)", "SELECT vec_id, len(y)::INT AS n, round(list_sum(list_transform(y, lambda v: v::DOUBLE)), 5) AS total FROM c")

@@ -7,16 +7,22 @@ clip, 20 frames a second), spectra or chroma; hourly sums of ``events`` for seri
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import expr, synth
+from . import scratch
+from .constants import PITCHES
+from .functions import expr, sql, synth
 from .functions.sql import analyze_audio
-from .operators import cache, frames, key, match, tempo, validate
+from .operators import cache, frames, kernels, key, match, tempo, validate
+from .plans import batch
 from .schema import analysis
-from .sources import lines
+from .sources import catalog, lines
+from .streaming import batch as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -257,7 +263,7 @@ def match_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     artists = [F.concat(brand, F.lit(" & "), kind), F.concat(brand, F.lit(" feat. Guest")), brand, brand]
     pick = lambda of: F.element_at(F.array(*of), (n % len(of) + 1).cast("int"))
     rows = table(spark, sf_dir, "part").select(n.alias("id"), brand.alias("brand"), name.alias("name"), pick(titles).alias("title"), pick(artists).alias("artist"), F.when(n % 7 != 0, "there").alias("preview"))
-    asked = rows.where("id % 5 = 0").select(F.col("id").alias("query_id"), "brand", "name", F.col("title").alias("q_title"), F.col("artist").alias("q_artist"))
+    asked = rows.select(F.col("id").alias("query_id"), "brand", "name", F.col("title").alias("q_title"), F.col("artist").alias("q_artist"))
     known = rows.select(F.col("id").alias("c_track_id"), "brand", "name", F.col("title").alias("c_title"), F.col("artist").alias("c_artist"), F.col("preview").alias("c_preview"))
     return asked.join(known, ["brand", "name"])
 
@@ -275,7 +281,7 @@ def pick_best(spark, sf_dir):
 @query
 def block_and_match(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    asked = part.where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_brand").alias("q_artist"), F.col("p_name").alias("q_title"))
+    asked = part.select(F.col("p_partkey").alias("query_id"), F.col("p_brand").alias("q_artist"), F.col("p_name").alias("q_title"))
     known = part.select(F.col("p_partkey").alias("c_track_id"), F.col("p_brand").alias("c_artist"), F.col("p_name").alias("c_title"), F.lit("there").alias("c_preview"))
     return match.pick_best(match.block(asked, known)).select("query_id", F.col("c_track_id").alias("track_id"), "match_score")
 
@@ -323,7 +329,7 @@ def rate_limit(spark, sf_dir):
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = F.when(F.col("l_linenumber") != 6, 60 + F.col("l_discount") * 2000)
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("genre"), (90 + F.col("l_quantity")).alias("want"), got.alias("got"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("genre"), (90 + F.col("l_quantity")).alias("want"), got.alias("got"), "l_extendedprice", "l_partkey", "l_suppkey", "l_discount", "l_tax")
     return rows.withColumn("verdict", expr.verdict(F.col("want"), F.col("got")))
 
 
@@ -343,11 +349,31 @@ def key_matches(spark, sf_dir):
     return pairs.select("a", F.col("b").cast(n.schema["a"].dataType).alias("b"), expr.key_matches(name(F.col("a")), name(F.col("b"))).alias("matches"))
 
 
+def checked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validation rows of every line item: tempos as ``judged`` has them, keys by turns right, wrong, missing and not expected."""
+    n, spelled = F.col("l_suppkey") % 12, F.array(*map(F.lit, PITCHES))
+    name = lambda i: F.concat(F.element_at(spelled, (i + 1).cast("int")), F.when(F.col("l_linenumber") % 2 == 0, " minor").otherwise(" major"))
+    rows = judged(spark, sf_dir).select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long")).alias("label"), "genre", F.col("want").alias("expected_bpm"), "got", "l_linenumber", "l_suppkey", "l_discount", "l_tax")
+    expected = rows.select("label", "genre", "expected_bpm", F.when(F.col("l_linenumber") == 3, "").otherwise(name(n)).alias("expected_key"))
+    key = F.when(F.col("l_linenumber") != 5, name(F.when(F.col("l_linenumber") == 4, (n + 7) % 12).otherwise(n)))
+    sure = F.round(F.col("l_discount") * 10, 2)
+    estimated = rows.select("label", F.col("got").alias("bpm"), F.when(F.col("got").isNotNull(), sure).alias("confidence"), F.when(F.col("got").isNotNull(), sure <= 0.5).alias("uncertain"), key.alias("key"), F.when(key.isNotNull(), F.round(F.col("l_tax") * 12, 2)).alias("key_confidence"), F.when(key.isNotNull(), F.round(F.col("l_tax") * 12, 2) <= 0.5).alias("key_uncertain"), F.when(F.col("l_linenumber") == 7, "decode: broken").alias("error"))
+    return validate.rows(expected, estimated)
+
+
+@query
+def validation_rows(spark, sf_dir):
+    return checked_rows(spark, sf_dir).select("label", "verdict", "key_ok", validate.passed().alias("passed"))
+
+
 @query
 def validation_summary(spark, sf_dir):
-    rows = judged(spark, sf_dir)
-    is_ = lambda v: F.count_if(F.col("verdict") == v)
-    return rows.groupBy("genre").agg(F.count("*").alias("total"), is_("ok").alias("tempo_ok"), is_("octave_error").alias("octave_errors"), is_("metric_error").alias("metric_errors"), (F.count("*") - is_("ok")).alias("failures"))
+    return validate.summary(checked_rows(spark, sf_dir), "genre")
+
+
+@query
+def validation_diagnostics(spark, sf_dir):
+    return validate.diagnostics(checked_rows(spark, sf_dir))
 
 
 @query
@@ -386,26 +412,189 @@ def search_url(spark, sf_dir):
 
 @query
 def wav_decode_analyze(spark, sf_dir):
-    """Self-test signals as WAV bytes, decoded and analysed: one row a signal."""
-    rows = [(i, float(bpm), name, bytearray(synth.wav(synth.selftest_case(i, 8, 22050) * 0.5, 22050))) for i, (bpm, _, _, name, *_) in enumerate(synth.SELFTEST[:4])]
-    clips = spark.createDataFrame(rows, "clip int, expected_bpm double, expected_key string, content binary").repartition(4, "clip")
-    got = clips.select("clip", F.col("expected_bpm"), "expected_key", analyze_audio()("content", F.lit("bands")).alias("got"))
-    return got.select("clip", "expected_bpm", F.col("got.features.tempo.bpm").alias("bpm"), "expected_key", F.col("got.features.key.key").alias("key"), F.col("got.audio.duration_secs").alias("duration_secs"))
+    """All self-test signals at full length as WAV bytes, decoded and analysed: one row a signal."""
+    rows = [(i, float(bpm), name, bytearray(synth.wav(synth.selftest_case(i) * 0.5))) for i, (bpm, _, _, name, *_) in enumerate(synth.SELFTEST)]
+    clips = spark.createDataFrame(rows, "clip int, expected_bpm double, expected_key string, content binary").repartition(len(rows), "clip")
+    got = clips.select("clip", F.col("expected_bpm"), "expected_key", analyze_audio()("content", F.lit("bands"), F.lit(False)).alias("got"))
+    tempo, key_ = F.col("got.features.tempo"), F.col("got.features.key.key")
+    named = (F.col("expected_key") == "") | (key_ == F.col("expected_key"))
+    return got.select("clip", "expected_bpm", F.round(tempo["bpm"].cast("double"), 0).alias("bpm"), "expected_key", named.alias("key_right"), F.round("got.audio.duration_secs", 3).alias("duration_secs"))
 
 
 @query
 def validation_report(spark, sf_dir):
     """Markdown rows of estimates against expectations."""
-    rows = judged(spark, sf_dir).where("l_linenumber <= 6").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("label"), "genre", F.col("want").alias("expected_bpm"), F.lit("").alias("expected_key"), F.col("got").alias("bpm"))
-    expected = rows.select("label", "genre", "expected_bpm", "expected_key")
-    estimated = rows.where("bpm IS NOT NULL").select("label", "bpm", F.lit(None).cast("string").alias("key"), F.lit(0.5).alias("confidence"))
-    return validate.table(validate.rows(expected, estimated))
+    return validate.table(checked_rows(spark, sf_dir))
+
+
+@query
+def key_alternates(spark, sf_dir):
+    chroma = twelve(spark, sf_dir)
+    best = key.estimate(key.correlations(chroma, "edm"), key.gates(chroma), learned=False)
+    rows = best.select("clip", F.posexplode("alternates").alias("place", "a"))
+    return rounded(rows.select("clip", F.col("place").cast("int").alias("place"), "a.value", "a.label", "a.relation", F.col("a.score").alias("score")), score=3)
+
+
+def sixty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(clip, band, pc, e): the first 60 numbers of each vector as band chroma."""
+    bands = vectors(spark, sf_dir).select("clip", F.posexplode(F.slice("x", 1, 60)).alias("i", "e"))
+    return bands.select("clip", F.floor(F.col("i") / 12).cast("int").alias("band"), (F.col("i") % 12).alias("pc"), "e")
+
+
+@query
+def key_bands(spark, sf_dir):
+    """Keys by the learned scorer, with the gates of the bands' sum."""
+    bands = sixty(spark, sf_dir)
+    total = bands.groupBy("clip", "pc").agg(F.sum("e").alias("e"))
+    best = key.estimate(key.probabilities(bands), key.gates(total), learned=True)
+    return rounded(best.select("clip", "key", "camelot", "confidence", "uncertain", "correlation", "runner_up", "structure", "coverage"), correlation=6, runner_up=6, structure=6, coverage=6)
+
+
+@query
+def chroma_key(spark, sf_dir):
+    return vectors(spark, sf_dir).select("clip", sql.chroma_key(F.slice("x", 1, 12)).alias("key"))
+
+
+@query
+def key_metrics(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    n = F.col("doc_id")
+    rows = rows.select(F.col("lang").alias("dataset"), (n % 12).alias("tonic"), (n % 2 == 0).alias("minor"), ((n + F.when(n % 3 == 0, 0).when(n % 3 == 1, 7).otherwise(9)) % 12).alias("got_tonic"), ((n % 2 == 0) != (F.col("toxic") == 1)).alias("got_minor"), ((n % 101) / 100.0).alias("confidence"))
+    return rounded(validate.key_metrics(rows), exact=6, mirex=6, coverage=6, precision=6)
+
+
+@query
+def track_lookup(spark, sf_dir):
+    """Requests by id against a catalog in which ids repeat, miss a preview or are not there."""
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("line_no"), F.col("o_custkey").alias("track_id"))
+    known = table(spark, sf_dir, "customer").where("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("c_track_id"), F.col("c_name").alias("c_artist"), F.col("c_mktsegment").alias("c_title"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_name")).alias("c_preview"))
+    repeated = known.unionByName(known.withColumn("c_artist", F.lit("A")))
+    return match.lookup(asked, repeated).select("line_no", "track_id", F.when(F.col("error").isNull(), F.col("c_artist")).alias("artist"), "match_score", "error")
+
+
+@query
+def resolution_cache(spark, sf_dir):
+    """Requests answered from stored resolutions: the latest of each key counts, what doesn't parse is a miss."""
+    rows = table(spark, sf_dir, "orders")
+    options = batch.Options(country="de")
+    said = lambda c: F.struct(F.col(c).alias("artist"), F.lit("t").alias("title"), F.lit(None).cast("long").alias("track_id"))
+    text = F.when(F.col("o_custkey") % 9 == 0, "{broken").otherwise(F.to_json(F.struct(F.col("o_orderkey").alias("track_id"))))
+    stored_ = rows.select(batch.resolution_key(said("o_custkey"), options).alias("query_key"), text.alias("matched"), (F.unix_timestamp("o_orderdate") * 10_000_000 + F.col("o_orderkey")).alias("created_at"))
+    known = cache.resolutions(stored_, "track_id BIGINT").withColumnRenamed("query_key", "_key")
+    asked = table(spark, sf_dir, "customer").select("c_custkey", batch.resolution_key(said("c_custkey"), options).alias("query_key"))
+    return asked.join(known, F.col("query_key") == F.col("_key"), "left").select("c_custkey", F.col("track.track_id").alias("track_id"))
+
+
+@query
+def resolvable_rows(spark, sf_dir):
+    """What a batch would store: one resolution a key, by the rules of its market."""
+    rows = table(spark, sf_dir, "customer")
+    none = lambda kind: F.lit(None).cast(kind)
+    from .schema import AUDIO, FEATURES, TRACK
+
+    track = F.struct(F.col("c_nationkey").cast("long").alias("track_id"))
+    whole = F.struct(*[(track["track_id"] if f == "track_id" else F.lit(None).cast(kind)).alias(f) for f, kind in (x.strip().split(": ") for x in TRACK[7:-1].split(","))])
+    query_ = F.struct(F.col("c_mktsegment").alias("artist"), F.lit("T").alias("title"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_nationkey").cast("long")).alias("track_id"), none("string").alias("client_ref"))
+    done = rows.select(analysis(query_, F.when(F.col("c_custkey") % 3 != 0, whole), none(FEATURES), none(AUDIO), F.lit(False), F.lit(None).cast("STRUCT<kind: STRING, message: STRING>")).alias("analysis"))
+    return batch.resolvable(done, options=batch.Options(country="us")).select("query_key")
+
+
+@query
+def stream_batch(spark, sf_dir):
+    """The whole batch on a stream over a folder of request lines, with a catalog that lacks previews."""
+    text = request_lines(spark, sf_dir).select(F.col("line").alias("value"))
+    folder = f"{scratch.folder(spark)}/stream-{uuid.uuid4().hex}"
+    text.write.text(f"{folder}/in")
+    none = F.lit(None).cast("string")
+    known = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c_track_id"), none.alias("c_artist"), none.alias("c_title"), none.alias("c_preview"))
+    files = spark.createDataFrame([], "path string, content binary")
+    stream.start(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", known, files, once=True).awaitTermination()
+    got = F.from_json("value", "status STRING, query STRUCT<artist: STRING, title: STRING, track_id: BIGINT>, error STRUCT<kind: STRING>")
+    return spark.read.text(f"{folder}/out").select(got.alias("a")).select("a.status", "a.query.artist", "a.query.title", "a.query.track_id", F.col("a.error.kind").alias("error"))
+
+
+@query
+def search_responses(spark, sf_dir):
+    """Entries of search responses, one body a brand; a body that doesn't parse is an error."""
+    part = table(spark, sf_dir, "part")
+    one = F.struct(F.col("p_partkey").alias("trackId"), F.col("p_name").alias("trackName"), F.col("p_brand").alias("artistName"), F.lit(1).alias("more"))
+    body = F.to_json(F.struct(F.count("*").alias("resultCount"), F.sort_array(F.collect_list(one)).alias("results")))
+    bodies = part.groupBy("p_brand", "p_size").agg(body.alias("body")).select(F.concat_ws("/", "p_brand", "p_size").alias("key"), F.when(F.col("p_size") % 10 == 0, "<html>").when(F.col("p_size") % 10 == 1, "{}").otherwise(F.col("body")).alias("body"))
+    return catalog.responses(bodies).select("key", F.col("c_track_id").alias("track_id"), F.col("c_title").alias("title"), F.col("c_artist").alias("artist"), "error")
+
+
+@query
+def manifest_rows(spark, sf_dir):
+    """A tab-separated manifest, written and read; lines that don't fit are dropped."""
+    n = F.col("c_custkey")
+    line = F.concat_ws("\t", F.lit("set"), n.cast("string"), F.col("c_name"), F.when(n % 11 == 0, "x").otherwise((n % 14).cast("string")), F.when(n % 3 == 0, "major").when(n % 3 == 1, "minor").otherwise("dorian"))
+    path = f"{scratch.folder(spark)}/manifest-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "customer").select(line).write.text(path)
+    return catalog.manifest(spark, path)
+
+
+@query
+def confident_labels(spark, sf_dir):
+    spelled = F.element_at(F.array(*map(F.lit, ("Eb minor", "f# major", "H", "A", "Cb  Minor"))), (F.col("c_custkey") % 5 + 1).cast("int"))
+    raw = table(spark, sf_dir, "customer").select(F.lit("set").alias("dataset"), F.col("c_custkey").alias("id"), spelled.alias("label"), (F.col("c_nationkey") % 3).alias("confidence"))
+    return catalog.labelled(raw)
+
+
+@query
+def parsed_options(spark, sf_dir):
+    """Country codes, profile names and option keys as they are given."""
+    n = F.col("c_custkey")
+    code = F.element_at(F.array(*map(F.lit, (" DE", "usa", "g1", "", "Jp", None))), (n % 6 + 1).cast("int"))
+    name = F.element_at(F.array(*map(F.lit, ("Bands", "KS", "shaath", "EDM", "other"))), (n % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", expr.country(code).alias("country"), expr.profile(name).alias("profile"), expr.options_key(name, n % 2 == 0).alias("options"), expr.lookup_url("https://catalog.example", n, expr.country(code)).alias("lookup_url"))
+
+
+@query
+def frame_sizes(spark, sf_dir):
+    """Windows and hops that each sampling rate gets for onsets, chroma and key bands."""
+    rates = table(spark, sf_dir, "nation").select((F.col("n_nationkey") * 3777 + 4000).cast("int").alias("rate"))
+
+    @F.pandas_udf("onset_window int, onset_hop int, chroma_window int, chroma_hop int, band_window int, band_hop int")
+    def sized(rate: pd.Series) -> pd.DataFrame:
+        rows = [[x for use in ("onsets", "chroma", "bands") for x in kernels.sizes(int(r), use)] for r in rate]
+        return pd.DataFrame(rows, columns=["onset_window", "onset_hop", "chroma_window", "chroma_hop", "band_window", "band_hop"])
+
+    return rates.select("rate", sized("rate").alias("s")).select("rate", "s.*")
+
+
+@query
+def mel_filterbank(spark, sf_dir):
+    """Every vector as a spectrum of 64 bins of 171.875 Hz, through 64 triangles on the mel scale."""
+    weights = kernels.mel_weights(22000, 126)
+    rows = [(int(m), int(b), float(weights[b, m])) for b, m in zip(*weights.nonzero())]
+    filters = spark.createDataFrame(rows, "m int, b int, w double").coalesce(1)
+    spectrum = vectors(spark, sf_dir).select("clip", F.lit(0).alias("t"), F.posexplode("x").alias("b", "mag"))
+    return rounded(frames.mel_spectrum(spectrum, filters).select("clip", "m", "v"), v=6)
+
+
+@query
+def middle_slice(spark, sf_dir):
+    """The middle of each vector, as if it were samples at 4 to 10 a second and the cut 8 seconds."""
+    rate = (F.col("vec_id") % 7 + 4).cast("int")
+    return table(spark, sf_dir, "embeddings").select("vec_id", frames.middle(F.col("embedding"), rate, 8.0).alias("x")).select("vec_id", F.size("x").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 5).alias("total"))
+
+
+@query
+def key_fit(spark, sf_dir):
+    """The learned scorer fitted on vectors as bands: loss over all of them, and how many it gets right."""
+    x = F.transform("embedding", lambda v: F.abs(v.cast("double")))
+    n = F.col("vec_id")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", (n % 12).cast("int").alias("tonic"), (n % 2 == 0).alias("minor"), F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.slice(x, i * 12 + 1, F.lit(12))).alias("bands"))
+    weights, bias = validate.fit(rows)
+    got = validate.predicted(rows, weights, bias)
+    right = (F.col("got_tonic") == F.col("tonic")) & (F.col("got_minor") == F.col("minor"))
+    return got.agg(F.count("*").alias("n"), F.count_if(right).alias("exact"), F.round(F.avg("share"), 4).alias("share"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tempo candidates of every clip, from band energies: six window and aggregate operators in one plan."""
     env = frames.onset_envelope(mel(spark, sf_dir), FPS, 2)
-    return tempo.candidates(env.select("clip", "t", "x"), FPS)
+    return rounded(tempo.candidates(env.select("clip", "t", "x"), FPS), bpm=6)
 
 
 QUERIES["flagship"] = flagship
