@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 JOINED = 64
 _L = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 _N = "0-9²³¹¼-¾"
@@ -76,24 +76,44 @@ def whole_tokens(path: str) -> list[str]:
     return sorted({text for text, one in zip(texts.values(), found) if len(one.ids) == 1 and WORD.fullmatch(text.lower()) and text == text.lower()})
 
 
-class Counter:
+class Remembering:
+    """A table ``known`` of pre-tokens, of bounded size: when it is full, those met in one batch of texts only go."""
+
+    known: dict
+    lasting: dict = {}
+
+    def __init__(self):
+        self.again: set[str] = set()
+
+    def room(self, unknown: list[str], met: set[str]) -> None:
+        """Make room for ``unknown``, all pre-tokens ``met`` in a batch of texts but those known."""
+        self.again |= met.difference(unknown)
+        if len(self.known) + len(unknown) > REMEMBERED + len(self.lasting):
+            kept = self.again | met if len(self.again) < REMEMBERED // 2 else met
+            self.known = self.lasting | {p: self.known[p] for p in kept if p in self.known}
+            self.again = set()
+
+
+class Counter(Remembering):
     """Token counts by ``word_bpe``-like files: lower case, white space dropped, word ends marked."""
 
     def __init__(self, path: str, single: list[str]):
-        self.library, self.single = _library(path), single
+        super().__init__()
+        self.library, self.lasting = _library(path), dict.fromkeys(single, 1)
         vocab = self.library.get_vocab(with_added_tokens=True)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
-        self.known: dict[str, int] = dict.fromkeys(single, 1)
+        self.known: dict[str, int] = dict(self.lasting)
 
-    def learn(self, unknown: list[str]) -> None:
-        if len(self.known) + len(unknown) > REMEMBERED + len(self.single):
-            self.known = dict.fromkeys(self.single, 1)
+    def learn(self, unknown: list[str], met: set[str]) -> None:
+        self.room(unknown, met)
         parts = [unknown[lo : lo + JOINED] for lo in range(0, len(unknown), JOINED)]
         for part, got in zip(parts, self.library.encode_batch_fast([" ".join(x) for x in parts], add_special_tokens=False)):
             stops = np.flatnonzero(self.ends[got.ids])
-            assert len(stops) == len(part), "a pre-token was cut otherwise by the library"
+            if len(stops) != len(part):  # the library cut one of them otherwise: each on its own
+                self.known.update((x, len(one.ids)) for x, one in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)))
+                continue
             self.known.update(zip(part, np.diff(stops, prepend=-1).tolist()))
 
     def count(self, texts: list[str | None]) -> np.ndarray:
@@ -104,27 +124,21 @@ class Counter:
             if (not text.isascii() and (UNPROVEN.search(text) or not unicodedata.is_normalized("NFC", text))) or any(s in text for s in self.special):
                 whole.append(i)
                 continue
-            parts = WORD.findall(text.lower())
-            try:
-                out[i] = sum(map(self.known.__getitem__, parts))
-            except KeyError:
-                later.append((i, parts))
-        self.learn([*{p for _, parts in later for p in parts if p not in self.known}])
+            later.append((i, WORD.findall(text.lower())))
+        met = set().union(*(parts for _, parts in later))
+        self.learn([p for p in met if p not in self.known], met)
         for i, parts in later:
-            try:
-                out[i] = sum(map(self.known.__getitem__, parts))
-            except KeyError:  # the table was emptied meanwhile
-                self.learn([*{p for p in parts if p not in self.known}])
-                out[i] = sum(map(self.known.__getitem__, parts))
+            out[i] = sum(map(self.known.__getitem__, parts))
         for i in whole:
             out[i] = len(self.library.encode(texts[i], add_special_tokens=False).ids)
         return out
 
 
-class Encoder:
+class Encoder(Remembering):
     """Ids by ``byte_bpe``-like files, as bytes of little-endian ``dtype`` numbers."""
 
     def __init__(self, path: str):
+        super().__init__()
         self.library = _library(path)
         vocab = self.library.get_vocab(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
@@ -133,9 +147,8 @@ class Encoder:
         self.starts[[i for piece, i in vocab.items() if piece.startswith("Ġ")]] = True
         self.known: dict[str, bytes] = {}
 
-    def learn(self, unknown: list[str]) -> None:
-        if len(self.known) + len(unknown) > REMEMBERED:
-            self.known = {}
+    def learn(self, unknown: list[str], met: set[str]) -> None:
+        self.room(unknown, met)
         spaced, other = [], []
         for x in unknown:
             (spaced if _SPACED.fullmatch(x) else other).append(x)
@@ -143,7 +156,9 @@ class Encoder:
         for part, got in zip(parts, self.library.encode_batch_fast(["".join(x) for x in parts], add_special_tokens=False)):
             ids = np.array(got.ids)
             first = np.flatnonzero(self.starts[ids])
-            assert len(first) == len(part), "a pre-token was cut otherwise by the library"
+            if len(first) != len(part):  # the library cut one of them otherwise: each on its own
+                other += part
+                continue
             raw, cut = ids.astype(self.dtype).tobytes(), [*(first * self.dtype.itemsize).tolist(), None]
             self.known.update((x, raw[a:b]) for x, a, b in zip(part, cut, cut[1:]))
         for x, got in zip(other, self.library.encode_batch_fast(other, add_special_tokens=False)):
@@ -157,18 +172,11 @@ class Encoder:
             if (not text.isascii() and UNPROVEN.search(text)) or any(s in text for s in self.special):
                 whole.append(i)
                 continue
-            parts = BYTE.findall(text)
-            try:
-                out[i] = b"".join(map(self.known.__getitem__, parts))
-            except KeyError:
-                later.append((i, parts))
-        self.learn([*{p for _, parts in later for p in parts if p not in self.known}])
+            later.append((i, BYTE.findall(text)))
+        met = set().union(*(parts for _, parts in later))
+        self.learn([p for p in met if p not in self.known], met)
         for i, parts in later:
-            try:
-                out[i] = b"".join(map(self.known.__getitem__, parts))
-            except KeyError:
-                self.learn([*{p for p in parts if p not in self.known}])
-                out[i] = b"".join(map(self.known.__getitem__, parts))
+            out[i] = b"".join(map(self.known.__getitem__, parts))
         for i in whole:
             out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, self.dtype).tobytes()
         return out
