@@ -88,22 +88,35 @@ def credited(parts: Column) -> Column:
     return F.concat(rest(inside, at), rest(outside, off))
 
 
+def read_requests(rows: DataFrame) -> DataFrame:
+    """``rows`` (q_artist, q_title, ...) with what ``scored`` reads of a request, once a row and not once a pair."""
+    title = F.coalesce("q_title", F.lit(""))
+    rows = rows.withColumn("_q", brackets(title))
+    read = {"_q_core": core(F.col("_q")), "_q_qual": qualifier(F.col("_q")), "_q_act": without_credit(F.coalesce("q_artist", F.lit("")), False), "_q_plain": normalize(title)}
+    return rows.withColumns(read).drop("_q")
+
+
+def read_entries(rows: DataFrame) -> DataFrame:
+    """``rows`` (c_artist, c_title, ...) with what ``scored`` reads of a catalog entry."""
+    title = F.coalesce("c_title", F.lit(""))
+    rows = rows.withColumn("_c", brackets(title))
+    read = {"_c_core": core(F.col("_c")), "_c_qual": qualifier(F.col("_c")), "_c_act": without_credit(F.coalesce("c_artist", F.lit("")), False), "_c_plain": normalize(title), "_c_named": credited(F.col("_c")), "qualifier_bytes": raw_qualifier_bytes(title)}
+    return rows.withColumns(read).drop("_c")
+
+
 def scored(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (q_artist, q_title, c_artist, c_title, ...) with ``score`` and ``qualifier_bytes``."""
-    q, c = F.coalesce("q_title", F.lit("")), F.coalesce("c_title", F.lit(""))
-    rows = pairs.withColumn("_q", brackets(q)).withColumn("_c", brackets(c))
-    rows = rows.withColumn("_qa", without_credit(F.coalesce("q_artist", F.lit("")), False)).withColumn("_ca", without_credit(F.coalesce("c_artist", F.lit("")), False))
-    rows = rows.withColumn("_qc", core(F.col("_q"))).withColumn("_cc", core(F.col("_c"))).withColumn("_qq", qualifier(F.col("_q"))).withColumn("_cq", qualifier(F.col("_c")))
-    title = (1 - k.QUALIFIER_WEIGHT) * similarity(F.col("_qc"), F.col("_cc")) + k.QUALIFIER_WEIGHT * similarity(F.col("_qq"), F.col("_cq"))
-    title = title * F.when(normalize(q) != normalize(c), k.INEXACT).otherwise(1.0)
-    asked, has = words(F.col("_qa")), words(F.col("_ca"))
-    named = credited(F.col("_c"))
+    """``pairs`` (q_artist, q_title, c_artist, c_title, ...) with ``score`` and ``qualifier_bytes``; either side may have been read before."""
+    rows = pairs if "_q_core" in pairs.columns else read_requests(pairs)
+    rows = rows if "_c_core" in rows.columns else read_entries(rows)
+    title = (1 - k.QUALIFIER_WEIGHT) * similarity(F.col("_q_core"), F.col("_c_core")) + k.QUALIFIER_WEIGHT * similarity(F.col("_q_qual"), F.col("_c_qual"))
+    title = title * F.when(F.col("_q_plain") != F.col("_c_plain"), k.INEXACT).otherwise(1.0)
+    asked, has, named = words(F.col("_q_act")), words(F.col("_c_act")), F.col("_c_named")
     within = (F.size(asked) > 0) & F.forall(asked, lambda t: F.array_contains(has, t))
     moved = (F.size(has) > 0) & F.forall(has, lambda t: F.array_contains(asked, t)) & F.forall(F.filter(asked, lambda t: (t != "and") & ~F.array_contains(has, t)), lambda t: F.array_contains(named, t))
-    artist = similarity(F.col("_qa"), F.col("_ca"))
+    artist = similarity(F.col("_q_act"), F.col("_c_act"))
     artist = F.when(within | moved, F.greatest(artist, F.lit(k.CREDIT_FLOOR))).otherwise(artist)
-    rows = rows.withColumn("score", k.TITLE_WEIGHT * title + (1 - k.TITLE_WEIGHT) * artist).withColumn("qualifier_bytes", raw_qualifier_bytes(c))
-    return rows.drop("_q", "_c", "_qa", "_ca", "_qc", "_cc", "_qq", "_cq")
+    rows = rows.withColumn("score", k.TITLE_WEIGHT * title + (1 - k.TITLE_WEIGHT) * artist)
+    return rows.drop("_q_core", "_q_qual", "_q_act", "_q_plain", "_c_core", "_c_qual", "_c_act", "_c_plain", "_c_named")
 
 
 def pick_best(pairs: DataFrame, key: str = "query_id") -> DataFrame:
@@ -170,7 +183,7 @@ def block(queries: DataFrame, catalog: DataFrame, limit: int = k.SEARCH_LIMIT) -
     rows = best.join(known.select("words", "ids"), "words").select("asked", "shared", "weight", F.explode("ids").alias("c_track_id"))
     order = Window.partitionBy("asked").orderBy(F.desc("shared"), F.desc("weight"), "c_track_id")
     top = rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= limit).select("asked", "c_track_id")
-    return named.join(top, "asked").select("query_id", "c_track_id").join(queries, "query_id").join(catalog, "c_track_id")
+    return named.join(top, "asked").select("query_id", "c_track_id").join(read_requests(queries), "query_id").join(read_entries(catalog), "c_track_id")
 
 
 def lookup(queries: DataFrame, catalog: DataFrame) -> DataFrame:

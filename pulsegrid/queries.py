@@ -265,7 +265,7 @@ def match_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select(n.alias("id"), brand.alias("brand"), name.alias("name"), pick(titles).alias("title"), pick(artists).alias("artist"), F.when(n % 7 != 0, "there").alias("preview"))
     asked = rows.select(F.col("id").alias("query_id"), "brand", "name", F.col("title").alias("q_title"), F.col("artist").alias("q_artist"))
     known = rows.select(F.col("id").alias("c_track_id"), "brand", "name", F.col("title").alias("c_title"), F.col("artist").alias("c_artist"), F.col("preview").alias("c_preview"))
-    return asked.join(known, ["brand", "name"])
+    return match.read_requests(asked).join(match.read_entries(known), ["brand", "name"])
 
 
 @query
