@@ -15,7 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents"), n=3, num=90, den=100).withColumnRenamed("id", "doc_id")
+    linked = jaccard.join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+    return linked.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
 def vocabulary(name: str) -> str:
@@ -80,7 +81,7 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.groups(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return dedup.groups(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").drop("mark")
 
 
 #: The written rules of the page filter: (action, host, path).

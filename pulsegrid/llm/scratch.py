@@ -1,41 +1,5 @@
-"""Tables written to the folder that driver and executors share.
+"""Tables written to the folder that driver and executors share: see ``pulsegrid.scratch``."""
 
-Long lineages are cut by writing a Parquet table below ``spark.checkpoint.dir``
-and reading it again: an executor that is lost later costs nothing, since the
-files outlive it.  The setting is read from the session; only where none is set
-(tests, a laptop) a folder of the local machine takes its place.
-"""
+from ..scratch import at_most, bucketed, drop, folder, release, written
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def folder(spark: SparkSession) -> str:
-    """The shared folder; sets one of its own only where the session has none."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="scratch-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df``, written to the shared folder and read from there."""
-    spark = df.sparkSession
-    path = f"{folder(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished queries now; it does so when the driver collects garbage."""
-    spark.sparkContext._jvm.System.gc()
-
-
-def at_most(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` (a written table) has no more than ``rows`` rows."""
-    return df.count() <= rows
+__all__ = ["at_most", "bucketed", "drop", "folder", "release", "written"]

@@ -63,7 +63,8 @@ def test_bits_never_exceed_differences():
     for _ in range(50):
         a = np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64))
         b = np.union1d(a[rng.random(len(a)) < 0.8], rng.integers(0, 1 << 63, 30, dtype=np.uint64))
-        bits = np.bitwise_count((jaccard.signature(a) ^ jaccard.signature(b)).view(np.uint64)).sum()
+        x, y = jaccard.folded([jaccard.signature(s, 80, 100) for s in (a, b)])
+        bits = np.bitwise_count(x ^ y).sum()
         assert bits <= len(np.setxor1d(a, b))
 
 
@@ -82,3 +83,66 @@ def test_components(spark):
         parent[max(x, y)] = min(x, y)
     got = {r.id: r.root for r in links.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in parent if any(x in e and e[0] != e[1] for e in edges)}
+
+
+def test_large_group_of_near_copies_in_several_components(spark, monkeypatch):
+    """2,000 copies of three texts, each with words of its own replaced: which are linked depends on the pair."""
+    monkeypatch.setattr(jaccard, "TILE", 64)
+    monkeypatch.setattr(jaccard, "PARTNERS", 50)
+    rng = random.Random(8)
+    rows = []
+    for family in range(3):
+        base = ["w%d" % rng.randint(0, 5000) for _ in range(60)]
+        for _ in range(2000 // 3):
+            text = list(base)
+            for at in rng.sample(range(60), rng.choice([0, 1, 1, 2, 2, 3])):
+                text[at] = "x%d" % rng.randint(0, 10**9)
+            rows.append((len(rows), " ".join(text)))
+    rng.shuffle(rows)
+    got = {r.id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), 3, 80, 100).collect()}
+    sets = {i: frozenset(tuple(w[k : k + 3]) for k in range(len(w) - 2)) for i, w in ((i, t.split()) for i, t in rows)}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for family in range(3):
+        ids = range(family * (2000 // 3), (family + 1) * (2000 // 3))
+        for i in ids:
+            for j in range(i + 1, ids[-1] + 1):
+                if find(i) != find(j):
+                    both = len(sets[i] & sets[j])
+                    if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                        x, y = find(i), find(j)
+                        parent[max(x, y)] = min(x, y)
+    assert got == {i: find(i) for i in sets}
+    assert len(set(got.values())) > 3
+
+
+def test_long_texts_repeated_ids_and_first(spark):
+    long = " ".join(f"w{i}" for i in range(40_000))
+    rows = [(1, long), (2, long + " and some more"), (3, "one two three four five six seven"), (3, "other words than these are here now"), (4, "other words than these are here now"), (None, "one two three four five six seven"), (5, None), (5, " ")]
+    got = jaccard.join(spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, mark long").repartition(3), 5, 80, 100).collect()
+    assert sorted((r.id or 0, r.n_shingles, r.component_id or 0, r.first) for r in got) == [(0, 3, 0, True), (1, 39996, 1, True), (2, 39999, 1, False), (3, 3, 3, True), (3, 3, 3, True), (4, 3, 3, False), (5, 0, 5, True), (5, 0, 5, True)]
+
+
+def test_forest_spans_with_the_closest():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        nodes = int(rng.integers(2, 30))
+        edges = [(int(x), int(y)) for x, y in rng.integers(0, nodes, (60, 2)) if x != y]
+        kept = jaccard.forest(*np.array(edges).T, nodes)
+        up, want = list(range(nodes)), []
+
+        def top(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for e, (x, y) in enumerate(edges):
+            if top(x) != top(y):
+                up[max(top(x), top(y))] = min(top(x), top(y))
+                want.append(e)
+        assert kept.tolist() == want
