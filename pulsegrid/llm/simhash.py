@@ -43,6 +43,8 @@ RADIUS = 31
 PARTS = BITS // 16
 #: Fingerprints that a task holds, about; tasks at least.
 DEALT, LEAST_DEALT = 1 << 17, 16
+#: Pairs compared at once; a task's memory for them is some 20 MB.
+COMPARED = 1 << 17
 _SEEDS = np.arange(1, WORDS + 1, dtype=np.uint64) * np.full(WORDS, 0x9E3779B97F4A7C15, np.uint64)
 
 
@@ -181,7 +183,7 @@ def met(prints: DataFrame, queries: DataFrame, radius: int, each: bool) -> DataF
             ends = np.cumsum(size)
             a = 0
             while a < len(row):
-                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 20), side="right")))
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + COMPARED, side="right")))
                 count = size[a:b]
                 q = np.repeat(row[a:b], count)
                 e = order[np.repeat(low[a:b] - (np.cumsum(count) - count), count) + np.arange(len(q))]

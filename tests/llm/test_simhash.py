@@ -60,3 +60,22 @@ def test_near_copies_are_met(spark):
     assert sum(a != b for a, b in got) / 200 > 0.95
     counted = {name[r.query]: r.n_near for r in simhash.search(df, df.where("doc_id % 2 = 0")).collect()}
     assert counted == {i: sum(a == i for a, _ in got) for i in range(0, 400, 2)}
+
+
+def test_fingerprint_against_plain_votes():
+    """Each distinct pair of words votes on every bit by its hash, with weight 1 + ln n."""
+    rng = random.Random(9)
+    texts = ["one", "one two", "a b a b a b c", text(rng, 50), text(rng, 30) * 3, "Same SAME same"]
+    got = simhash.fingerprints(texts)
+    for row, t in zip(got, texts):
+        hashes = simhash.tk.words(*simhash.tk.buffers(simhash.pa.array([t])))[0]
+        pairs = [int(h) for h in simhash.tk.shingles(hashes, 2)]
+        votes = [0.0] * simhash.BITS
+        for h in set(pairs):
+            weight = 1 + np.log(pairs.count(h))
+            for k in range(simhash.WORDS):
+                raw = simhash.tk.mix(np.array([h], np.uint64) + simhash._SEEDS[k]).view(np.uint8)
+                for b, bit in enumerate(np.unpackbits(raw).tolist()):
+                    votes[64 * k + b] += weight if bit else -weight
+        assert np.packbits(np.array(votes) > 1e-3).view(np.uint64).tolist() == row.tolist() or np.bitwise_count(np.packbits(np.array(votes) > 0).view(np.uint64) ^ row).sum() <= 2
+    assert (simhash.fingerprints(["", " "]) == 0).all()
