@@ -1,12 +1,13 @@
 """Exact duplicates by an exchange of Golomb-coded fingerprints.
 
-1. Every input partition digests its normalised texts (whitespace deleted) and
-   keeps a short fingerprint of each.
-2. It sorts its distinct fingerprints, cuts them by owner (a range of the
-   fingerprint space) and sends each owner one Golomb-Rice-coded list.
-3. An owner decodes its lists, counts in how many a fingerprint stands, and
+1. Every input partition digests its normalised texts (whitespace deleted), keeps a
+   short fingerprint of each, and at its end sorts the distinct ones, cuts them by owner
+   (a range of the fingerprint space) and codes each owner's list by Golomb and Rice.
+   Digests and lists are written by partition: as a table bucketed by it.
+2. An owner decodes its lists, counts in how many a fingerprint stands, and
    answers each sender with one bitmap: which of its entries others have too.
-4. Rows whose bit is set, or whose fingerprint repeats inside their partition,
+3. The bitmaps come back to the digests where these lie, which are not shuffled.
+   Rows whose bit is set, or whose fingerprint repeats inside their partition,
    are suspects.  Only their texts are shuffled, and only to be compared byte for
    byte: grouping by the text itself, after a partial aggregation, so that a group
    of copies of any size costs a row a task.
@@ -36,6 +37,8 @@ from . import scratch
 from . import textkernel as tk
 
 BLANKS = b" \t\n\x0b\x0c\r"
+#: Bits of a fingerprint: of a million million texts each has a false copy in one case of 280.
+PRINT_BITS = 48
 #: Suspects' ids are broadcast up to this many (24 bytes each), else joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -71,12 +74,24 @@ def decode(n: int, width: int, code: bytes) -> np.ndarray:
     return np.cumsum((high << width) + low + 1) - 1
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(pid, seat, id, n_cp, sha) of every row: its partition, its place there, code points, SHA-256 of the normalised text."""
+def prints(sha: list[bytes]) -> np.ndarray:
+    raw = np.frombuffer(b"".join(x[:8] for x in sha), ">u8") if len(sha) else np.zeros(0, np.uint64)
+    return (raw.astype(np.uint64) >> np.uint64(64 - PRINT_BITS)).astype(np.int64)
+
+
+def digests(docs: DataFrame, owners: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (pid, seat, id, mark, n_cp, sha): a text's partition, its place there, a hash of it as it is, code points, SHA-256 when normalised; and lists (pid, owner, n, width, code)."""
+    edges = np.array([(o << PRINT_BITS) // owners for o in range(1, owners)], np.int64)
+    names = ["pid", "seat", "id", "mark", "n_cp", "sha", "owner", "n", "width", "code"]
+    wide = [pa.int64(), pa.int64(), None, pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+
+    def table(rows: int, like: pa.DataType, **given) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(rows, k or like) for c, k in zip(names, wide)], names)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid, seat = TaskContext.get().partitionId(), 0
+        pid, seat, own, like = TaskContext.get().partitionId(), 0, np.zeros(0, np.int64), None
         for batch in batches:
+            like = batch.column("id").type
             sha, points = [], []
             for _, _, data, at in tk.blocks(batch.column("text"), 1 << 22):
                 whole, cut = data.tobytes(), at.tolist()
@@ -84,57 +99,49 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 points.append(tk.code_points(data, at))
             n = batch.num_rows
             points = np.concatenate(points) if points else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, pid)), pa.array(np.arange(seat, seat + n)), batch.column("id"), pa.array(points.astype(np.int64)), pa.array(sha, pa.binary())], ["pid", "seat", "id", "n_cp", "sha"])
+            own = np.union1d(own, prints(sha))
+            yield table(n, like, pid=pa.array(np.full(n, pid)), seat=pa.array(np.arange(seat, seat + n)), id=batch.column("id"), mark=batch.column("mark"), n_cp=pa.array(points.astype(np.int64)), sha=pa.array(sha, pa.binary()))
             seat += n
+        parts = [(o, x) for o, x in enumerate(np.split(own, np.searchsorted(own, edges))) if len(x)]
+        if parts:
+            width, code = zip(*(encode(x, PRINT_BITS) for _, x in parts))
+            yield table(len(parts), like, pid=pa.array([pid] * len(parts)), owner=pa.array([o for o, _ in parts], pa.int32()), n=pa.array([len(x) for _, x in parts], pa.int32()), width=pa.array(width, pa.int32()), code=pa.array(code, pa.binary()))
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(digest, f"pid long, seat long, id {kind}, n_cp long, sha binary")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
+    return rows.mapInArrow(digest, f"pid long, seat long, id {kind}, mark long, n_cp long, sha binary, owner int, n int, width int, code binary")
 
 
-def _prints(sha: pd.Series, bits: int) -> np.ndarray:
-    raw = np.frombuffer(b"".join(x[:8] for x in sha), ">u8") if len(sha) else np.zeros(0, np.uint64)
-    return (raw.astype(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def suspects(seen: DataFrame, bits: int, owners: int) -> DataFrame:
-    """(pid, seat, id, n_cp, sha) of the rows of ``seen`` (a written table of digests) whose fingerprint stands there again."""
-    edges = (np.arange(1, owners, dtype=object) * (1 << bits) // owners).astype(np.int64)
+def suspects(seen: DataFrame, lists: DataFrame) -> DataFrame:
+    """(pid, seat, id, mark, n_cp, sha) of the rows of ``seen`` whose fingerprint stands there again; both are read by partition."""
     rows = seen.schema.simpleString()[7:-1]
 
-    def send(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = np.unique(_prints(pdf["sha"], bits))
-        parts = np.split(own, np.searchsorted(own, edges))
-        coded = [(int(pdf["pid"].iloc[0]), o, len(x), *encode(x, bits)) for o, x in enumerate(parts) if len(x)]
-        return pd.DataFrame(coded, columns=["pid", "owner", "n", "width", "code"])
-
     def own(pdf: pd.DataFrame) -> pd.DataFrame:
-        lists = [decode(n, w, c) for n, w, c in zip(pdf["n"], pdf["width"], pdf["code"])]
-        value, count = np.unique(np.concatenate(lists), return_counts=True)
+        decoded = [decode(n, w, c) for n, w, c in zip(pdf["n"], pdf["width"], pdf["code"])]
+        value, count = np.unique(np.concatenate(decoded), return_counts=True)
         again = value[count > 1]
-        marks = [np.packbits(np.isin(x, again, assume_unique=True)).tobytes() for x in lists]
+        marks = [np.packbits(np.isin(x, again, assume_unique=True)).tobytes() for x in decoded]
         return pd.DataFrame({"pid": pdf["pid"], "owner": pdf["owner"], "n": pdf["n"], "marks": marks})
 
     def suspect(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        mine = _prints(left["sha"], bits)
-        value, inverse, count = np.unique(mine, return_inverse=True, return_counts=True)
+        value, inverse, count = np.unique(prints(left["sha"].tolist()), return_inverse=True, return_counts=True)
         right = right.sort_values("owner")
         told = [np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(right["marks"], right["n"])]
         marked = np.concatenate(told).astype(bool) if told else np.zeros(0, bool)
         return left[((count > 1) | marked)[inverse]]
 
-    lists = seen.groupBy("pid").applyInPandas(send, "pid long, owner int, n int, width int, code binary")
     answers = lists.groupBy("owner").applyInPandas(own, "pid long, owner int, n int, marks binary")
     return seen.groupBy("pid").cogroup(answers.groupBy("pid")).applyInPandas(suspect, rows)
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: id, keep_id, group_size, kept, text_sha256."""
+    """One row for each row of ``docs``: id, keep_id, group_size, kept, text_sha256, mark (a hash of the text as it is)."""
     spark = docs.sparkSession
-    seen = scratch.written(digests(docs, id_col, text_col), "digests")
-    rows = seen.count()
-    bits = min(56, max(16, int(rows).bit_length() + 12))
     owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    doubted = scratch.written(suspects(seen, bits, owners), "suspects")
+    made = scratch.bucketed(digests(docs, owners, id_col, text_col), "digests", "pid", owners)
+    seen = made.where("owner IS NULL").select("pid", "seat", "id", "mark", "n_cp", "sha")
+    lists = made.where("owner IS NOT NULL").select("pid", "owner", "n", "width", "code")
+    doubted = scratch.written(suspects(seen, lists), "suspects")
     ids = doubted.select(F.col("id").alias("_id")).distinct()
     if scratch.at_most(doubted, BROADCAST_ROWS):
         ids = F.broadcast(ids)
@@ -154,4 +161,5 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
         (alone | ((F.col("pid") == -F.col("best.p")) & (F.col("seat") == -F.col("best.s")))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        "mark",
     )
