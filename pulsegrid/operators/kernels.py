@@ -12,7 +12,8 @@ import numpy as np
 
 from .. import constants as k
 
-BLOCK = 512
+#: Samples of a block of frames, so that it stays in a core's cache.
+BLOCK = 1 << 18
 
 
 def power_of_two(n: int) -> int:
@@ -37,8 +38,12 @@ def magnitudes(x: np.ndarray, n: int, hop: int):
         return
     window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
     frames = np.lib.stride_tricks.sliding_window_view(x, n)[::hop]
-    for lo in range(0, len(frames), BLOCK):
-        yield np.abs(np.fft.rfft(frames[lo : lo + BLOCK] * window, axis=1))
+    many = max(1, BLOCK // n)
+    for lo in range(0, len(frames), many):
+        f = np.fft.rfft(frames[lo : lo + many] * window, axis=1)
+        out = f.real**2
+        out += f.imag**2
+        yield np.sqrt(out, out=out)
 
 
 def mel_edges(rate: int) -> np.ndarray:
@@ -137,33 +142,98 @@ def grids(x: np.ndarray, period: float, phases: np.ndarray):
     return mean, np.sqrt(np.maximum(np.einsum("ij,ij->i", v, v) / n - mean**2, 0)), beats
 
 
-def missed(x: np.ndarray, fps: float, period: float, phase: float) -> float:
+class Series:
+    """A series read on many grids: padded for reading windows of it, with the running sum of its onset energy."""
+
+    def __init__(self, x: np.ndarray):
+        self.x = np.asarray(x, float)
+        up = np.maximum(self.x, 0)
+        self.energy, self.total = np.append(0, np.cumsum(up)), float(up.sum())
+        self.up = up
+        self.padded = np.zeros(0)
+
+    def windows(self, width: int) -> np.ndarray:
+        """Every run of ``width`` values, zeros beyond the end."""
+        if len(self.padded) < len(self.x) + width:
+            self.padded = np.append(self.x, np.zeros(2 * width))
+        return np.lib.stride_tricks.as_strided(self.padded, (len(self.x) + 1, width), (8, 8))
+
+
+def half_grids(series: Series, period: float) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, beats) on the grid of ``period`` at every phase 0, 0.5, 1, ... below it, rounded up to a half.
+
+    A beat's values at all whole phases are two neighbouring runs of the series, weighted by
+    the beat's fraction, and so are those at the halves between: one product of a few
+    weights a beat with these runs gives the sums of all phases.
+    """
+    x, steps = series.x, int(np.ceil(period * 2))
+    phases = np.arange(steps) * 0.5
+    beats = np.floor((len(x) - 1 - phases) / period).astype(np.int64) + 1
+    least, most = max(0, int(beats.min())), max(0, int(beats.max()))
+    whole, half = (steps + 1) // 2, steps // 2
+    total = np.zeros(steps)
+    if least:
+        at_ = np.arange(least) * period
+        first = at_.astype(np.int64)
+        part = at_ - first
+        later = part + 0.5
+        carry = later >= 1
+        later = later - carry
+        runs = series.windows(whole + 3)[first]
+        stay = ~carry
+        weights = np.stack([1 - part, part, (1 - later) * stay, later * stay + (1 - later) * carry, later * carry])
+        a, b, c, d, e = weights @ runs
+        total[::2] = a[:whole] + b[1 : whole + 1]
+        total[1::2] = c[:half] + d[1 : half + 1] + e[2 : half + 2]
+    for beat in range(least, most):  # phases differ by a beat or two
+        there = np.flatnonzero(beats > beat)
+        where = phases[there] + beat * period
+        i = np.minimum(where.astype(np.int64), len(x) - 1)
+        after = x[np.minimum(i + 1, len(x) - 1)]
+        total[there] += x[i] + (after - x[i]) * (where - i)
+    return total / np.maximum(beats, 1), beats
+
+
+def missed(series: Series, fps: float, period: float, phase: float) -> float:
     """Over beats, halves and quarters: the share of onset energy off these lines, summed."""
-    up = np.maximum(x, 0)
-    if up.sum() <= 0:
+    if series.total <= 0:
         return float(len(k.LATTICE))
-    beat, lost = (np.arange(len(x)) - phase) / period, 0.0
+    wide, size, lost = k.HALF_WIDTH_SECS * fps, len(series.x), 0.0
     for d in k.LATTICE:
-        line = beat * d
-        off = np.abs(line - np.trunc(line + np.copysign(0.5, line))) * period / d
-        lost += 1 - min(1.0, up[off <= k.HALF_WIDTH_SECS * fps].sum() / up.sum())
+        gap = period / d
+        if gap > 2 * wide + 1:  # lines apart: the energy around each is a difference of running sums
+            line = phase + np.arange(np.floor((-phase - wide) / gap), np.ceil((size - 1 - phase + wide) / gap) + 1) * gap
+            low, high = np.maximum(np.ceil(line - wide), 0).astype(np.int64), np.minimum(np.floor(line + wide), size - 1).astype(np.int64)
+            there = high >= low
+            near = float((series.energy[high[there] + 1] - series.energy[low[there]]).sum())
+        else:
+            line = (np.arange(size) - phase) / period * d
+            off = np.abs(line - np.trunc(line + np.copysign(0.5, line))) * gap
+            near = float(series.up[off <= wide].sum())
+        lost += 1 - min(1.0, near / series.total)
     return lost
 
 
-def comb(x: np.ndarray, fps: float, bpm: float):
+def comb(x: np.ndarray | Series, fps: float, bpm: float):
     """(score, mean, sd, phase) at ``bpm``, or None where no grid fits."""
+    series = x if isinstance(x, Series) else Series(x)
+    x = series.x
     if bpm <= 0 or len(x) < 2:
         return None
     period = 60 * fps / bpm
     if period < 2 or int(period) >= len(x):
         return None
-    phases = np.arange(int(np.ceil(period * 2))) * 0.5
-    mean, sd, beats = grids(x, period, phases)
+    mean, beats = half_grids(series, period)
     if not (beats >= 4).any():
         return None
     best = int(np.argmax(np.where(beats >= 4, mean, -np.inf)))
-    score = mean[best] - k.CONSISTENCY * sd[best] - k.MISS * missed(x, fps, period, phases[best])
-    return float(score), float(mean[best]), float(sd[best]), float(phases[best])
+    phase = best * 0.5
+    where = phase + np.arange(beats[best]) * period
+    i = np.minimum(where.astype(np.int64), len(x) - 1)
+    v = x[i] + (x[np.minimum(i + 1, len(x) - 1)] - x[i]) * (where - i)
+    sd = float(np.sqrt(max(0.0, float((v * v).mean() - v.mean() ** 2))))
+    score = mean[best] - k.CONSISTENCY * sd - k.MISS * missed(series, fps, period, phase)
+    return float(score), float(mean[best]), sd, phase
 
 
 def tempo_candidates(values: np.ndarray, fps: float) -> tuple[list[float], np.ndarray]:
@@ -183,11 +253,11 @@ def tempo_candidates(values: np.ndarray, fps: float) -> tuple[list[float], np.nd
     return found, acf
 
 
-def refine(x: np.ndarray, fps: float, bpm: float):
+def refine(x: Series, fps: float, bpm: float):
     """(bpm, score, mean, sd, phase) of the best tempo near ``bpm`` on a smoothed envelope."""
     first = comb(x, fps, bpm)
     best = (bpm, *first) if first else None
-    beats = len(x) / fps * bpm / 60
+    beats = len(x.x) / fps * bpm / 60
     if beats < 4:
         return best
     step = k.REFINE_DRIFT / beats
@@ -198,16 +268,16 @@ def refine(x: np.ndarray, fps: float, bpm: float):
     return best
 
 
-def precise(x: np.ndarray, fps: float, bpm: float) -> float:
-    if len(x) < 8:
+def precise(x: Series, fps: float, bpm: float) -> float:
+    if len(x.x) < 8:
         return bpm
-    step = k.PRECISION_DRIFT / len(x)
+    step = k.PRECISION_DRIFT / len(x.x)
     half = int(np.ceil(k.PRECISION_SPAN / step))
     best, top = bpm, -np.inf
     for near in bpm * (1 + np.arange(-half, half + 1) * step):
         period = 60 * fps / near
         if period >= 2:
-            mean, _, beats = grids(x, period, np.arange(int(np.ceil(period * 2))) * 0.5)
+            mean, beats = half_grids(x, period)
             here = np.where(beats >= 4, mean, -np.inf).max()
             if here > top:
                 best, top = float(near), here
@@ -259,10 +329,10 @@ def tempo(env: dict) -> dict | None:
     if len(x) < 32:
         return None
     coarse, acf = tempo_candidates(x, fps)
-    soft = smooth(x, int(np.floor(k.SMOOTH_SECS * fps + 0.5)))
+    soft, whole = Series(smooth(x, int(np.floor(k.SMOOTH_SECS * fps + 0.5)))), Series(x)
     tried = [c for c in (refine(soft, fps, b) for b in coarse) if c and np.isfinite(c[1])]
     tried = sorted(tried, key=lambda c: -c[1])[: k.FINALISTS]
-    fine = [(b, *got) for b in (fold(precise(x, fps, c[0])) for c in tried) if (got := comb(x, fps, b))]
+    fine = [(b, *got) for b in (fold(precise(whole, fps, c[0])) for c in tried) if (got := comb(whole, fps, b))]
     if not fine:
         return None
     fine.sort(key=lambda c: -c[1])
@@ -270,7 +340,7 @@ def tempo(env: dict) -> dict | None:
     rival = next((c[1] for c in fine[1:] if abs(c[0] - bpm) >= 0.5), None)
     periodic = float(at(acf, np.array([60 * fps / bpm]))[0])
     sure = confidence(clear(mean, sd, None if rival is None else score - rival, periodic, len(x) / fps * bpm / 60))
-    others = [(rounded(b, 2), name, rounded(got[0], 3)) for b, name in ((bpm / 2, "half"), (bpm * 2, "double")) if (got := comb(x, fps, b))]
+    others = [(rounded(b, 2), name, rounded(got[0], 3)) for b, name in ((bpm / 2, "half"), (bpm * 2, "double")) if (got := comb(whole, fps, b))]
     for c in fine[1:]:
         value = rounded(c[0], 2)
         if len(others) < 5 and abs(value - rounded(bpm, 2)) >= 0.5 and all(abs(o[0] - value) >= 0.5 for o in others):
@@ -309,6 +379,7 @@ def band_chroma(x: np.ndarray, rate: int) -> tuple[np.ndarray, float]:
     hz = lambda m: 440 * 2 ** ((m - 69) / 12)
     low, high = np.ceil(hz(note - 0.5 / k.GRID_STEP) / df).astype(int), np.floor(hz(note + 0.5 / k.GRID_STEP) / df).astype(int)
     wide = high >= low
+    spans = np.stack([np.minimum(low[wide], bins - 1), np.minimum(high[wide], bins - 1) + 1], 1).ravel()  # first bin, and that after the last
     place = hz(note) / df
     floor = np.floor(place).astype(int)
     grid = []
@@ -317,8 +388,8 @@ def band_chroma(x: np.ndarray, rate: int) -> tuple[np.ndarray, float]:
         a, b = np.clip(floor, 0, bins - 1), np.clip(floor + 1, 0, bins - 1)
         part = place - floor
         got[:] = np.where(floor + 1 < bins, block[:, a] * (1 - part) + block[:, b] * part, 0)
-        for j in np.flatnonzero(wide):
-            got[:, j] = block[:, min(low[j], bins - 1) : min(high[j], bins - 1) + 1].max(1)
+        if len(spans):
+            got[:, wide] = np.maximum.reduceat(np.pad(block, ((0, 0), (0, 1))) if spans.max() == bins else block, spans, axis=1)[:, ::2]
         grid.append(got)
     out = np.zeros((len(k.BANDS), 12))
     if not grid:
