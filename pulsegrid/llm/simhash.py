@@ -81,43 +81,66 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+class Ranges:
+    """Buckets of rows by (key, tie): ranges of keys between ``cuts``; a key that several cuts fall on is cut by its ties as well."""
+
+    def __init__(self, cuts: list[int]):
+        self.values, many = np.unique(np.array(cuts, np.int64), return_counts=True)
+        self.pieces = np.array([1 << int(m - 1).bit_length() if m > 1 else 1 for m in many.tolist()], np.int64)
+        self.base = 1 + np.cumsum(np.append(0, np.where(self.pieces > 1, self.pieces + 1, 1)))[: len(many)].astype(np.int64)
+        self.hot = self.values[self.pieces > 1]
+
+    def bucket(self, key: np.ndarray, tie: np.ndarray) -> np.ndarray:
+        if not len(self.values):
+            return np.zeros(len(key), np.int64)
+        j = np.searchsorted(self.values, key, side="right") - 1
+        at = np.maximum(j, 0)
+        piece = np.where(self.values[at] == key, tie.astype(np.int64) * self.pieces[at] >> 32, self.pieces[at])
+        return np.where(j < 0, 0, self.base[at] + np.where(self.pieces[at] > 1, piece, 0))
+
+
 def chained(docs: DataFrame, ranges: int) -> DataFrame:
     """(bucket, extra, key, tie, text) of ``docs`` (id, text): sorted by these within a bucket, each row's next follows it.
 
     ``extra`` rows are the copies that close a bucket.
     """
-    key = docs.select(F.coalesce(F.col("id"), F.lit(-(1 << 63))).alias("key"))
-    cuts = key.select(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] if ranges > 1 else None
-    cuts = np.unique(np.array(cuts or [], np.int64))
+    key = F.coalesce(F.col("id"), F.lit(-(1 << 63))).alias("key")
+    cuts = docs.select(key).select(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] if ranges > 1 else None
+    dealt_by = Ranges(cuts or [])
+    hot = set(dealt_by.hot.tolist())
+    tie = F.when(key.isin(*hot), F.crc32(F.coalesce("text", F.lit("")).cast("binary"))).otherwise(0) if hot else F.lit(0)
 
     def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least: dict[int, int] = {}
+        least: dict[int, tuple[int, int]] = {}
         for batch in batches:
-            k = batch.column("key").to_numpy()
-            bucket = np.searchsorted(cuts, k, side="right")
-            for b in np.unique(bucket):
-                least[int(b)] = min(int(k[bucket == b].min()), least.get(int(b), 1 << 63))
-        yield pa.RecordBatch.from_arrays([pa.array([*least], pa.int64()), pa.array([*least.values()], pa.int64())], ["bucket", "key"])
-
-    firsts = key.mapInArrow(low, "bucket long, key long").groupBy("bucket").agg(F.min("key").alias("key")).orderBy("bucket").collect()  # a row a range
-    before = {r["key"]: firsts[i - 1]["bucket"] for i, r in enumerate(firsts)}
+            k, t = batch.column("key").to_numpy(), batch.column("tie").to_numpy()
+            bucket = dealt_by.bucket(k, t)
+            order = np.lexsort((t, k, bucket))
+            first = order[np.append(True, np.diff(bucket[order]) > 0)] if len(order) else order
+            for b, x in zip(bucket[first].tolist(), zip(k[first].tolist(), t[first].tolist())):
+                least[b] = min(x, least.get(b, x))
+        yield pa.RecordBatch.from_arrays([pa.array([*least], pa.int64()), pa.array([x[0] for x in least.values()], pa.int64()), pa.array([x[1] for x in least.values()], pa.int64())], ["bucket", "key", "tie"])
+
+    ends = docs.select(key, tie.cast("long").alias("tie")).mapInArrow(low, "bucket long, key long, tie long")
+    firsts = ends.groupBy("bucket").agg(F.min(F.struct("key", "tie")).alias("first")).orderBy("bucket").collect()  # a row a range
+    before = {(r["first"]["key"], r["first"]["tie"]): firsts[i - 1]["bucket"] for i, r in enumerate(firsts)}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k, texts = batch.column("key").to_numpy(), batch.column("text")
             for lo in range(0, len(k), 512):
                 part = k[lo : lo + 512]
-                text = [x.as_py() or "" for x in texts[lo : lo + 512]]
-                raw = [x.encode("utf-8", "surrogatepass") for x in text]
-                tie = [zlib.crc32(x) for x in raw]
+                raw = [(x.as_py() or "").encode("utf-8", "surrogatepass") for x in texts[lo : lo + 512]]
+                own_tie = np.array([zlib.crc32(x) for x in raw], np.int64)
                 packed = [zlib.compress(x, 1) for x in raw]
-                also = [i for i, x in enumerate(part.tolist()) if x in before]
+                name = [(x, t if x in hot else 0) for x, t in zip(part.tolist(), own_tie.tolist())]
+                also = [i for i, x in enumerate(name) if x in before]
                 rows = [*range(len(part)), *also]
-                bucket = np.append(np.searchsorted(cuts, part, side="right"), [before[int(part[i])] for i in also]).astype(np.int64)
+                bucket = np.append(dealt_by.bucket(part, own_tie), [before[name[i]] for i in also]).astype(np.int64)
                 extra = [0] * len(part) + [1] * len(also)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(extra, pa.int32()), pa.array(part[rows]), pa.array([tie[i] for i in rows], pa.int64()), pa.array([packed[i] for i in rows], pa.binary())], ["bucket", "extra", "key", "tie", "packed"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(extra, pa.int32()), pa.array(part[rows]), pa.array(own_tie[rows]), pa.array([packed[i] for i in rows], pa.binary())], ["bucket", "extra", "key", "tie", "packed"])
 
-    dealt = docs.select(F.coalesce(F.col("id"), F.lit(-(1 << 63))).alias("key"), "text").mapInArrow(deal, "bucket long, extra int, key long, tie long, packed binary")
+    dealt = docs.select(key, "text").mapInArrow(deal, "bucket long, extra int, key long, tie long, packed binary")
     return dealt.repartition("bucket").sortWithinPartitions("bucket", "extra", "key", "tie")
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 
 import numpy as np
 from pulsegrid.llm import simhash
@@ -79,3 +80,31 @@ def test_fingerprint_against_plain_votes():
                     votes[64 * k + b] += weight if bit else -weight
         assert np.packbits(np.array(votes) > 1e-3).view(np.uint64).tolist() == row.tolist() or np.bitwise_count(np.packbits(np.array(votes) > 0).view(np.uint64) ^ row).sum() <= 2
     assert (simhash.fingerprints(["", " "]) == 0).all()
+
+
+def test_an_id_of_half_the_rows_is_dealt_over_buckets(spark):
+    """Null ids, and one id of many rows, in the order of a hash of their texts."""
+    rng = random.Random(10)
+    rows = [(None, text(rng, 8)) for _ in range(150)] + [(7, text(rng, 8)) for _ in range(150)] + [(i, text(rng, 8)) for i in range(0, 300, 3)]
+    rng.shuffle(rows)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, zlib.crc32(r[1].encode())))
+    want = []
+    for i, (id_, t) in enumerate(order):
+        half = len(t) // 2
+        want.append((id_ if id_ is not None else -1, hashlib.sha256((t[: len(t) - half] + order[(i + 1) % len(order)][1][:half]).encode()).hexdigest()))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = simhash.fingerprint(df).collect()
+    assert sorted((r.id if r.id is not None else -1, r.edited_sha256) for r in got) == sorted(want)
+    chain = simhash.chained(df.select(df.doc_id.alias("id"), "text"), 8)
+    sizes = [r["count"] for r in chain.where("extra = 0").groupBy("bucket").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 100
+
+
+def test_ranges_keep_the_order():
+    rng = np.random.default_rng(6)
+    key, tie = np.sort(rng.integers(0, 20, 500)), rng.integers(0, 1 << 32, 500)
+    tie = tie[np.lexsort((tie, key))]
+    order = np.lexsort((tie, key))
+    for cuts in ([], [3], [3, 3, 3, 9, 12, 12], [0, 0, 19, 19, 19]):
+        bucket = simhash.Ranges(cuts).bucket(key[order], tie[order])
+        assert (np.diff(bucket) >= 0).all()
