@@ -45,3 +45,12 @@ def test_round_trip(spark, talks):
     got = done.select("tree", chat.read_back(F.col("formatted")).alias("turns"), chat.learned(F.col("formatted"), F.col("mask")).alias("own")).collect()
     assert {r.tree: [(x.role, x.text) for x in r.turns] for r in got} == {c: [(role or "", text or "") for role, text in talk] for c, talk in enumerate(talks)}
     assert {r.tree: r.own for r in got} == {c: "".join(text or "" for role, text in talk if role == "assistant") for c, talk in enumerate(talks)}
+
+
+def test_very_long_texts_and_repeated_rows(spark):
+    long = "<|im_start|> é" * 100_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long), (2, 0, "user", "a"), (2, 0, "user", "a"), (3, None, None, None)]
+    done = chat.formatted(chat.chosen(chat.linear(spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, mask string"))))
+    got = {r.tree: r for r in done.select("tree", chat.read_back(F.col("formatted")).alias("turns"), chat.learned(F.col("formatted"), F.col("mask")).alias("own")).collect()}
+    assert [x.text for x in got[1].turns] == [long, long] and got[1].own == long
+    assert len(got[2].turns) == 2 and [(x.role, x.text) for x in got[3].turns] == [("", "")]

@@ -52,3 +52,36 @@ def test_late_tokens_count(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
     judged = {r.id: r.verdict for r in urlrules.judge(df, df.selectExpr("page_id AS id", "bad"), []).collect()}
     assert judged == {i: "block" if bad else "allow" for i, _, bad in rows}
+
+
+def test_null_and_repeated_pages_and_long_urls(spark):
+    long = "http://a.net/" + "x/" * 50_000 + "?" + "&".join(f"k{i}=1" for i in range(2000))
+    rows = [(None, "http://b.org/fr/"), (1, "http://a.org/"), (1, "http://a.org/"), (2, long), (3, None)]
+    none = spark.createDataFrame([(1, None), (None, True), (9, True)], "id long, bad boolean")
+    got = sorted(((r.id or 0), r.host, len(r.path), r.verdict) for r in urlrules.judge(spark.createDataFrame(rows, "page_id long, url string"), none, RULES).collect())
+    assert got == [(0, "b.org", 4, "allow"), (1, "a.org", 1, "allow"), (1, "a.org", 1, "allow"), (2, "a.net", 100_001, "block"), (3, "", 0, "allow")]
+
+
+def test_mining_against_enumerated_rules(spark):
+    """Every set of up to three tokens, counted one by one: those with enough support, confidence and lift, and none smaller within."""
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(300):
+        words = rng.sample(["pills", "casino", "news", "blog", "shop", "win"], rng.randint(1, 4))
+        bad = {"pills", "win"} <= set(words) or ("casino" in words and rng.random() < 0.9) or rng.random() < 0.05
+        rows.append((i, f"http://h{i % 3}.example/" + "/".join(words), bad))
+    df = spark.createDataFrame(rows, "id long, url string, bad boolean")
+    support, confidence = 0.02, 0.8
+    rules = urlrules.mine(df, df.select("id", "bad"), support, confidence)
+    sets = {r.id: (frozenset(r.t), r.bad) for r in df.select("id", urlrules.tokens(F.col("url"), None).alias("t"), "bad").collect()}
+    share = sum(b for _, b in sets.values()) / len(sets)
+    found = []
+    for k in (1, 2, 3, 4, 5):
+        for items in itertools.combinations(sorted(set().union(*(t for t, _ in sets.values()))), k):
+            has = [b for t, b in sets.values() if set(items) <= t]
+            if has and sum(has) >= support * len(sets) and sum(has) / len(has) >= confidence and sum(has) / len(has) > share and not any(set(f) <= set(items) for f in found):
+                found.append(items)
+    assert sorted(map(tuple, rules)) == sorted(found) and found
