@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 import public_tokenizers
 import pytest
-from pulsegrid.llm import scratch, tokens
+from pulsegrid.llm import packing, scratch, tokens
 
 BARE = str.maketrans("", "", " \t\n\x0b\x0c\r")
 
@@ -79,3 +79,44 @@ def test_stages(spark, folder):
     assert got == want
     again = corpus_pipeline.run(spark, folder).collect()
     assert sum(r.length for r in again) == sum(want.values()) and {r.doc_id for r in again} == set(want)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def small(spark, tmp_path_factory):
+    at = tmp_path_factory.mktemp("small")
+    spark.createDataFrame([(i, 1, 0) for i in range(4)], "doc_id long, quality int, toxic int").write.parquet(f"file:{at}/labels.parquet")  # nothing is toxic
+    return f"file:{at}"
+
+
+def through(spark, docs, folder):
+    out = [docs]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out.append(scratch.written(stage(spark, out[-1], folder), name))
+    return out, corpus_pipeline.STAGES[-1][1](spark, out[-1], folder)
+
+
+def test_empty_table(spark, small):
+    seen, packed = through(spark, spark.createDataFrame([], SCHEMA), small)
+    assert all(df.columns == seen[0].columns and df.count() == 0 for df in seen) and packed.count() == 0
+
+
+def test_nulls_ties_repeats_and_clashing_columns(spark, small):
+    words = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [
+        (1, words), (1, words), (2, words + "  "), (2, "a text of its own that shares an id with a copy"), (None, None), (3, ""), (None, "a lone text without any id"),
+        (None, "a lone text without any id"), (4, words + " extra"), (4, "kept though its id is shared with a near copy of another"), (5, long), (6, long + " end"), (7, "tie text here"), (8, "tie text here"),
+    ]
+    wide = spark.createDataFrame([(i, t, None, None, None, "a", "b", 1, 2, "c") for i, t in rows], SCHEMA + ", _id string, toxicity string, mark long, kept int, `_docs` string").repartition(3)
+    seen, packed = through(spark, wide, small)
+    assert all(df.columns == wide.columns for df in seen)
+    left = sorted(((r.doc_id or 0), r.text or "") for r in seen[-1].collect())
+    want = [(0, "a lone text without any id"), (2, "a text of its own that shares an id with a copy"), (4, "kept though its id is shared with a near copy of another"), (5, long), (7, "tie text here")]
+    assert [x for x in left if x[1] and not x[1].startswith(words)] == want
+    assert [x for x in left if x[1].startswith(words)] == [(2, words + "  ")] and sum(not t for _, t in left) == 1
+    assert {(r.doc_id or 0) for r in packed.collect()} == {i for i, _ in left}
+    one = [r for r in packed.collect() if r.doc_id == 7]
+    assert len(one) == 1 and one[0].ids_crc32 == packing.crc32(packing.unpack(bytes(one[0].ids)))
