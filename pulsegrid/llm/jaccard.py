@@ -20,8 +20,8 @@ A text's *seat* stands for its shingle set: the partition and a number there.  E
   of blocks a task's worth), by hashed bitmap signatures: bit i is the parity of the
   shingles hashing to i, so two signatures differ in at most as many bits as the sets
   differ in shingles.  Counting these bits bounds the overlap from above.
-* **Rounds.**  In the first round each set names the one of its keys that most sets have,
-  in the next rounds 4, 16, ... of those that are still split.  A tile first gives a
+* **Rounds.**  While many are left, each set names in the first round the one of its keys
+  that most sets have, in the next 16 of those that are still split; then all count.  A tile first gives a
   spanning forest of its components, the closest pairs that the bound lets through, so
   at most a pair a set.  What these link is one component from then on.  A key with pairs
   left over goes on, and each two of its components then give their 8, 64, ... closest
@@ -64,6 +64,8 @@ BROADCAST_ROWS = 500_000
 FLUSH = 1_000_000
 #: Partners of one set that are verified in one group.
 PARTNERS = 256
+#: Rows (key, seat) up to which all keys are compared in one round: a matter of time alone.
+FEW = 100_000
 #: Of the keys that are done, those told of a set, so that pairs compared there are not compared again: a matter of time alone.
 PAST = 24
 #: Bytes of a key, and of a seat's number in its partition.
@@ -251,8 +253,8 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def texts(docs: DataFrame, facts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(text and the columns of ``wanted``) of one document for each row of ``wanted`` (seat, ...), a written table."""
-    one = facts.join(small(wanted), "seat").groupBy("seat").agg(F.min(F.struct("id", "mark")).alias("one"), *(F.first(c).alias(c) for c in wanted.columns if c != "seat"))
+    """(text and the columns of ``wanted``) of one document for each row of ``wanted`` (seat, ...)."""
+    one = facts.join(wanted, "seat").groupBy("seat").agg(F.min(F.struct("id", "mark")).alias("one"), *(F.first(c).alias(c) for c in wanted.columns if c != "seat"))
     found = scratch.written(one.select(F.col("one.id").alias("_id"), F.col("one.mark").alias("_mark"), *wanted.columns), "found")
     return docs.join(small(found), docs["id"].eqNullSafe(F.col("_id")) & (docs["mark"] == F.col("_mark"))).select("text", *wanted.columns)
 
@@ -293,7 +295,7 @@ def verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame, n: int, num: i
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("salts"))
     dealt = scratch.written(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")), "dealt")
     sent = dealt.select(F.col("b").alias("seat"), F.col("a").alias("hub"), "salt").union(dealt.select("a", "a", "salt").distinct())
-    wanted = scratch.written(sent.groupBy("seat").agg(F.collect_list(F.struct("hub", "salt")).alias("hubs")), "wanted")
+    wanted = sent.groupBy("seat").agg(F.collect_list(F.struct("hub", "salt")).alias("hubs"))
     arrays = texts(docs, facts, wanted).mapInArrow(send, "hub long, salt int, seat long, own binary")
     order = F.col("seat") != F.col("hub")
     return arrays.repartition("hub", "salt").sortWithinPartitions("hub", "salt", order, "seat").mapInArrow(intersect, "a long, b long").distinct()
@@ -430,7 +432,7 @@ def tiled(rows: DataFrame, num: int, den: int, most: int) -> DataFrame:
     by_root = rows.groupBy("key", "root").agg(F.count("*").alias("size"))
     sizes = by_root.groupBy("key").agg(F.max(F.struct("size", "root")).alias("big"), F.sum("size").alias("all"))
     sizes = sizes.select("key", F.col("big.root").alias("big"), (F.col("all") - F.col("big.size")).alias("others"), "all")
-    sized = rows.join(scratch.written(sizes, "sizes"), "key").withColumn("lefts", blocks("others")).withColumn("rights", blocks("all"))
+    sized = rows.join(sizes, "key").withColumn("lefts", blocks("others")).withColumn("rights", blocks("all"))
     into = lambda c: F.pmod(F.xxhash64("seat"), F.col(c))
     each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     left = sized.where("root <> big").withColumn("i", into("lefts")).withColumn("j", each("rights")).withColumn("side", F.lit(0))
@@ -443,8 +445,8 @@ def rooted(rows: DataFrame, tree: DataFrame) -> DataFrame:
     """``rows`` (key, seat) with their roots and their key's ``size``, of keys that have several; of keys with the same seats one."""
     known = scratch.written(rows.select("key", "seat").join(small(tree), "seat", "left").select("key", "seat", F.coalesce("root", "seat").alias("root")), "rooted")
     mixed = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum(F.xxhash64("seat") % (1 << 40)).alias("name"), F.sum(F.xxhash64("seat", F.lit(1)) % (1 << 40)).alias("more"), F.count("*").alias("size")).where("low <> high")
-    one = scratch.written(mixed.groupBy("name", "more", "size").agg(F.min("key").alias("key")).select("key", "size"), "mixed")
-    rest = scratch.written(known.join(small(one), "key"), "rest")
+    one = mixed.groupBy("name", "more", "size").agg(F.min("key").alias("key")).select("key", "size")
+    rest = scratch.written(known.join(one, "key"), "rest")
     scratch.drop(known)
     return rest
 
@@ -452,7 +454,7 @@ def rooted(rows: DataFrame, tree: DataFrame) -> DataFrame:
 def named(rest: DataFrame, most: int) -> DataFrame:
     """The keys that some seat has among its ``most`` largest."""
     order = Window.partitionBy("seat").orderBy(F.desc("size"), "key")
-    return scratch.written(rest.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).select("key").distinct(), "named")
+    return rest.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).select("key").distinct()
 
 
 def grown(tree: DataFrame, proven: DataFrame) -> DataFrame:
@@ -477,7 +479,7 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str
     made = scratch.written(sets(docs, n, num, den, buckets), "sets")
     facts = scratch.written(made.where("bucket IS NULL").select("id", "mark", "n", "sig", "seat"), "facts")
     seats = facts.where("seat IS NOT NULL").groupBy("sig").agg(F.min("seat").alias("rep"), F.max("seat").alias("last")).where("rep <> last").select("sig", "rep")
-    classes = facts.select("sig", "seat").join(small(scratch.written(seats, "classes")), "sig").where("seat <> rep").select("seat", "rep").distinct()
+    classes = facts.select("sig", "seat").join(seats, "sig").where("seat <> rep").select("seat", "rep").distinct()
     classes = scratch.written(classes, "copies")
     of = small(classes)
     shared = met(made).join(of, "seat", "left_anti").join(of.withColumnsRenamed({"seat": "pivot", "rep": "other"}), "pivot", "left")
@@ -495,24 +497,26 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str
     scratch.drop(shared)
     bits = past = None
     for step in itertools.count():
-        if rest.isEmpty():
+        left = rest.count()
+        if not left:
             break
         if bits is None:
-            bits = scratch.written(signed(docs, facts, scratch.written(rest.select("seat").distinct(), "seats"), n, num, den), "bits")
+            bits = scratch.written(signed(docs, facts, rest.select("seat").distinct(), n, num, den), "bits")
             past = bits.select("seat", F.array().cast("array<bigint>").alias("done"))
-        asked = small(named(rest, 4**step))
-        rows = scratch.written(rest.join(asked, "key", "left_semi").select("key", "seat", "root"), "asked")
+        rows = rest.select("key", "seat", "root")
+        if left > FEW and step < 2:
+            rows = scratch.written(rows.join(named(rest, 16**step), "key", "left_semi"), "asked")
         told = scratch.written(tiled(rows.join(bits, "seat").join(past, "seat").select("key", "seat", "root", "n", "bits", "done"), num, den, 8**step if step else 0), "told")
-        proven = scratch.written(verified(scratch.written(told.where("a IS NOT NULL").select("a", "b").distinct(), "pairs"), facts, docs, n, num, den), "proven")
-        if not proven.isEmpty():
-            tree = grown(tree, proven)
-        still = scratch.written(told.where("open IS NOT NULL").select(F.col("open").alias("key")).distinct(), "open")
-        done = rows.select("key", "seat").join(small(still), "key", "left_anti")
-        ended = scratch.written(done.select("key").distinct(), "ended")
-        of_seat = past.select("seat", F.explode("done").alias("key")).union(done.select("seat", "key")).groupBy("seat").agg(F.slice(F.sort_array(F.collect_set("key")), 1, PAST).alias("done"))
+        pairs = told.where("a IS NOT NULL").select("a", "b").distinct()
+        if not pairs.isEmpty():
+            proven = scratch.written(verified(pairs, facts, docs, n, num, den), "proven")
+            if not proven.isEmpty():
+                tree = grown(tree, proven)
+        still = told.where("open IS NOT NULL").select(F.col("open").alias("key")).distinct()
+        ended = scratch.written(rows.select("key", "seat").join(still, "key", "left_anti"), "ended")
+        of_seat = past.select("seat", F.explode("done").alias("key")).union(ended.select("seat", "key")).groupBy("seat").agg(F.slice(F.sort_array(F.collect_set("key")), 1, PAST).alias("done"))
         past = scratch.written(bits.select("seat").join(of_seat, "seat", "left").select("seat", F.coalesce("done", F.array().cast("array<bigint>")).alias("done")), "past")
-        rest = rooted(rest.join(small(ended), "key", "left_anti"), tree)
-        scratch.release(spark)
+        rest = rooted(rest.join(ended.select("key").distinct(), "key", "left_anti"), tree)
 
     above = small(tree)
     top = classes.join(above.withColumnsRenamed({"seat": "rep", "root": "top"}), "rep", "left").select("seat", F.coalesce("top", "rep").alias("root"))
