@@ -89,6 +89,7 @@ PAGE_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table has labels of pages, so a page takes those of the document with its number; bad is toxic, or of low quality."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
     judged = urlrules.judge(table(spark, sf_dir, "pages"), labels, PAGE_RULES)
     return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "mined")

@@ -25,7 +25,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SUPPORT, CONFIDENCE, TOKENS = 0.002, 0.7, 24
+SUPPORT, CONFIDENCE = 0.002, 0.7
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BAD = "label=bad"
 
@@ -44,8 +44,8 @@ def path(url: Column) -> Column:
     return F.regexp_extract(rest(url), "^[^/?#]*([^?#]*)", 1)
 
 
-def tokens(url: Column, most: int | None = TOKENS) -> Column:
-    """At most ``most`` distinct tokens of a url (None: all, as in mining and judging): its last two host labels, other labels, path words, query keys."""
+def tokens(url: Column) -> Column:
+    """The distinct tokens of a url: its last two host labels, other labels, path words, query keys."""
     labels = F.split(host(url), r"\.")
     suffix = F.array(F.concat(F.lit("site="), F.concat_ws(".", F.slice(F.reverse(labels), 1, 2))))
     named = F.transform(labels, lambda x: F.concat(F.lit("host="), x))
@@ -54,13 +54,13 @@ def tokens(url: Column, most: int | None = TOKENS) -> Column:
     query = F.regexp_extract(rest(url), r"\?([^#]*)", 1)
     keys = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.concat(F.lit("key="), F.substring_index(x, "=", 1)))
     all_ = F.array_distinct(F.concat(suffix, named, worded, keys))
-    return F.when(host(url) == "", F.array().cast("array<string>")).otherwise(all_ if most is None else F.slice(all_, 1, most))
+    return F.when(host(url) == "", F.array().cast("array<string>")).otherwise(all_)
 
 
 def mine(urls: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[list[str]]:
     """Token combinations that go with bad labels; ``urls`` (id, url), ``labels`` (id, bad boolean)."""
     marked = labels.where("bad IS NOT NULL AND id IS NOT NULL").groupBy("id").agg(F.max("bad").alias("bad"))
-    known = urls.where("url IS NOT NULL").select("id", tokens(F.col("url"), None).alias("items")).join(marked, "id")
+    known = urls.where("url IS NOT NULL").select("id", tokens(F.col("url")).alias("items")).join(marked, "id")
     baskets = known.select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items")).where("size(items) > 0")
     if baskets.where(F.array_contains("items", BAD)).isEmpty():
         return []
@@ -98,6 +98,6 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     """(id, host, path, rule, verdict, mined) of every row of ``pages``; ``labels`` (id, bad) are learned from."""
     urls = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     learned = mine(urls, labels)
-    parts = urls.select("id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), matched(tokens(F.col("url"), None), learned).alias("mined"))
+    parts = urls.select("id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), matched(tokens(F.col("url")), learned).alias("mined"))
     rule, action = written(F.col("host"), F.col("path"), rules)
     return parts.select("id", "host", "path", rule.alias("rule"), F.coalesce(action, F.when(F.col("mined"), "block").otherwise("allow")).alias("verdict"), "mined")
