@@ -34,8 +34,11 @@ from pyspark.sql import functions as F
 
 from . import scratch, tokens
 
+#: Texts longer than this are scanned in parallel.  The library takes some 30 ms for as much, the scan of a chunk ten times as long a character: below, a text's own time never holds a job up.
 GIANT = 65_536
 CHUNK = 16_384
+#: A chunk takes a task 0.2 s.
+CHUNKS_A_TASK = 4
 REMEMBERED = 1_000_000
 #: Fixed value: what an unknown character costs below the lowest score in a unigram model.
 UNKNOWN = 10.0
@@ -239,8 +242,13 @@ def scan(model: Model, text: str, chunk: int = CHUNK) -> list[int]:
     return out
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
-    """(row, id, n_chunks, ids) of every row: the ids of its whole text, as little-endian unsigned 32-bit numbers."""
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", giant: int | None = None, chunk: int | None = None) -> DataFrame:
+    """(row, id, n_chunks, ids) of every row: the ids of its whole text, as little-endian unsigned 32-bit numbers.
+
+    ``giant`` and ``chunk``: characters from which on a text is scanned, and of a chunk (GIANT, CHUNK).
+    """
+    scratch.lean(docs.sparkSession)
+    giant, chunk = GIANT if giant is None else giant, CHUNK if chunk is None else chunk
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
@@ -263,7 +271,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     cut = pa.schema([("row", pa.int64()), ("id", _arrow(docs, id_col)), ("n_chunks", pa.int32()), ("number", pa.int32()), ("left", pa.int32()), ("right", pa.int32()), ("slice", pa.string()), ("ids", pa.binary())])
     made = scratch.written(rows.mapInArrow(first, f"row long, id {kind}, n_chunks int, number int, left int, right int, slice string, ids binary"), "pieces")
-    chunks = made.where("slice IS NOT NULL").select("row", "number", "left", "right", "slice").repartition("row", "number")
+    cut_up = made.where("slice IS NOT NULL").select("row", "number", "left", "right", "slice")
+    tasks = max(1, -(-cut_up.count() // CHUNKS_A_TASK))  # given as a number, else chunks are merged into few tasks, being small
+    chunks = cut_up.repartition(tasks, "row", "number")
 
     def matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = tokens.held(Model, path)
@@ -292,7 +302,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     matrices = scratch.written(chunks.mapInArrow(matrix, "row long, number int, m binary, lanes int, stop binary"), "matrices")
     ways = matrices.groupBy("row").applyInPandas(combine, "row long, number int, enter int, leave int")
-    traced = chunks.join(ways, ["row", "number"]).select("row", "number", "left", "right", "slice", "enter", "leave").mapInArrow(trace, "row long, number int, ids binary")
+    known = cut_up.join(scratch.written(ways, "ways"), ["row", "number"]).select("row", "number", "left", "right", "slice", "enter", "leave")
+    traced = known.repartition(tasks, "row", "number").mapInArrow(trace, "row long, number int, ids binary")
     whole = traced.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("number", "ids"))).alias("x"))
     whole = whole.select("row", F.aggregate("x", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
     giants = made.where("slice IS NOT NULL AND number = 0").select("row", "id", "n_chunks").join(whole, "row")

@@ -65,3 +65,22 @@ def test_table(spark, bpe):
     got = sorted(((r.id or 0), np.frombuffer(bytes(r.ids), "<u4").tolist(), r.text) for r in done.collect())
     assert got == sorted(((i or 0), bpe.library.encode(t or ""), t or "") for i, t, _ in rows)
     assert pieces.encode(df.limit(0), PATH).count() == 0
+
+
+def test_registered_query_through_the_scan(spark, bpe, tmp_path, monkeypatch):
+    """op4 with every text of more than 200 characters scanned, over many tasks."""
+    import zlib
+
+    from pulsegrid.llm import queries
+
+    monkeypatch.setattr(pieces, "GIANT", 200)
+    monkeypatch.setattr(pieces, "CHUNK", 90)
+    monkeypatch.setattr(pieces, "CHUNKS_A_TASK", 2)
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(["nation", "erthe", "漢字", "ing", "x"]) for _ in range(rng.randint(1, 120)))) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"file:{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op4_sentencepiece(spark, f"file:{tmp_path}").collect()}
+    for i, t in rows:
+        ids = bpe.library.encode(t)
+        assert (got[i].n_ids, got[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert sum(r.n_chunks > 1 for r in got.values()) > 20
