@@ -14,6 +14,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of rows that go to a Python worker at once: rows are whole texts, and a worker and its JVM hold some such batches each.
+BATCH_BYTES = 1 << 23
+
+
+def lean(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by BATCH_BYTES, unless they are smaller."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def folder(spark: SparkSession) -> str:
     """The shared folder."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
