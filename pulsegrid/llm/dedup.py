@@ -89,6 +89,7 @@ def digests(docs: DataFrame, owners: int, id_col: str = "doc_id", text_col: str
         return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(rows, k or like) for c, k in zip(names, wide)], names)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tk.forget()
         pid, seat, own, like = TaskContext.get().partitionId(), 0, np.zeros(0, np.int64), None
         for batch in batches:
             like = batch.column("id").type
@@ -137,6 +138,7 @@ def suspects(seen: DataFrame, lists: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: id, keep_id, group_size, kept, text_sha256, mark (a hash of the text as it is)."""
     spark = docs.sparkSession
+    scratch.lean(spark)
     owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
     made = scratch.bucketed(digests(docs, owners, id_col, text_col), "digests", "pid", owners)
     seen = made.where("owner IS NULL").select("pid", "seat", "id", "mark", "n_cp", "sha")

@@ -151,6 +151,7 @@ def sets(docs: DataFrame, n: int, num: int, den: int, buckets: int) -> DataFrame
         return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(rows, k) for c, k in zip(names, kinds)], names)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tk.forget()
         pid, number, held = TaskContext.get().partitionId(), 0, 0
         seats: dict[bytes, int] = {}
         key: list[np.ndarray] = []
@@ -474,6 +475,7 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str
     several, the smallest ``mark``, a hash of the text).
     """
     spark = docs.sparkSession
+    scratch.lean(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
     buckets = 1 << max(4, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     made = scratch.written(sets(docs, n, num, den, buckets), "sets")

@@ -55,8 +55,8 @@ LEVELS = 1 << 8
 FINE = 512
 #: Tokens that a task counts before it sends them.
 FLUSH = 2_500_000
-#: Bytes of text that ask the filter together.
-ASK_BYTES = 1 << 23
+#: Bytes of text that ask the filter together; a batch of rows has half as many.
+ASK_BYTES = 1 << 24
 #: Shards whose filters a task holds together: as many as have so many bytes; but up to LEAST_ROUTES tasks they have one each.
 ROUTE_BYTES, LEAST_ROUTES = 1 << 25, 256
 
@@ -378,6 +378,7 @@ def mixture(learned: DataFrame, mass: float, v: int) -> float:
 def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; texts not held out are learned from."""
     spark = docs.sparkSession
+    scratch.lean(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     model = train(rows.where("NOT held_out"))
     n, v, mass, pair_bits = model.n, model.v, model.mass, model.pair_bits

@@ -177,6 +177,7 @@ def pack(docs: DataFrame, path: str, end: int = 1, targets: dict[str, float] | N
     ``ids`` are little-endian unsigned 32-bit numbers.
     """
     spark = docs.sparkSession
+    scratch.lean(spark)
     rows = scratch.written(encoded(docs, path, end, id_col, text_col, source_col), "ids")
     served = rows.groupBy("queue", "pid").agg(F.sum("n").alias("part"))
     before = F.coalesce(F.sum("part").over(Window.partitionBy("queue").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

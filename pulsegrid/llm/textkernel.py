@@ -7,6 +7,7 @@ block of documents at once; nothing here loops over words in Python.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,18 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers = np.cumprod(np.full(256, _BASE, np.uint64))
 
 
+#: What a Python worker keeps from task to task: tables of tokens, some 200 MB.
+KEPT: dict[tuple, object] = {}
+
+
+def forget() -> None:
+    """Gives back what the worker keeps: for operators that need none of it, since workers outlive the stage that filled them."""
+    if KEPT:
+        KEPT.clear()
+        pa.default_memory_pool().release_unused()
+        getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))
