@@ -12,8 +12,8 @@ bucket; scoring adds those up over all features of a whole text.
 
 Defined results: null and empty texts have no features, so they get the score of
 the bias alone; rows with a null label, id or text are never trained on; with no
-labelled row of either class every text gets the score 0; repeated and tied rows
-are scored alike; columns other than id and text pass through untouched.
+labelled row of either class every text gets the score 0; a row labelled several times
+is toxic if one label says so; repeated and tied rows are scored alike; a null id is not held out; columns other than id and text pass through untouched.
 """
 
 from __future__ import annotations
@@ -22,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import scratch
 from . import textkernel as tk
 
 BUCKETS = 1 << 18
@@ -33,6 +34,8 @@ DIM = 4
 ORDERS = (3, 4, 5)
 #: At most so many rows of each class are trained on.
 SAMPLE = {1: 1600, 0: 3200}
+#: At most so many bytes of text of each class, of the rows that come first.
+SAMPLE_BYTES = 1 << 26
 EPOCHS = 6
 SCALE = 100.0
 #: The highest bias, so the log odds of a text without known features.
@@ -82,6 +85,25 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(found), np.concatenate(owner), np.concatenate(weight)
 
 
+def gradients(embed: np.ndarray, soft: np.ndarray, bias: np.ndarray, at: np.ndarray, part: np.ndarray, text: np.ndarray, labels: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(loss, of softmax, of bias, of embeddings, their buckets): mean cross entropy of bags, and its gradients.
+
+    A bag is a text's buckets ``at`` with their shares ``part``; ``text`` numbers the bags.
+    """
+    n = len(labels)
+    mean = np.stack([np.bincount(text, part * embed[d, at], n) for d in range(len(embed))], 1)
+    z = mean @ soft + bias
+    p = np.exp(z - z.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    loss = -float(np.log(np.maximum(p[np.arange(n), labels], 1e-300)).mean())
+    p[np.arange(n), labels] -= 1
+    p /= n
+    back = p @ soft.T
+    uniq, inverse = np.unique(at, return_inverse=True)
+    g_embed = np.stack([np.bincount(inverse, part * back[text, d], len(uniq)) for d in range(len(embed))])
+    return loss, mean.T @ p, p.sum(0), g_embed, uniq
+
+
 def train(buckets: list[np.ndarray], shares: list[np.ndarray], labels: np.ndarray, prior: float, seed: int = 7) -> tuple[np.ndarray, float]:
     """(one number a bucket, bias) from bags: each text's distinct buckets and their shares of its features.
 
@@ -106,19 +128,9 @@ def train(buckets: list[np.ndarray], shares: list[np.ndarray], labels: np.ndarra
             part = np.concatenate([shares[r] for r in rows]) * SCALE
             sizes = np.array([len(buckets[r]) for r in rows])
             text = np.repeat(np.arange(len(rows)), sizes)
-            mean = np.stack([np.bincount(text, part * embed[d, at], len(rows)) for d in range(DIM)], 1)
-            z = mean @ soft + bias
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(rows)), labels[rows]] -= 1
-            p /= len(rows)
-            back = p @ soft.T
-            g_soft, g_bias = mean.T @ p, p.sum(0)
-            uniq, inverse = np.unique(at, return_inverse=True)
-            for d in range(DIM):
-                g = np.bincount(inverse, part * back[text, d], len(uniq))
-                seen_e[d, uniq] += g * g
-                embed[d, uniq] -= rate * g / np.sqrt(seen_e[d, uniq])
+            _, g_soft, g_bias, g_embed, uniq = gradients(embed, soft, bias, at, part, text, labels[rows])
+            seen_e[:, uniq] += g_embed * g_embed
+            embed[:, uniq] -= rate * g_embed / np.sqrt(seen_e[:, uniq])
             seen_s += g_soft**2
             seen_b += g_bias**2
             soft -= 0.1 * rate * g_soft / np.sqrt(seen_s)
@@ -144,6 +156,7 @@ def _shift(z: np.ndarray, labels: np.ndarray, prior: float) -> float:
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tk.forget()
     for batch in batches:
         for first, after, data, at in tk.blocks(batch.column("text")):
             bucket, owner, weight = features(data, at)
@@ -156,11 +169,12 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: dict[int, int] = SAMPLE) -> tuple[np.ndarray, float] | None:
-    """A model from a bounded sample of ``labelled``: of each class the ``sample[class]`` rows that come first by a hash of the id.
+    """A model from a bounded sample of ``labelled``: of each class the ``sample[class]`` rows that come first by a hash of the id, as far as SAMPLE_BYTES go.
 
     None when a class has no row.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND text IS NOT NULL AND label IN (0, 1)")
+    scratch.lean(labelled.sparkSession)
     n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if not n.get(0) or not n.get(1):
         return None
@@ -168,10 +182,13 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     for label, most in sample.items():
         share = min(1.0, 1.2 * most / n[label])
         part = rows.where((F.col("label") == label) & (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))).orderBy(F.xxhash64("id"), "id").limit(most)
+        so_far = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy(F.xxhash64("id"), "id", "text").rowsBetween(Window.unboundedPreceding, -1))  # of ``most`` rows
+        part = part.withColumn("before", F.coalesce(so_far, F.lit(0))).where(F.col("before") < SAMPLE_BYTES).drop("before")
         picked = part if picked is None else picked.unionByName(part)
     prior = n[1] / (n[0] + n[1])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tk.forget()
         bags, shares, labels = [], [], []
         for batch in batches:
             bucket, share = batch.column("bucket"), batch.column("share")
@@ -192,10 +209,12 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, text_col: str = "text", into: str = "score") -> DataFrame:
     """``docs`` with a column ``into``: the probability that each whole text is toxic, 0 to 1."""
+    scratch.lean(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats: 1 MB at any size of input
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tk.forget()
         known = shared.value
         for batch in batches:
             out = np.zeros(batch.num_rows)
@@ -212,11 +231,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, text_col: str
 
 
 def held_out(doc_id: Column) -> Column:
-    """Rows that no label is learned from: crc32 of the id as text is 0 modulo 5."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    """Rows that no label is learned from: crc32 of the id as text is 0 modulo 5.  A null id has no label to learn."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def train_on(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None:
     """The model that the labels of rows not held out give."""
-    marks = labels.select(F.col("doc_id").alias("_id"), "toxic").where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).dropDuplicates(["_id"])
+    known = labels.select(F.col("doc_id").alias("_id"), "toxic").where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
+    marks = known.groupBy("_id").agg(F.max("toxic").alias("toxic"))
     return fit(docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("_id")), "doc_id", "text", "toxic")
