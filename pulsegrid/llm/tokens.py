@@ -30,8 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
+from . import textkernel as tk
+
 REMEMBERED = 400_000
-JOINED = 64
+JOINED = 256
 _L = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 _N = "0-9²³¹¼-¾"
 _S = "\\t-\\r \u0085 "
@@ -40,20 +43,17 @@ UNPROVEN = re.compile("[^\\x00-įı-ſ‐-‧‰-›€™]")
 #: The patterns of the two tokenizers, their classes spelled out for the proven code points.
 WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 BYTE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-_SPACED = re.compile(f" [{_L}]+")
-
-_state: dict[tuple, object] = {}
-
+_LETTERS = frozenset(filter(re.compile(f"[{_L}]").fullmatch, map(chr, range(0x180))))
 
 def _library(path: str):
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if ("library", path) not in _state:
+    if ("library", path) not in tk.KEPT:
         from tokenizers import Tokenizer
 
-        _state["library", path] = Tokenizer.from_file(path)
-    return _state["library", path]
+        tk.KEPT["library", path] = Tokenizer.from_file(path)
+    return tk.KEPT["library", path]
 
 
 def _byte_chars() -> dict[str, int]:
@@ -85,13 +85,15 @@ class Remembering:
     def __init__(self):
         self.again: set[str] = set()
 
-    def room(self, unknown: list[str], met: set[str]) -> None:
-        """Make room for ``unknown``, all pre-tokens ``met`` in a batch of texts but those known."""
-        self.again |= met.difference(unknown)
+    def unknown(self, met: set[str]) -> list[str]:
+        """Those of the pre-tokens ``met`` in a batch of texts that are not known; there is room for them then."""
+        unknown = met.difference(self.known)
+        self.again.update(met.difference(unknown))
         if len(self.known) + len(unknown) > REMEMBERED + len(self.lasting):
             kept = self.again | met if len(self.again) < REMEMBERED // 2 else met
             self.known = self.lasting | {p: self.known[p] for p in kept if p in self.known}
             self.again = set()
+        return [*unknown]
 
 
 class Counter(Remembering):
@@ -106,8 +108,7 @@ class Counter(Remembering):
         self.ends[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
         self.known: dict[str, int] = dict(self.lasting)
 
-    def learn(self, unknown: list[str], met: set[str]) -> None:
-        self.room(unknown, met)
+    def learn(self, unknown: list[str]) -> None:
         parts = [unknown[lo : lo + JOINED] for lo in range(0, len(unknown), JOINED)]
         for part, got in zip(parts, self.library.encode_batch_fast([" ".join(x) for x in parts], add_special_tokens=False)):
             stops = np.flatnonzero(self.ends[got.ids])
@@ -125,8 +126,7 @@ class Counter(Remembering):
                 whole.append(i)
                 continue
             later.append((i, WORD.findall(text.lower())))
-        met = set().union(*(parts for _, parts in later))
-        self.learn([p for p in met if p not in self.known], met)
+        self.learn(self.unknown(set().union(*(parts for _, parts in later))))
         for i, parts in later:
             out[i] = sum(map(self.known.__getitem__, parts))
         for i in whole:
@@ -147,11 +147,9 @@ class Encoder(Remembering):
         self.starts[[i for piece, i in vocab.items() if piece.startswith("Ġ")]] = True
         self.known: dict[str, bytes] = {}
 
-    def learn(self, unknown: list[str], met: set[str]) -> None:
-        self.room(unknown, met)
-        spaced, other = [], []
-        for x in unknown:
-            (spaced if _SPACED.fullmatch(x) else other).append(x)
+    def learn(self, unknown: list[str]) -> None:
+        spaced = [x for x in unknown if x[0] == " " and _LETTERS.issuperset(x[1:]) and len(x) > 1]
+        other = [*set(unknown).difference(spaced)]
         parts = [spaced[lo : lo + JOINED] for lo in range(0, len(spaced), JOINED)]
         for part, got in zip(parts, self.library.encode_batch_fast(["".join(x) for x in parts], add_special_tokens=False)):
             ids = np.array(got.ids)
@@ -160,7 +158,7 @@ class Encoder(Remembering):
                 other += part
                 continue
             raw, cut = ids.astype(self.dtype).tobytes(), [*(first * self.dtype.itemsize).tolist(), None]
-            self.known.update((x, raw[a:b]) for x, a, b in zip(part, cut, cut[1:]))
+            self.known.update(zip(part, map(raw.__getitem__, map(slice, cut, cut[1:]))))
         for x, got in zip(other, self.library.encode_batch_fast(other, add_special_tokens=False)):
             self.known[x] = np.array(got.ids, self.dtype).tobytes()
 
@@ -173,8 +171,7 @@ class Encoder(Remembering):
                 whole.append(i)
                 continue
             later.append((i, BYTE.findall(text)))
-        met = set().union(*(parts for _, parts in later))
-        self.learn([p for p in met if p not in self.known], met)
+        self.learn(self.unknown(set().union(*(parts for _, parts in later))))
         for i, parts in later:
             out[i] = b"".join(map(self.known.__getitem__, parts))
         for i in whole:
@@ -185,15 +182,13 @@ class Encoder(Remembering):
 def held(kind: Callable, *args):
     """This worker's one object of ``kind``, so that what it learned outlives a task."""
     key = (kind, args[0])
-    if key not in _state:
-        _state[key] = kind(*args)
-    return _state[key]
+    if key not in tk.KEPT:
+        tk.KEPT[key] = kind(*args)
+    return tk.KEPT[key]
 
 
 def runs(column: pa.Array, size: int = 1 << 21) -> Iterator[tuple[int, int, list[str | None]]]:
     """(first row, row after the last, texts) of about ``size`` bytes each."""
-    from . import textkernel as tk
-
     _, at = tk.buffers(column)
     first = 0
     while first < len(column):
@@ -204,6 +199,7 @@ def runs(column: pa.Array, size: int = 1 << 21) -> Iterator[tuple[int, int, list
 
 def counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens) of every row: UTF-8 bytes and tokens of the whole text."""
+    scratch.lean(docs.sparkSession)
     single = docs.sparkSession.sparkContext.broadcast(whole_tokens(path))  # at most the vocabulary: under 1 MB
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
