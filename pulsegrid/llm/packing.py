@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch, tokens
+from . import textkernel as tk
 
 WINDOW = 2048
 QUANTUM = 256
@@ -196,6 +197,7 @@ def pack(docs: DataFrame, path: str, end: int = 1, targets: dict[str, float] | N
     width = tokens.held(tokens.Encoder, path).dtype.itemsize
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tk.forget()
         names, levels = plan.value
         number = {q: i for i, q in enumerate(names)}
         for batch in batches:
