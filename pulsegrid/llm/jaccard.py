@@ -200,6 +200,8 @@ def sets(docs: DataFrame, n: int, num: int, den: int, buckets: int) -> DataFrame
                     seats.clear()  # a copy further on gets a seat of its own
         if held:
             yield from flush()
+        key, own_seat = [], []
+        tk.trim()
 
     return docs.mapInArrow(made, "id long, mark long, n long, sig binary, seat long, bucket int, pid long, raw binary")
 

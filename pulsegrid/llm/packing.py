@@ -59,6 +59,7 @@ def encoded(docs: DataFrame, path: str, end: int, id_col: str, text_col: str, so
     """(pid, queue, id, queue_start, n, ids) of every text; ``queue_start`` counts inside its partition's part of the queue."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tk.trim()
         encoder = tokens.held(tokens.Encoder, path)
         last, width = np.array([end], encoder.dtype).tobytes(), encoder.dtype.itemsize
         pid, served = TaskContext.get().partitionId(), {}

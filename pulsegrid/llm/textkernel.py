@@ -28,12 +28,16 @@ _powers = np.cumprod(np.full(256, _BASE, np.uint64))
 KEPT: dict[tuple, object] = {}
 
 
+def trim() -> None:
+    """Gives memory that is free back to the machine, which the C library would keep."""
+    pa.default_memory_pool().release_unused()
+    getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
+
+
 def forget() -> None:
     """Gives back what the worker keeps: for operators that need none of it, since workers outlive the stage that filled them."""
-    if KEPT:
-        KEPT.clear()
-        pa.default_memory_pool().release_unused()
-        getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
+    KEPT.clear()
+    trim()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
