@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dedup, jaccard, lm, packing, pieces, scratch, simhash, tokens, toxicity, urlrules
+from . import chat, colloc, dedup, jaccard, lm, packing, pieces, scratch, simhash, tokens, toxicity, urlrules, whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,6 +102,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return colloc.collocations(table(spark, sf_dir, "documents"), longest=3, least=10, share=(50, 100), first=2000)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = whiten.whitened(table(spark, sf_dir, "embeddings"), components=8)
+    return done.withColumn("deviation", whiten.as_long(F.col("deviation"))).withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard": op1_jaccard,
     "op2_token_counts": op2_token_counts,
@@ -113,6 +122,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
+    "op11_collocations": op11_collocations,
+    "op12_whitening": op12_whitening,
 }
 
 #: SQL of the queries that DuckDB can run over whole tables.
@@ -140,4 +151,20 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
                doc_id = first_value(doc_id) OVER w AS kept, h AS text_sha256
         FROM t WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id)""",
+    "op11_collocations": r"""
+        WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM t),
+        g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS phrase FROM p, (VALUES (1), (2), (3)) s(k) WHERE len(w) >= k),
+        c AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+        n AS (SELECT lang, sum(f)::BIGINT AS n FROM c WHERE k = 1 GROUP BY lang),
+        d AS (SELECT *, string_split(phrase, ' ') AS w FROM c WHERE k >= 2 AND f >= 10),
+        cut AS (SELECT d.lang, d.phrase, d.f AS a, s.i, x.f AS l, y.f AS r, (1000000::HUGEINT * d.f * d.f) // (x.f::HUGEINT * y.f) AS score
+                FROM d JOIN (VALUES (1), (2)) s(i) ON s.i < d.k
+                JOIN c x ON x.lang = d.lang AND x.phrase = array_to_string(d.w[1 : s.i], ' ')
+                JOIN c y ON y.lang = d.lang AND y.phrase = array_to_string(d.w[s.i + 1 :], ' ')),
+        low AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) AS at FROM cut),
+        held AS (SELECT lang, phrase, max(f) AS f FROM (SELECT lang, f, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM d WHERE k = 3) GROUP BY ALL),
+        kept AS (SELECT low.* FROM low LEFT JOIN held USING (lang, phrase) WHERE at = 1 AND (held.f IS NULL OR 100 * held.f < 50 * a)),
+        e AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase COLLATE BINARY) AS rank FROM kept)
+        SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM e JOIN n USING (lang) WHERE rank <= 2000""",
 }
