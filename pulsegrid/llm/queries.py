@@ -162,9 +162,9 @@ ORACLES: dict[str, str] = {
                 FROM d JOIN (VALUES (1), (2)) s(i) ON s.i < d.k
                 JOIN c x ON x.lang = d.lang AND x.phrase = array_to_string(d.w[1 : s.i], ' ')
                 JOIN c y ON y.lang = d.lang AND y.phrase = array_to_string(d.w[s.i + 1 :], ' ')),
-        low AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) AS at FROM cut),
+        low AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) AS seat FROM cut),
         held AS (SELECT lang, phrase, max(f) AS f FROM (SELECT lang, f, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM d WHERE k = 3) GROUP BY ALL),
-        kept AS (SELECT low.* FROM low LEFT JOIN held USING (lang, phrase) WHERE at = 1 AND (held.f IS NULL OR 100 * held.f < 50 * a)),
-        e AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase COLLATE BINARY) AS rank FROM kept)
+        kept AS (SELECT low.* FROM low LEFT JOIN held USING (lang, phrase) WHERE seat = 1 AND (held.f IS NULL OR 100 * held.f < 50 * a)),
+        e AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
         SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM e JOIN n USING (lang) WHERE rank <= 2000""",
 }
