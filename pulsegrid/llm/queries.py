@@ -158,10 +158,9 @@ ORACLES: dict[str, str] = {
         c AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
         n AS (SELECT lang, sum(f)::BIGINT AS n FROM c WHERE k = 1 GROUP BY lang),
         d AS (SELECT *, string_split(phrase, ' ') AS w FROM c WHERE k >= 2 AND f >= 10),
-        cut AS (SELECT d.lang, d.phrase, d.f AS a, s.i, x.f AS l, y.f AS r, (1000000::HUGEINT * d.f * d.f) // (x.f::HUGEINT * y.f) AS score
-                FROM d JOIN (VALUES (1), (2)) s(i) ON s.i < d.k
-                JOIN c x ON x.lang = d.lang AND x.phrase = array_to_string(d.w[1 : s.i], ' ')
-                JOIN c y ON y.lang = d.lang AND y.phrase = array_to_string(d.w[s.i + 1 :], ' ')),
+        part AS MATERIALIZED (SELECT lang, phrase, f AS a, i, array_to_string(w[1 : i], ' ') AS first, array_to_string(w[i + 1 :], ' ') AS rest FROM (SELECT *, unnest(range(1, k)) AS i FROM d)),
+        cut AS (SELECT part.*, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+                FROM part JOIN c x ON x.lang = part.lang AND x.phrase = part.first JOIN c y ON y.lang = part.lang AND y.phrase = part.rest),
         low AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) AS seat FROM cut),
         held AS (SELECT lang, phrase, max(f) AS f FROM (SELECT lang, f, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM d WHERE k = 3) GROUP BY ALL),
         kept AS (SELECT low.* FROM low LEFT JOIN held USING (lang, phrase) WHERE seat = 1 AND (held.f IS NULL OR 100 * held.f < 50 * a)),
