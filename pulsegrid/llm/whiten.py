@@ -260,4 +260,4 @@ def whitened(rows: DataFrame, components: int = 8, id_col: str = "vec_id", vecto
 
 def as_long(decimal: Column) -> Column:
     """A decimal as a long, null where it doesn't fit."""
-    return F.when(F.abs(decimal) < F.lit(2**63).cast("decimal(38,0)"), decimal).try_cast("long")
+    return decimal.try_cast("long")

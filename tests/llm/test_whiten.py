@@ -2,7 +2,8 @@ import math
 
 import numpy as np
 import pytest
-from pulsegrid.llm import whiten
+from pulsegrid.llm import queries, whiten
+from pyspark.sql import functions as F
 
 
 def exact(rows):
@@ -83,3 +84,14 @@ def test_many_tasks_stack_in_rounds(spark, monkeypatch):
 def test_numerators_beyond_64_bits():
     x = np.array([[1 << 52, 5], [3, -7]], np.int64)
     assert whiten.numerators(x, 1 << 20, [1 << 71, 9]).tolist() == [[(1 << 72) - (1 << 71), (5 << 20) - 9], [(3 << 20) - (1 << 71), -(7 << 20) - 9]]
+
+
+def test_registered_query(spark, tmp_path):
+    rows = [(1, [1.0, 2.0], 0), (2, [0.5, -1.0], 1), (3, None, 2)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries.op12_whitening(spark, str(tmp_path))
+    _, _, _, deviation = exact([(1, [1.0, 2.0]), (2, [0.5, -1.0])])
+    assert dict(got.dtypes)["deviation"] == "bigint"
+    assert sorted((r.vec_id, r.component, r.deviation) for r in got.collect()) == [(i + 1, c, deviation[i]) for i in range(2) for c in (1, 2)]
+    wide = spark.sql("SELECT cast(9223372036854775807 AS decimal(38,0)) AS a, cast(9223372036854775808 AS decimal(38,0)) AS b").select(whiten.as_long(F.col("a")), whiten.as_long(F.col("b"))).first()
+    assert tuple(wide) == (2**63 - 1, None)
