@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, colloc, dedup, jaccard, lm, packing, pieces, scratch, simhash, tokens, toxicity, urlrules, whiten
+from . import chat, colloc, dedup, jaccard, linededup, lm, packing, pieces, scratch, simhash, tokens, toxicity, urlrules, whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,6 +111,11 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.withColumn("deviation", whiten.as_long(F.col("deviation"))).withColumnRenamed("id", "vec_id")
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.deduplicated(table(spark, sf_dir, "documents"))
+    return kept.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard": op1_jaccard,
     "op2_token_counts": op2_token_counts,
@@ -124,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_collocations": op11_collocations,
     "op12_whitening": op12_whitening,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 #: SQL of the queries that DuckDB can run over whole tables.
@@ -166,4 +172,11 @@ ORACLES: dict[str, str] = {
         kept AS (SELECT low.* FROM low LEFT JOIN held USING (lang, phrase) WHERE seat = 1 AND (held.f IS NULL OR 100 * held.f < 50 * a)),
         e AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
         SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM e JOIN n USING (lang) WHERE rank <= 2000""",
+    "op13_line_dedup": """
+        WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+        u AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM t),
+        k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM u),
+        m AS (SELECT key, min(doc_id) AS low FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+        d AS (SELECT k.*, low IS NOT NULL AND low <> doc_id AS drops FROM k LEFT JOIN m USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (drops) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT drops), '')) AS kept_sha256 FROM d GROUP BY doc_id""",
 }
