@@ -4,10 +4,11 @@
    Identical pieces of a language become one row with a multiplicity, by a grouping that
    Spark combines in each task first, so copied texts and boilerplate are cut into words once.
 2. **Counts.**  Each task cuts its pieces into n-grams weighted by multiplicity and adds
-   them up in DuckDB; sums leave it as one packed block for each hash bucket of n-grams.
-   A bucket's task adds the blocks up in DuckDB again.  DuckDB works within MEMORY and
-   goes out of core beyond it, to a folder of the task's own that ends with it and that
-   nothing else reads, as Spark's sorts do.  A frequent n-gram is a row a task.
+   them up in DuckDB, RUN of them at a time; sums leave it as one packed block for each
+   hash bucket of n-grams.  A bucket's task adds its blocks up in DuckDB.  DuckDB works
+   within MEMORY and goes out of core beyond it, to a folder of the task's own that ends
+   with it and that nothing else reads, as Spark's sorts do.  A frequent n-gram is a row a
+   run.
 3. **Parts.**  No part of a candidate is rarer than the candidate, so only n-grams with
    the least count go on.  A candidate asks for the counts of its parts: requests are made
    distinct within each of HOMES groups of candidates, go to the counts by hash, and come
@@ -40,6 +41,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PIECE_ENDS = r"[.,;:!?\x0A-\x0D]"
 #: What DuckDB holds in memory in a task; Arrow rows that are cut into n-grams at once.
 MEMORY, CUT_ROWS = "160MB", 2048
+#: N-grams that a task adds up at once, at least; of few buckets' worth, blocks would be small.
+RUN, RUN_A_BUCKET = 1 << 20, 64
 #: Groups of candidates that ask together.
 HOMES = 256
 GRAMS = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("words", pa.int32()), ("n", pa.int64())])
@@ -97,14 +100,30 @@ def counted(distinct: DataFrame, longest: int, least: int) -> DataFrame:
     buckets = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by_bucket = f"SELECT (hash(lang, gram) % {buckets})::INTEGER AS bucket, * FROM (SELECT lang, gram, words, sum(n)::BIGINT AS n FROM grams GROUP BY ALL) ORDER BY bucket, gram"
 
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+        run, size = [], 0
+        for batch in batches:
+            for part in grams(batch, longest):
+                run.append(part)
+                size += part.num_rows
+                if size >= max(RUN, RUN_A_BUCKET * buckets):
+                    yield run
+                    run, size = [], 0
+        if run:
+            yield run
+
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in runs(batches):
+            yield from blocks_of(run)
+
+    def blocks_of(run: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         here = None
 
         def block() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([here], pa.int32()), pa.array([pack(held)], pa.binary())], ["bucket", "block"])
 
-        for rows in summed((g for b in batches for g in grams(b, longest)), by_bucket):
+        for rows in summed(iter(run), by_bucket):
             bucket = rows.column("bucket").to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
             for lo, hi in zip(cuts, cuts[1:]):
