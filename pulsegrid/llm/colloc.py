@@ -42,10 +42,11 @@ PIECE_ENDS = r"[.,;:!?\x0A-\x0D]"
 #: What DuckDB holds in memory in a task; Arrow rows that are cut into n-grams at once.
 MEMORY, CUT_ROWS = "160MB", 2048
 #: N-grams that a task adds up at once, at least; of few buckets' worth, blocks would be small.
-RUN, RUN_A_BUCKET = 1 << 20, 64
+RUN, RUN_A_BUCKET = 1 << 21, 64
 #: Groups of candidates that ask together.
 HOMES = 256
-GRAMS = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("words", pa.int32()), ("n", pa.int64())])
+GRAMS = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
+COUNTS = "lang string, gram string, words int, n long"
 
 
 def pieces(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -74,7 +75,7 @@ def grams(batch: pa.RecordBatch, longest: int) -> Iterator[pa.RecordBatch]:
                 break
             run = words if k == 1 else pc.binary_join_element_wise(*(words.slice(i, n) for i in range(k)), " ")
             own = owner[at]
-            yield pa.RecordBatch.from_arrays([part.column("lang").take(pa.array(own)), run.take(pa.array(at)), pa.array(np.full(len(at), k, np.int32)), pa.array(many[own])], schema=GRAMS)
+            yield pa.RecordBatch.from_arrays([part.column("lang").take(pa.array(own)), run.take(pa.array(at)), pa.array(many[own])], schema=GRAMS)
 
 
 def summed(batches: Iterator[pa.RecordBatch], sql: str) -> Iterator[pa.RecordBatch]:
@@ -90,7 +91,7 @@ def summed(batches: Iterator[pa.RecordBatch], sql: str) -> Iterator[pa.RecordBat
 def pack(rows: list[pa.RecordBatch]) -> bytes:
     sink = pa.BufferOutputStream()
     table = pa.Table.from_batches(rows).cast(GRAMS).combine_chunks()
-    with pa.ipc.new_stream(sink, GRAMS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, GRAMS, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 
@@ -98,7 +99,7 @@ def pack(rows: list[pa.RecordBatch]) -> bytes:
 def counted(distinct: DataFrame, longest: int, least: int) -> DataFrame:
     """(lang, gram, words, n) of the n-grams that stand at least ``least`` times, and of each task a row (lang, null, 0, n) with its words in all."""
     buckets = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_bucket = f"SELECT (hash(lang, gram) % {buckets})::INTEGER AS bucket, * FROM (SELECT lang, gram, words, sum(n)::BIGINT AS n FROM grams GROUP BY ALL) ORDER BY bucket, gram"
+    by_bucket = f"SELECT (hash(lang, gram) % {buckets})::INTEGER AS bucket, * FROM (SELECT lang, gram, sum(n)::BIGINT AS n FROM grams GROUP BY lang, gram) ORDER BY bucket, gram"
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
         run, size = [], 0
@@ -137,16 +138,29 @@ def counted(distinct: DataFrame, longest: int, least: int) -> DataFrame:
         if held:
             yield block()
 
-    totals = f"""WITH t AS (SELECT lang, gram, any_value(words) AS words, sum(n)::BIGINT AS n FROM grams GROUP BY lang, gram)
-        SELECT lang, gram, words, n FROM t WHERE n >= {least} UNION ALL SELECT lang, NULL, 0, sum(n)::BIGINT FROM t WHERE words = 1 GROUP BY lang"""
+    totals = f"SELECT lang, gram, (1 + length(gram) - length(replace(gram, ' ', '')))::INTEGER AS words, sum(n)::BIGINT AS n FROM grams GROUP BY lang, gram HAVING sum(n) >= {least}"
 
     def totalled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened = (pa.ipc.open_stream(block.as_buffer()) for b in batches for block in b.column("block"))
-        for rows in summed((g for stream in opened for g in stream), totals):
-            yield pa.Table.from_batches([rows]).cast(GRAMS).combine_chunks().to_batches()[0] if rows.num_rows else pa.RecordBatch.from_pylist([], GRAMS)
+        said: dict[str, int] = {}
+
+        def opened() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block in batch.column("block"):
+                    for part in pa.ipc.open_stream(block.as_buffer()):
+                        single = pa.table({c: part.column(c) for c in ("lang", "n")}).filter(pc.invert(pc.match_substring(part.column("gram"), " ")))
+                        for row in single.group_by("lang").aggregate([("n", "sum")]).to_pylist():
+                            said[row["lang"]] = said.get(row["lang"], 0) + row["n_sum"]
+                        yield part
+
+        wide = pa.schema([*list(GRAMS)[:2], ("words", pa.int32()), GRAMS.field("n")])
+        for rows in summed(opened(), totals):
+            if rows.num_rows:
+                yield pa.Table.from_batches([rows]).cast(wide).combine_chunks().to_batches()[0]
+        if said:
+            yield pa.RecordBatch.from_arrays([pa.array([*said]), pa.nulls(len(said), pa.string()), pa.array([0] * len(said), pa.int32()), pa.array([*said.values()], pa.int64())], schema=wide)
 
     blocks = distinct.mapInArrow(sums, "bucket int, block binary").repartition("bucket")
-    return blocks.mapInArrow(totalled, "lang string, gram string, words int, n long")
+    return blocks.mapInArrow(totalled, COUNTS)
 
 
 def joined(words: Column, first: int | Column, size: int | Column) -> Column:
