@@ -8,7 +8,7 @@
    hash bucket of n-grams.  A bucket's task adds its blocks up in DuckDB.  DuckDB works
    within MEMORY and goes out of core beyond it, to a folder of the task's own that ends
    with it and that nothing else reads, as Spark's sorts do.  A frequent n-gram is a row a
-   run.
+   run.  A task takes its buckets one after the other.
 3. **Parts.**  No part of a candidate is rarer than the candidate, so only n-grams with
    the least count go on.  A candidate asks for the counts of its parts: requests are made
    distinct within each of HOMES groups of candidates, go to the counts by hash, and come
@@ -25,6 +25,7 @@ bytes; an empty table, or one without candidates, gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 from collections.abc import Iterator
 
@@ -143,23 +144,24 @@ def counted(distinct: DataFrame, longest: int, least: int) -> DataFrame:
     def totalled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         said: dict[str, int] = {}
 
-        def opened() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for block in batch.column("block"):
-                    for part in pa.ipc.open_stream(block.as_buffer()):
-                        single = pa.table({c: part.column(c) for c in ("lang", "n")}).filter(pc.invert(pc.match_substring(part.column("gram"), " ")))
-                        for row in single.group_by("lang").aggregate([("n", "sum")]).to_pylist():
-                            said[row["lang"]] = said.get(row["lang"], 0) + row["n_sum"]
-                        yield part
+        def opened(blocks: Iterator[pa.Buffer]) -> Iterator[pa.RecordBatch]:
+            for block in blocks:
+                for part in pa.ipc.open_stream(block):
+                    single = pa.table({c: part.column(c) for c in ("lang", "n")}).filter(pc.invert(pc.match_substring(part.column("gram"), " ")))
+                    for row in single.group_by("lang").aggregate([("n", "sum")]).to_pylist():
+                        said[row["lang"]] = said.get(row["lang"], 0) + row["n_sum"]
+                    yield part
 
         wide = pa.schema([*list(GRAMS)[:2], ("words", pa.int32()), GRAMS.field("n")])
-        for rows in summed(opened(), totals):
-            if rows.num_rows:
-                yield pa.Table.from_batches([rows]).cast(wide).combine_chunks().to_batches()[0]
+        rows = ((bucket, block.as_buffer()) for b in batches for bucket, block in zip(b.column("bucket").to_pylist(), b.column("block")))
+        for _, own in itertools.groupby(rows, key=lambda row: row[0]):
+            for got in summed(opened(block for _, block in own), totals):
+                if got.num_rows:
+                    yield pa.Table.from_batches([got]).cast(wide).combine_chunks().to_batches()[0]
         if said:
             yield pa.RecordBatch.from_arrays([pa.array([*said]), pa.nulls(len(said), pa.string()), pa.array([0] * len(said), pa.int32()), pa.array([*said.values()], pa.int64())], schema=wide)
 
-    blocks = distinct.mapInArrow(sums, "bucket int, block binary").repartition("bucket")
+    blocks = distinct.mapInArrow(sums, "bucket int, block binary").repartition("bucket").sortWithinPartitions("bucket")
     return blocks.mapInArrow(totalled, COUNTS)
 
 
