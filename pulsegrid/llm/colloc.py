@@ -44,6 +44,8 @@ PIECE_ENDS = r"[.,;:!?\x0A-\x0D]"
 MEMORY, CUT_ROWS = "160MB", 2048
 #: N-grams that a task adds up at once, at least; of few buckets' worth, blocks would be small.
 RUN, RUN_A_BUCKET = 1 << 20, 64
+#: Tasks that count, beside the session's shuffle partitions, and buckets at least.
+SPREAD, LEAST_BUCKETS = 8, 512
 #: Groups of candidates that ask together.
 HOMES = 256
 GRAMS = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
@@ -99,7 +101,8 @@ def pack(rows: list[pa.RecordBatch]) -> bytes:
 
 def counted(distinct: DataFrame, longest: int, least: int) -> DataFrame:
     """(lang, gram, words, n) of the n-grams that stand at least ``least`` times, and of each task a row (lang, null, 0, n) with its words in all."""
-    buckets = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = SPREAD * int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(tasks, LEAST_BUCKETS)
     by_bucket = f"SELECT (hash(lang, gram) % {buckets})::INTEGER AS bucket, * FROM (SELECT lang, gram, sum(n)::BIGINT AS n FROM grams GROUP BY lang, gram) ORDER BY bucket, gram"
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
@@ -161,7 +164,7 @@ def counted(distinct: DataFrame, longest: int, least: int) -> DataFrame:
         if said:
             yield pa.RecordBatch.from_arrays([pa.array([*said]), pa.nulls(len(said), pa.string()), pa.array([0] * len(said), pa.int32()), pa.array([*said.values()], pa.int64())], schema=wide)
 
-    blocks = distinct.mapInArrow(sums, "bucket int, block binary").repartition("bucket").sortWithinPartitions("bucket")
+    blocks = distinct.mapInArrow(sums, "bucket int, block binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
     return blocks.mapInArrow(totalled, COUNTS)
 
 
