@@ -1,4 +1,4 @@
-from pulsegrid.llm import urlrules
+from pulsegrid.llm import queries, urlrules
 from pyspark.sql import functions as F
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -85,3 +85,34 @@ def test_mining_against_enumerated_rules(spark):
             if has and sum(has) >= support * len(sets) and sum(has) / len(has) >= confidence and sum(has) / len(has) > share and not any(set(f) <= set(items) for f in found):
                 found.append(items)
     assert sorted(map(tuple, rules)) == sorted(found) and found
+
+
+def test_many_tokens_that_always_stand_together(spark):
+    """Of 25 tokens of one site there are 2^25 sets; mined as one they are a rule, also with a second token that decides."""
+    words = "/".join("w" + chr(97 + i) for i in range(25))
+    rows = [(i, f"http://site.example/{words}" if i % 2 else f"http://other.example/{'news' if i % 3 else 'blog'}", bool(i % 2)) for i in range(200)]
+    rows += [(200 + i, f"http://third.example/{words.replace('w', 'v')}/{'spam' if i % 2 else 'fine'}", bool(i % 2)) for i in range(100)]
+    df = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+    rules = [r.rule for r in urlrules.learned(df.selectExpr("page_id AS id", "url"), df.selectExpr("page_id AS id", "bad")).collect()]
+    assert any(len(rule) == 1 and len(rule[0]) >= 25 for rule in rules) and len(rules) < 10
+    judged = {r.id: r.verdict for r in urlrules.judge(df, df.selectExpr("page_id AS id", "bad"), []).collect()}
+    assert judged == {i: "block" if bad else "allow" for i, _, bad in rows}
+
+
+def test_rules_beyond_the_plan_are_joined(spark, monkeypatch):
+    rows = [(i % 50, f"http://{'pills' if i % 4 == 0 else 'shop'}.h{i % 5}.example/{'buy' if i % 2 else 'read'}", i % 4 == 0) for i in range(400)] + [(None, None, False), (None, "http://pills.x/", False)]
+    df = spark.createDataFrame(rows, "page_id long, url string, host boolean")
+    labels = df.selectExpr("page_id AS id", "host AS bad")
+    read = lambda: sorted(map(str, urlrules.judge(df, labels, RULES).collect()))
+    few = read()
+    monkeypatch.setattr(urlrules, "RULE_BYTES", 0)
+    assert read() == few and len(few) == len(rows)
+
+
+def test_registered_query(spark, tmp_path):
+    pages = [(i, f"http://{'bad' if i % 2 else 'good'}.net/x{i % 3}", "h", "p", True) for i in range(40)] + [(None, None, None, None, None)]
+    spark.createDataFrame(pages, "page_id long, url string, host string, path string, mined boolean").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, i % 4, i % 2, "x") for i in range(30)], "doc_id long, quality int, toxic int, url string").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.page_id: r for r in queries.op9_url_filter(spark, str(tmp_path)).collect()}
+    assert len(got) == 41 and got[1].rule == "net/" and got[1].verdict == "block" and got[None].host == "" and got[None].verdict == "allow"
+    assert got[39].mined and not got[38].host == "h"
