@@ -45,7 +45,7 @@ MEMORY, CUT_ROWS = "160MB", 2048
 #: N-grams that a task adds up at once, at least; of few buckets' worth, blocks would be small.
 RUN, RUN_A_BUCKET = 1 << 20, 64
 #: Tasks that count, beside the session's shuffle partitions, and buckets at least.
-SPREAD, LEAST_BUCKETS = 8, 512
+SPREAD, LEAST_BUCKETS = 8, 256
 #: Groups of candidates that ask together.
 HOMES = 256
 GRAMS = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
@@ -78,6 +78,9 @@ def grams(batch: pa.RecordBatch, longest: int) -> Iterator[pa.RecordBatch]:
                 break
             run = words if k == 1 else pc.binary_join_element_wise(*(words.slice(i, n) for i in range(k)), " ")
             own = owner[at]
+            if k == 1:  # a language's words in all are a row without n-gram
+                every = pa.table({"lang": part.column("lang"), "n": pa.array(many * np.bincount(own, minlength=part.num_rows))}).group_by("lang").aggregate([("n", "sum")])
+                yield pa.RecordBatch.from_arrays([every["lang"].combine_chunks(), pa.nulls(len(every), pa.string()), every["n_sum"].combine_chunks()], schema=GRAMS)
             yield pa.RecordBatch.from_arrays([part.column("lang").take(pa.array(own)), run.take(pa.array(at)), pa.array(many[own])], schema=GRAMS)
 
 
@@ -100,7 +103,7 @@ def pack(rows: list[pa.RecordBatch]) -> bytes:
 
 
 def counted(distinct: DataFrame, longest: int, least: int) -> DataFrame:
-    """(lang, gram, words, n) of the n-grams that stand at least ``least`` times, and of each task a row (lang, null, 0, n) with its words in all."""
+    """(lang, gram, words, n) of the n-grams that stand at least ``least`` times, and (lang, null, 0, n) with a language's words in all."""
     tasks = SPREAD * int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(tasks, LEAST_BUCKETS)
     by_bucket = f"SELECT (hash(lang, gram) % {buckets})::INTEGER AS bucket, * FROM (SELECT lang, gram, sum(n)::BIGINT AS n FROM grams GROUP BY lang, gram) ORDER BY bucket, gram"
@@ -142,27 +145,15 @@ def counted(distinct: DataFrame, longest: int, least: int) -> DataFrame:
         if held:
             yield block()
 
-    totals = f"SELECT lang, gram, (1 + length(gram) - length(replace(gram, ' ', '')))::INTEGER AS words, sum(n)::BIGINT AS n FROM grams GROUP BY lang, gram HAVING sum(n) >= {least}"
+    totals = f"SELECT lang, gram, coalesce(1 + length(gram) - length(replace(gram, ' ', '')), 0)::INTEGER AS words, sum(n)::BIGINT AS n FROM grams GROUP BY lang, gram HAVING sum(n) >= {least} OR gram IS NULL"
 
     def totalled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        said: dict[str, int] = {}
-
-        def opened(blocks: Iterator[pa.Buffer]) -> Iterator[pa.RecordBatch]:
-            for block in blocks:
-                for part in pa.ipc.open_stream(block):
-                    single = pa.table({c: part.column(c) for c in ("lang", "n")}).filter(pc.invert(pc.match_substring(part.column("gram"), " ")))
-                    for row in single.group_by("lang").aggregate([("n", "sum")]).to_pylist():
-                        said[row["lang"]] = said.get(row["lang"], 0) + row["n_sum"]
-                    yield part
-
         wide = pa.schema([*list(GRAMS)[:2], ("words", pa.int32()), GRAMS.field("n")])
         rows = ((bucket, block.as_buffer()) for b in batches for bucket, block in zip(b.column("bucket").to_pylist(), b.column("block")))
         for _, own in itertools.groupby(rows, key=lambda row: row[0]):
-            for got in summed(opened(block for _, block in own), totals):
+            for got in summed((part for _, block in own for part in pa.ipc.open_stream(block)), totals):
                 if got.num_rows:
                     yield pa.Table.from_batches([got]).cast(wide).combine_chunks().to_batches()[0]
-        if said:
-            yield pa.RecordBatch.from_arrays([pa.array([*said]), pa.nulls(len(said), pa.string()), pa.array([0] * len(said), pa.int32()), pa.array([*said.values()], pa.int64())], schema=wide)
 
     blocks = distinct.mapInArrow(sums, "bucket int, block binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
     return blocks.mapInArrow(totalled, COUNTS)
