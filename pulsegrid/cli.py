@@ -11,6 +11,7 @@ import json
 import logging
 import os
 import sys
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from .functions import synth
 from .functions.sql import analyze_audio
 from .operators import validate
 from .plans import batch
-from .sources import audio, lines, web
+from .sources import audio, clips, lines, web
 
 PROFILES = {"bands": "bands", "edm": "edm", "shaath": "edm", "krumhansl": "krumhansl", "ks": "krumhansl"}
 log = logging.getLogger("pulsegrid")
@@ -61,7 +62,7 @@ def selftest(spark: SparkSession, secs: float = 30.0, rate: int = synth.RATE, ke
     return validate.rows(clips.drop("content"), estimated)
 
 
-def validation(spark: SparkSession, catalog: DataFrame | web.Service, files: DataFrame | None, options: batch.Options) -> DataFrame:
+def validation(spark: SparkSession, catalog: DataFrame | web.Service, files: batch.Files, options: batch.Options) -> DataFrame:
     """Validation rows of the tracks of known tempo: nothing cached, key factors explained."""
     tracks = [(i, f"{artist} — {title}", genre, bpm, key, json.dumps({"artist": artist, "title": title})) for i, (artist, title, bpm, key, genre) in enumerate(k.REFERENCE_TRACKS)]
     wanted = spark.createDataFrame(tracks, "line_no long, label string, genre string, expected_bpm double, expected_key string, line string")
@@ -139,12 +140,14 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "selftest":
         return report(selftest(spark, rate=args.sample_rate, key_profile=args.key_profile))
     catalog = web.Service(args.api_base_url.rstrip("/"), args.requests_per_minute, args.burst) if args.api_base_url else spark.read.parquet(args.catalog)
-    files = audio.read(spark, args.clips) if args.clips else None
+    files = clips.Folder(args.clips) if args.clips else None
     options = batch.Options(args.key_profile, args.explain_key, args.country)
     log.info("options %s", options)
     if args.command == "validate":
         return report(validation(spark, catalog, files, options))
     kept = batch.Cache(cache_path(spark, args.cache_path, args.no_cache))
+    if kept.path is not None and isinstance(catalog, web.Service):
+        catalog = replace(catalog, state=f"{kept.path}/leases")
     if args.command == "batch":
         if args.concurrency:
             spark.conf.set("spark.sql.shuffle.partitions", max(1, args.concurrency))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession
@@ -18,23 +20,25 @@ def _pcm(samples: pd.Series, rate: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"tempo": [g["tempo"] for g in got], "key": [g["key"] for g in got]})
 
 
-def _audio(content: pd.Series, profile: pd.Series, explain: pd.Series) -> pd.DataFrame:
+def examined(raw: bytes, profile: str | None, explain: bool) -> dict:
     """Bytes of a file to facts and features; what fails is named, never raised."""
-    rows = []
-    for raw, name, why in zip(content, profile, explain):
-        row = {"audio": None, "features": None, "error": None}
+    row = {"audio": None, "features": None, "error": None}
+    try:
+        pcm = audio.decode(bytes(raw))
+        if not len(pcm["samples"]):
+            row["error"] = "unusable_audio"
+    except Exception:  # noqa: BLE001
+        row["error"] = "decode"
+    if row["error"] is None:
         try:
-            pcm = audio.decode(bytes(raw))
-            if not len(pcm["samples"]):
-                row["error"] = "unusable_audio"
+            row["audio"], row["features"] = audio.facts(pcm), kernels.analyze(pcm["samples"], pcm["sample_rate"], profile or "bands", bool(explain))
         except Exception:  # noqa: BLE001
-            row["error"] = "decode"
-        if row["error"] is None:
-            try:
-                row["audio"], row["features"] = audio.facts(pcm), kernels.analyze(pcm["samples"], pcm["sample_rate"], name or "bands", bool(why))
-            except Exception:  # noqa: BLE001
-                row = {"audio": None, "features": None, "error": "internal"}
-        rows.append(row)
+            row = {"audio": None, "features": None, "error": "internal"}
+    return row
+
+
+def _audio(content: pd.Series, profile: pd.Series, explain: pd.Series) -> pd.DataFrame:
+    rows = [examined(*row) for row in zip(content, profile, explain)]
     return pd.DataFrame(rows, columns=["audio", "features", "error"])
 
 
@@ -97,6 +101,23 @@ def analyze_audio():
     return F.pandas_udf(_audio, f"STRUCT<audio: {AUDIO}, features: {FEATURES}, error: STRING>")
 
 
+def analyze_files(get: Callable[[str], tuple[bytes | None, str | None]]):
+    """The pandas UDF (path, length, profile, explain) -> audio, features, error, why: ``get`` reads a file, or says why not; null paths give nulls."""
+
+    def _files(path: pd.Series, length: pd.Series, profile: pd.Series, explain: pd.Series) -> pd.DataFrame:
+        rows = []
+        for where, size, *how in zip(path, length, profile, explain):
+            row = {"audio": None, "features": None, "error": None, "why": None}
+            if where is not None:
+                body, row["why"] = get(where) if not size > k.MAX_AUDIO_BYTES else (None, f"too large: {int(size)} bytes (limit {k.MAX_AUDIO_BYTES})")
+                if body is not None:
+                    row |= examined(body, *how)
+            rows.append(row)
+        return pd.DataFrame(rows, columns=["audio", "features", "error", "why"])
+
+    return F.pandas_udf(_files, f"STRUCT<audio: {AUDIO}, features: {FEATURES}, error: STRING, why: STRING>")
+
+
 def decode_audio():
     """The pandas UDF content -> samples, sample_rate, source_channels, truncated, error."""
     return F.pandas_udf(_decode, "STRUCT<samples: ARRAY<FLOAT>, sample_rate: INT, source_channels: INT, truncated: BOOLEAN, error: STRING>")

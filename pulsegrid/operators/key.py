@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -106,3 +108,32 @@ def band_grid(grid: DataFrame) -> DataFrame:
     found = log.withColumn("level", level).where(F.col("j") % k.GRID_STEP == 0).select("clip", band.alias("band"), (midi % 12).alias("pc"), F.greatest(F.col("x") - F.col("level"), F.lit(0.0)).alias("e")).where("band IS NOT NULL")
     total = found.groupBy("clip", "band", "pc").agg(F.sum("e").alias("e"))
     return total.withColumn("e", ratio(12.0 * F.col("e"), F.sum("e").over(over("clip"))))
+
+
+def taps(rate: float, n: int) -> list[tuple[int, int, float | None]]:
+    """(j, bin, weight) of the log-frequency grid over spectra of windows of ``n``: of a grid place as wide as a bin all its bins, unweighted; of a narrower one its two neighbours."""
+    bins, df, out = n // 2 + 1, rate / n, []
+    hz = lambda note: 440 * 2 ** ((note - 69) / 12)
+    for j in range(k.GRID_BINS):
+        note = k.GRID_LOW + j / k.GRID_STEP
+        low, high = math.ceil(hz(note - 0.5 / k.GRID_STEP) / df), math.floor(hz(note + 0.5 / k.GRID_STEP) / df)
+        place = hz(note) / df
+        at = math.floor(place)
+        if high >= low:
+            out += [(j, b, None) for b in range(min(low, bins - 1), min(high, bins - 1) + 1)]
+        elif at + 1 < bins:
+            out += [(j, at, 1 - (place - at)), (j, at + 1, place - at)]
+        else:
+            out.append((j, 0, 0.0))
+    return out
+
+
+def grid_taps(spectrum: DataFrame, rate: float, n: int) -> DataFrame:
+    """(clip, t, j, g) of (clip, t, b, mag): the peak of each grid place's bins, or the value between its neighbours.
+
+    Places are intervals of bins; each is listed bin by bin, a table as long as a spectrum,
+    so that the interval join is one on equal bins.
+    """
+    table = spectrum.sparkSession.createDataFrame(taps(rate, n), "j int, b int, w double")
+    met = spectrum.join(F.broadcast(table), "b")
+    return met.groupBy("clip", "t", "j").agg(F.coalesce(F.max(F.when(F.col("w").isNull(), F.col("mag"))), F.sum(F.col("mag") * F.col("w"))).alias("g"))

@@ -101,6 +101,58 @@ sql("comb_score", f"""{HOURS}, {ZSCORE.format(src='hr')}, tp AS (SELECT unnest([
   be AS (SELECT *, row_number() OVER (PARTITION BY clip, bpm ORDER BY mean DESC, s) AS r FROM sm),
   mi AS (SELECT be.clip, be.bpm, sum(1 - least(near / whole, 1)) AS missed FROM be JOIN LATERAL (SELECT d, sum(CASE WHEN abs((zs.t - be.s * 0.5) / be.p * d - round((zs.t - be.s * 0.5) / be.p * d)) * (be.p / d) <= {k.HALF_WIDTH_SECS} * 20 THEN greatest(zs.x, 0) ELSE 0 END) AS near, sum(greatest(zs.x, 0)) AS whole FROM zs, (SELECT unnest([1, 2, 4]) AS d) WHERE zs.clip = be.clip GROUP BY d) ON true WHERE r = 1 GROUP BY ALL)""",
   "SELECT be.clip, be.bpm, round(mean - sd - 3 * missed, 5) AS score, round(mean, 5) AS mean, round(sd, 5) AS sd, s * 0.5 AS phase FROM be JOIN mi USING (clip, bpm) WHERE r = 1")
+
+
+def comb_sql(name: str, series: str, tempos: str) -> str:
+    """Tables of comb scores: ``tempos`` (clip, tag, bpm) on ``series``, as {name}(clip, tag, bpm, score, mean, sd, phase); 20 frames a second."""
+    p = name
+    return f"""{p}n AS (SELECT clip, count(*) AS n FROM {series} GROUP BY clip),
+  {p}ph AS (SELECT clip, tag, bpm, n, 1200.0 / bpm AS p, unnest(range(ceil(2400.0 / bpm)::INT)) AS s FROM {tempos} JOIN {p}n USING (clip) WHERE 1200.0 / bpm >= 2 AND floor(1200.0 / bpm) < n),
+  {p}bt AS (SELECT *, unnest(range(floor((n - 1 - s * 0.5) / p)::INT + 1)) AS k FROM {p}ph),
+  {p}sm AS (SELECT q.clip, q.tag, q.bpm, q.p, q.s, avg(v) AS mean, sqrt(greatest(avg(v * v) - avg(v) * avg(v), 0)) AS sd FROM (SELECT c.clip, c.tag, c.bpm, c.p, c.s, a.x + (coalesce(b.x, a.x) - a.x) * (c.s * 0.5 + c.k * c.p - floor(c.s * 0.5 + c.k * c.p)) AS v FROM {p}bt c JOIN {series} a ON a.clip = c.clip AND a.t = floor(c.s * 0.5 + c.k * c.p)::BIGINT LEFT JOIN {series} b ON b.clip = c.clip AND b.t = floor(c.s * 0.5 + c.k * c.p)::BIGINT + 1) q GROUP BY ALL HAVING count(*) >= 4),
+  {p}be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY clip, tag ORDER BY mean DESC, s) AS r FROM {p}sm) WHERE r = 1),
+  {p}mi AS (SELECT clip, tag, sum(1 - least(near / whole, 1)) AS missed FROM (SELECT e.clip, e.tag, w.d, sum(CASE WHEN abs((x.t - e.s * 0.5) / e.p * w.d - round((x.t - e.s * 0.5) / e.p * w.d)) * (e.p / w.d) <= {k.HALF_WIDTH_SECS} * 20 THEN greatest(x.x, 0) ELSE 0 END) AS near, sum(greatest(x.x, 0)) AS whole FROM {p}be e JOIN {series} x ON x.clip = e.clip JOIN (SELECT unnest([1, 2, 4]) AS d) w ON true GROUP BY ALL) GROUP BY ALL),
+  {p} AS (SELECT e.clip, e.tag, e.bpm, mean - sd - 3 * missed AS score, mean, sd, s * 0.5 AS phase FROM {p}be e JOIN {p}mi m ON m.clip = e.clip AND m.tag = e.tag)"""
+
+
+#: Candidates of the scaled hourly series: cd (clip, place, bpm).
+ZS_ACF = ACF.replace("FROM hr", "FROM zs").replace("JOIN hr", "JOIN zs")
+CAND = f"""{HOURS}, {ZSCORE.format(src='hr')}, {ZS_ACF.format(most=27)}, {PEAKS}, rt AS (SELECT unnest([1.0, 1.5, 2.0/3, 4.0/3, 0.75]) AS ratio, unnest(range(5)) AS i), fo AS (SELECT clip, list({FOLD('bpm * ratio')} ORDER BY rank, i) AS l FROM pk, rt GROUP BY clip),
+  kept AS (SELECT clip, list_reduce(list_transform(l, lambda v: [v::DOUBLE]), lambda a, v: CASE WHEN len(list_filter(a, lambda o: abs(o - v[1]) < 0.5)) > 0 THEN a ELSE a || v END) AS kept FROM fo), cd AS (SELECT clip, unnest(range(len(kept))) AS place, unnest(kept) AS bpm FROM kept)"""
+#: The best tempo near each candidate on a series: rf (clip, place, bpm, score, mean, sd, phase).
+REFINE = lambda src: f"""rg AS (SELECT clip, place, bpm, {k.REFINE_DRIFT} / (720 / 20.0 * bpm / 60) AS step FROM cd), rh AS (SELECT *, ceil({k.REFINE_SPAN} / step)::INT AS h FROM rg),
+  rw AS (SELECT *, unnest(range(-h, h + 1)) AS i FROM rh),
+  ri AS (SELECT clip, place * 100000 AS tag, bpm FROM rh UNION ALL SELECT clip, place * 100000 + i + h + 1, bpm * (1 + i * step) FROM rw WHERE bpm * (1 + i * step) >= {k.LOW_BPM} AND bpm * (1 + i * step) < {k.HIGH_BPM}), {comb_sql('rc', src, 'ri')},
+  rf AS (SELECT clip, tag // 100000 AS place, bpm, score, mean, sd, phase FROM rc QUALIFY row_number() OVER (PARTITION BY clip, tag // 100000 ORDER BY score DESC, tag) = 1)"""
+SOFT = "kn AS (SELECT unnest(range(-2, 3)) AS o, unnest([0.5 - 0.5 * cos(2 * pi() * i / 6) for i in range(1, 6)]) AS w), so AS (SELECT a.clip, a.t, sum(b.x * w) / (SELECT sum(w) FROM kn) AS x FROM zs a JOIN kn ON true JOIN zs b ON b.clip = a.clip AND b.t = a.t + o GROUP BY a.clip, a.t)"
+sql("tempo_refine", f"{CAND}, {SOFT}, {REFINE('so')}", "SELECT clip, place::INT AS place, round(bpm, 6) AS bpm, round(score, 5) AS score, round(mean, 5) AS mean, round(sd, 5) AS sd, phase FROM rf")
+FINAL = f"""{CAND}, {REFINE('zs')}, fw AS (SELECT * FROM (SELECT clip, bpm, row_number() OVER (PARTITION BY clip ORDER BY score DESC, place) AS place FROM rf) WHERE place <= {k.FINALISTS}),
+  pi AS (SELECT *, unnest(range(-ceil({k.PRECISION_SPAN} / ({k.PRECISION_DRIFT} / 720))::INT, ceil({k.PRECISION_SPAN} / ({k.PRECISION_DRIFT} / 720))::INT + 1)) AS i FROM fw),
+  pg AS (SELECT clip, place, i AS turn, bpm * (1 + i * ({k.PRECISION_DRIFT} / 720)) AS bpm FROM pi),
+  pp AS (SELECT *, 1200.0 / bpm AS p, unnest(range(ceil(2400.0 / bpm)::INT)) AS s FROM pg WHERE 1200.0 / bpm >= 2),
+  pb AS (SELECT *, unnest(range(floor((719 - s * 0.5) / p)::INT + 1)) AS k FROM pp),
+  pm AS (SELECT q.clip, q.place, q.turn, q.bpm, q.s, avg(v) AS mean FROM (SELECT c.clip, c.place, c.turn, c.bpm, c.s, a.x + (coalesce(b.x, a.x) - a.x) * (c.s * 0.5 + c.k * c.p - floor(c.s * 0.5 + c.k * c.p)) AS v FROM pb c JOIN zs a ON a.clip = c.clip AND a.t = floor(c.s * 0.5 + c.k * c.p)::BIGINT LEFT JOIN zs b ON b.clip = c.clip AND b.t = floor(c.s * 0.5 + c.k * c.p)::BIGINT + 1) q GROUP BY ALL HAVING count(*) >= 4),
+  ft AS (SELECT clip, place AS tag, {FOLD('bpm')} AS bpm FROM pm QUALIFY row_number() OVER (PARTITION BY clip, place ORDER BY mean DESC, turn) = 1), {comb_sql('fc', 'zs', 'ft')},
+  fi AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY score DESC, tag) AS rank FROM fc)"""
+sql("tempo_finalists", FINAL, "SELECT clip, rank::INT AS rank, round(bpm, 6) AS bpm, round(score, 5) AS score, round(mean, 5) AS mean, round(sd, 5) AS sd, phase FROM fi")
+SURE = f"pow({unit('mean / 2.5')}, 0.5) * pow(CASE WHEN mean > 0 THEN {unit('mean / (mean + sd)')} ELSE 0 END * CASE WHEN rival IS NULL THEN 1 ELSE {unit('b.score - rival')} END * {unit('periodic / 0.5')} * {unit('720 / 20.0 * b.bpm / 60 / 32')}, 0.25)"
+sql("tempo_estimates", f"""{FINAL}, on1 AS (SELECT * FROM fi WHERE rank = 1), rv AS (SELECT b.clip, arg_min(o.score, o.rank) AS rival FROM on1 b JOIN fi o ON o.clip = b.clip WHERE o.rank > 1 AND abs(o.bpm - b.bpm) >= 0.5 GROUP BY b.clip),
+  mt AS (SELECT clip, 0 AS tag, bpm / 2 AS bpm FROM on1 UNION ALL SELECT clip, 1, bpm * 2 FROM on1), {comb_sql('mc', 'zs', 'mt')},
+  pe AS (SELECT b.clip, a.acf + (coalesce(c.acf, a.acf) - a.acf) * (1200.0 / b.bpm - floor(1200.0 / b.bpm)) AS periodic FROM on1 b JOIN ac a ON a.clip = b.clip AND a.lag = floor(1200.0 / b.bpm)::BIGINT LEFT JOIN ac c ON c.clip = b.clip AND c.lag = floor(1200.0 / b.bpm)::BIGINT + 1)""",
+  f"SELECT b.clip, round(b.bpm, 6) AS bpm, round(b.score, 5) AS score, round(rival, 5) AS rival, round(h.score, 5) AS half, round(d.score, 5) AS double, round({SURE}, 3) AS confidence FROM on1 b LEFT JOIN rv ON rv.clip = b.clip LEFT JOIN pe ON pe.clip = b.clip LEFT JOIN (SELECT clip, score FROM mc WHERE tag = 0) h ON h.clip = b.clip LEFT JOIN (SELECT clip, score FROM mc WHERE tag = 1) d ON d.clip = b.clip")
+GRID = lambda src, value: f"SELECT c.clip, c.s, avg(a.{value} + (coalesce(b.{value}, a.{value}) - a.{value}) * (c.ph + c.k * c.p - floor(c.ph + c.k * c.p))) AS v FROM (SELECT *, unnest(range(floor((n - 1 - ph) / p)::INT + 1)) AS k FROM {src}) c JOIN ev a ON a.clip = c.clip AND a.t = floor(c.ph + c.k * c.p)::BIGINT LEFT JOIN ev b ON b.clip = c.clip AND b.t = floor(c.ph + c.k * c.p)::BIGINT + 1 GROUP BY c.clip, c.s"
+sql("beat_phase", f"""{MEL}, {WHITE}, {FLUX.format(src='wh')}, {DETREND.format(h=15, src='fx')}, {ZSCORE.format(src='dt')}, {KICK}, ev AS (SELECT clip, t, x, kick FROM zs JOIN kk USING (clip, t)),
+  tm AS (SELECT clip, (clip * 8.25 + 91.5)::DOUBLE AS bpm, 1200.0 / (clip * 8.25 + 91.5)::DOUBLE AS p, ceil(2400.0 / (clip * 8.25 + 91.5)::DOUBLE)::INT AS steps, count(*) AS n FROM ev GROUP BY clip),
+  pz AS (SELECT *, unnest(range(steps)) AS s FROM tm), ps AS (SELECT *, s * 0.5 - floor(s * 0.5 / p) * p AS ph FROM pz),
+  kg AS ({GRID('ps', 'kick')}),
+  ri AS (SELECT ps.clip, ps.s, sum(u.v - d.v) / 2 AS rise FROM ps JOIN (SELECT unnest([1, 2]) AS i) w ON true JOIN kg u ON u.clip = ps.clip AND u.s = (ps.s + w.i) % ps.steps JOIN kg d ON d.clip = ps.clip AND d.s = (ps.s - w.i + 2 * ps.steps) % ps.steps GROUP BY ps.clip, ps.s),
+  tp AS (SELECT *, max(rise) OVER (PARTITION BY clip) AS top FROM ri), st AS (SELECT clip, s FROM tp WHERE top >= {k.KICK_LEAST} AND rise >= {k.KICK_SHARE} * top),
+  ne AS (SELECT DISTINCT ps.* FROM ps JOIN (SELECT unnest(range(-20, 21)) AS i) w ON w.i BETWEEN -floor({k.KICK_LAG} * ps.p * 2 + 0.5) AND floor({k.KICK_LEAD} * ps.p * 2 + 0.5) JOIN st ON st.clip = ps.clip AND st.s = (ps.s + w.i + 40 * ps.steps) % ps.steps),
+  og AS ({GRID('ne', 'x')}), bp AS (SELECT og.clip, ps.ph FROM og JOIN ps ON ps.clip = og.clip AND ps.s = og.s QUALIFY row_number() OVER (PARTITION BY og.clip ORDER BY og.v DESC, og.s DESC) = 1)""",
+  "SELECT tm.clip, bpm, round(coalesce(ph, -1), 6) AS phase FROM tm LEFT JOIN bp ON bp.clip = tm.clip")
+PLACE = lambda shift: f"440 * pow(2.0, ({k.GRID_LOW} + j / {k.GRID_STEP}.0 + {shift} / {k.GRID_STEP} - 69) / 12) / (rate / 126)"
+sql("grid_taps", f"{MEL}, ra AS (SELECT unnest([8000.0, 22050.0, 44100.0])::DOUBLE AS rate), jj AS (SELECT rate, j, {PLACE('0.0')} AS place, ceil({PLACE('-0.5')}) AS lo, floor({PLACE('0.5')}) AS hi FROM ra, (SELECT unnest(range({k.GRID_BINS})) AS j))",
+  "SELECT clip, t, j::INT AS j, rate, round(CASE WHEN max(hi) >= max(lo) THEN max(CASE WHEN m BETWEEN least(lo, 63) AND least(hi, 63) THEN v END) WHEN max(floor(place)) + 1 < 64 THEN sum(CASE WHEN m = floor(place) THEN v * (1 - (place - floor(place))) WHEN m = floor(place) + 1 THEN v * (place - floor(place)) ELSE 0 END) ELSE 0 END, 6) AS g FROM jj, mel GROUP BY clip, t, j, rate")
 sql("tempo_confidence", "", f"SELECT l_orderkey, l_linenumber, round(pow({unit('m / 2.5')}, 0.5) * pow(CASE WHEN m > 0 THEN {unit('m / (m + l_tax * 10)')} ELSE 0 END * CASE WHEN l_linenumber = 1 THEN 1 ELSE {unit('l_discount * 12')} END * {unit('l_tax * 8 / 0.5')} * {unit('l_quantity / 32')}, 0.25), 3) AS confidence FROM (SELECT *, l_extendedprice / 40000 - 0.1 AS m FROM lineitem)")
 sql("chromagram", f"{MEL}, {CHROMA}", "SELECT clip, pc, round(e, 6) AS e FROM ch")
 sql("chroma_gates", f"{TWELVE}, {GATES}", f"SELECT clip, round(salience, 6) AS salience, round(tpc, 6) AS tonal_pitch_classes, round({unit('(salience - 0.02) / 0.08')}, 6) AS structure, round({unit('(tpc - 3.5) / 2.0')}, 6) AS coverage FROM gt")
@@ -109,6 +161,7 @@ sql("key_softmax", f"ba AS (SELECT vec_id AS clip, unnest(range(60)) AS i, abs(u
 UP = "((b - a + 12) % 12)"
 sql("key_labels", "", f"SELECT a::BIGINT AS tonic, am AS minor, b::BIGINT AS other, bm AS other_minor, {KEYNAME('a', 'am')} AS key, {CAMELOT('b', 'bm')} AS camelot, CASE WHEN am <> bm THEN CASE WHEN NOT am AND {UP} = 9 THEN 'relative_minor' WHEN am AND {UP} = 3 THEN 'relative_major' WHEN {UP} = 0 THEN 'parallel' ELSE 'other' END WHEN {UP} = 7 THEN 'dominant' WHEN {UP} = 5 THEN 'subdominant' ELSE 'other' END AS relation FROM (SELECT n_nationkey % 12 AS a, n_nationkey >= 12 AS am FROM nation WHERE n_nationkey < 24), (SELECT n_nationkey % 12 AS b, n_nationkey >= 12 AS bm FROM nation WHERE n_nationkey < 24)")
 sql("stft_dft", "fr AS (SELECT vec_id AS clip, unnest(range(7)) AS t, embedding AS x FROM embeddings), sa AS (SELECT clip, t, unnest(range(16)) AS i, unnest(x[t * 8 + 1 : t * 8 + 16])::DOUBLE AS x FROM fr), wi AS (SELECT *, x * (0.5 - 0.5 * cos(2 * pi() * i / 16)) AS w FROM sa)", "SELECT clip, t, b, round(sqrt(pow(sum(w * cos(2 * pi() * i * b / 16)), 2) + pow(sum(w * sin(2 * pi() * i * b / 16)), 2)), 6) AS mag FROM wi, (SELECT unnest(range(9)) AS b) GROUP BY clip, t, b")
+sql("stft_fft", "cl AS (SELECT label AS clip, flatten(list(embedding ORDER BY vec_id)) AS l FROM embeddings GROUP BY label), sa AS (SELECT clip, len(l) AS n, unnest(l)::DOUBLE AS x, unnest(range(len(l))) AS i FROM cl), wi AS (SELECT clip, i // 1024 AS t, i % 1024 AS i, x * (0.5 - 0.5 * cos(2 * pi() * (i % 1024) / 1024)) AS w FROM sa WHERE (i // 1024 + 1) * 1024 <= n)", "SELECT clip, t::BIGINT AS t, b::INT AS b, round(sqrt(pow(sum(w * cos(2 * pi() * i * b / 1024)), 2) + pow(sum(w * sin(2 * pi() * i * b / 1024)), 2)), 5) AS mag FROM wi, (SELECT unnest(range(513)) AS b) GROUP BY clip, t, b")
 sql("band_grid", f"gr AS (SELECT vec_id AS clip, j::INT AS j, abs(embedding[j % 64 + 1]::DOUBLE) AS g FROM embeddings, (SELECT unnest(range(252)) AS j)), lg AS (SELECT clip, j, ln(1 + 100 * g / max(g) OVER (PARTITION BY clip)) AS x FROM gr), lv AS (SELECT *, avg(x) OVER (PARTITION BY clip ORDER BY j ROWS BETWEEN 9 PRECEDING AND 8 FOLLOWING) AS level FROM lg), sm AS (SELECT clip, CASE WHEN midi < 36 THEN 0 WHEN midi < 48 THEN 1 WHEN midi < 60 THEN 2 WHEN midi < 72 THEN 3 ELSE 4 END AS band, midi % 12 AS pc, sum(greatest(x - level, 0)) AS e FROM (SELECT *, 24 + j // 3 AS midi FROM lv WHERE j % 3 = 0) WHERE midi < 96 GROUP BY ALL)", "SELECT clip, band, pc, round(12 * e / sum(e) OVER (PARTITION BY clip), 6) AS e FROM sm")
 sql("normalize_text", "", f"SELECT p_partkey, {NORM('x')} AS plain FROM (SELECT p_partkey, '  ' || p_name || ' & ' || p_brand || '--(' || p_type || ')! ' AS x FROM part)")
 sql("similarity_pairs", "", f"SELECT a.p_partkey AS a, b.p_partkey AS b, round({SIM('a.p_name', 'b.p_name')}, 6) AS similarity FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey")

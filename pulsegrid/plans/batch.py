@@ -7,6 +7,7 @@ result with an error.  The catalog is a table or a search service (``web.Service
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,10 +16,12 @@ from pyspark.sql import functions as F
 from .. import constants as k
 from .. import scratch
 from ..functions import expr
-from ..functions.sql import analyze_audio
+from ..functions.sql import analyze_audio, analyze_files
 from ..operators import cache, match
 from ..schema import AUDIO, ERROR, FEATURES, KEY, TEMPO, TRACK, analysis
-from ..sources import lines, web
+from ..sources import clips, lines, web
+
+log = logging.getLogger("pulsegrid")
 
 
 @dataclass(frozen=True)
@@ -83,21 +86,40 @@ def resolved(requests: DataFrame, catalog: DataFrame | web.Service, options: Opt
     return found.join(down, F.col("line_no") == F.col("_down"), "left").select("line_no", F.when(F.col("_error").isNull(), F.col("track")).alias("track"), F.coalesce("_error", "error").alias("error"))
 
 
-def analyzed(tracks: DataFrame, files: DataFrame | None, options: Options) -> DataFrame:
-    """(track_id, audio, features, failed, why) of tracks (track_id, preview_url), each analysed once; without ``files`` the previews are fetched."""
-    if files is None:
-        files = scratch.written(web.fetched(tracks.repartition("track_id")), "previews")
-    if "message" not in files.columns:
-        files = files.withColumn("message", F.lit(None).cast("string"))
-    with_file = tracks.join(files.select(F.col("path").alias("preview_url"), "content", "message"), "preview_url", "left")
-    # few clips a task: an analysis takes seconds and some 100 MB
-    dealt = with_file.repartition("track_id").withColumn("got", F.when(F.col("content").isNotNull(), analyze_audio()(F.coalesce("content", F.lit(b"")), F.lit(options.key_profile), F.lit(options.explain_key_scoring))))
-    failed = F.when(F.col("content").isNull(), "http").otherwise(F.col("got.error"))
-    why = F.when(F.col("content").isNull(), F.coalesce("message", F.lit("no such preview")))
-    return dealt.select("track_id", F.col("got.audio").alias("audio"), F.col("got.features").alias("features"), failed.alias("failed"), why.alias("why"))
+Files = DataFrame | clips.Folder | None
+
+
+def analyzed(tracks: DataFrame, files: Files, options: Options) -> DataFrame:
+    """(track_id, audio, features, failed, why) of tracks (track_id, preview_url), each analysed once.
+
+    A folder's files are joined by name and read by the task that analyses them; so are
+    previews fetched, without ``files``.  Of a table (path, content) the bytes are shuffled
+    to their tracks, once.
+    """
+    how = F.lit(options.key_profile), F.lit(options.explain_key_scoring)
+    if isinstance(files, DataFrame):
+        if "message" not in files.columns:
+            files = files.withColumn("message", F.lit(None).cast("string"))
+        there = F.col("content").isNotNull()
+        dealt = tracks.repartition("preview_url").join(files.select(F.col("path").alias("preview_url"), "content", "message"), "preview_url", "left")
+        dealt = dealt.withColumn("got", F.when(there, analyze_audio()(F.coalesce("content", F.lit(b"")), *how)))
+        failed, why = F.when(~there, "http").otherwise(F.col("got.error")), F.when(~there, F.coalesce("message", F.lit("no such preview")))
+    else:
+        named = tracks.withColumn("length", F.lit(None).cast("long")) if files is None else tracks.join(files.names(tracks.sparkSession).withColumnRenamed("path", "preview_url"), "preview_url", "left")
+        there = F.col("preview_url" if files is None else "length").isNotNull()
+        get = fetch if files is None else files.get
+        # few clips a task: an analysis takes seconds and some 100 MB
+        dealt = named.repartition("track_id").withColumn("got", analyze_files(get)(F.when(there, F.col("preview_url")), F.col("length").cast("double"), *how))
+        failed, why = F.when(~there | F.col("got.why").isNotNull(), "http").otherwise(F.col("got.error")), F.when(there, F.col("got.why")).otherwise("no such preview")
+    done = dealt.select("track_id", F.col("got.audio").alias("audio"), F.col("got.features").alias("features"), failed.alias("failed"), why.alias("why"))
+    return scratch.written(done, "analysed") if files is None else done  # a preview is asked for once
+
+
+def fetch(url: str) -> tuple[bytes | None, str | None]:
+    return web.get(url, k.MAX_AUDIO_BYTES, audio=True)
 
 
-def run(request_lines: DataFrame, catalog: DataFrame | web.Service, files: DataFrame | None, results: DataFrame | None = None, options: Options = Options(), resolutions: DataFrame | None = None) -> DataFrame:
+def run(request_lines: DataFrame, catalog: DataFrame | web.Service, files: Files, results: DataFrame | None = None, options: Options = Options(), resolutions: DataFrame | None = None) -> DataFrame:
     """(line_no, analysis) of (line_no, line); ``results`` and ``resolutions`` are the caches' tables."""
     parsed = lines.parsed(request_lines)
     valid = parsed.where("error IS NULL").select("line_no", "query")
@@ -127,6 +149,13 @@ def run(request_lines: DataFrame, catalog: DataFrame | web.Service, files: DataF
     return rows.select("line_no", analysis(F.col("query"), F.col("track"), features, F.col("audio"), F.col("cached"), error).alias("analysis"))
 
 
+def refused(request_lines: DataFrame, kind: str, message: str) -> DataFrame:
+    """(line_no, analysis): every request failed for one reason, malformed ones for their own."""
+    nothing = lambda schema: F.lit(None).cast(schema)
+    error = F.coalesce("error", F.struct(F.lit(kind).alias("kind"), F.lit(message).alias("message")).cast(ERROR))
+    return lines.parsed(request_lines).select("line_no", analysis(F.col("query"), nothing(TRACK), nothing(FEATURES), nothing(AUDIO), F.lit(False), error).alias("analysis"))
+
+
 def storable(done: DataFrame, options: Options = Options()) -> DataFrame:
     """Rows for the result cache: fresh successes, one a track."""
     ok = done.where("analysis.status = 'ok' AND NOT analysis.cached").select(F.col("analysis.track.track_id").alias("track_id"), F.to_json(F.struct("analysis.audio", "analysis.features")).alias("payload"))
@@ -147,13 +176,24 @@ class Cache:
 
     path: str | None
 
-    def answer(self, request_lines: DataFrame, catalog: DataFrame | web.Service, files: DataFrame | None, options: Options = Options()) -> DataFrame:
-        """``run`` with what is cached, a written table; what is new is stored."""
+    def answer(self, request_lines: DataFrame, catalog: DataFrame | web.Service, files: Files, options: Options = Options()) -> DataFrame:
+        """``run`` with what is cached, a written table; what is new is stored.
+
+        A cache that can't be opened is an error of every request.  One that can't be
+        written costs a repeated analysis next time: a warning.
+        """
         spark = request_lines.sparkSession
         if self.path is None:
             return run(request_lines, catalog, files, options=options)
-        results, resolutions = (cache.opened(spark, f"{self.path}/{name}", schema) for name, schema in (("results", cache.RESULTS), ("resolutions", cache.RESOLUTIONS)))
+        try:
+            results, resolutions = (cache.opened(spark, f"{self.path}/{name}", schema) for name, schema in (("results", cache.RESULTS), ("resolutions", cache.RESOLUTIONS)))
+        except Exception as error:  # noqa: BLE001  a batch never fails as a whole
+            log.warning("could not open the cache at %s: %s", self.path, error)
+            return refused(request_lines, "cache", f"opening {self.path}: {type(error).__name__}")
         done = scratch.written(run(request_lines, catalog, files, results, options, resolutions), "answers")
-        cache.put(storable(done, options), f"{self.path}/results")
-        cache.put(resolvable(done, resolutions, options), f"{self.path}/resolutions")
+        for name, rows in (("results", storable(done, options)), ("resolutions", resolvable(done, resolutions, options))):
+            try:
+                cache.put(rows, f"{self.path}/{name}")
+            except Exception as error:  # noqa: BLE001
+                log.warning("could not cache %s: %s", name, error)
         return done

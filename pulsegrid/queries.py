@@ -183,6 +183,29 @@ def comb_score(spark, sf_dir):
     return rounded(tempo.comb(env, tempos, FPS), score=5, mean=5, sd=5)
 
 
+@query
+def tempo_refine(spark, sf_dir):
+    series = frames.zscore(hourly(spark, sf_dir))
+    return rounded(tempo.refined(frames.smooth(series, 5), tempo.candidates(series, FPS), FPS), bpm=6, score=5, mean=5, sd=5)
+
+
+@query
+def tempo_finalists(spark, sf_dir):
+    return rounded(tempo.finalists(frames.zscore(hourly(spark, sf_dir)), FPS), bpm=6, score=5, mean=5, sd=5)
+
+
+@query
+def tempo_estimates(spark, sf_dir):
+    return rounded(tempo.estimates(frames.zscore(hourly(spark, sf_dir)), FPS), bpm=6, score=5, rival=5, half=5, double=5)
+
+
+@query
+def beat_phase(spark, sf_dir):
+    env = frames.onset_envelope(mel(spark, sf_dir), FPS, 2)
+    tempos = env.select("clip").distinct().select("clip", (F.col("clip") * 8.25 + 91.5).alias("bpm"), F.lit(-1.0).alias("otherwise"))
+    return rounded(tempo.beat_phases(env, tempos, FPS), phase=6)
+
+
 @query
 def tempo_confidence(spark, sf_dir):
     mean = F.col("l_extendedprice") / 40000 - 0.1
@@ -223,6 +246,20 @@ def band_grid(spark, sf_dir):
     return rounded(key.band_grid(grid), e=6)
 
 
+#: Sampling rates at which spectra of 64 bins are read as windows of 126 samples.
+TAP_RATES, TAP_WINDOW = (8000.0, 22050.0, 44100.0), 126
+
+
+@query
+def grid_taps(spark, sf_dir):
+    spectrum = mel(spark, sf_dir).withColumnsRenamed({"m": "b", "v": "mag"})
+    one = lambda rate: key.grid_taps(spectrum, rate, TAP_WINDOW).withColumn("rate", F.lit(rate))
+    taps = one(TAP_RATES[0])
+    for rate in TAP_RATES[1:]:
+        taps = taps.unionByName(one(rate))
+    return rounded(taps, g=6)
+
+
 def two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of the 24 keys, by a join on the pairs' numbers: 24 rows on either side, always."""
     n = table(spark, sf_dir, "nation").where("n_nationkey < 24").select(F.col("n_nationkey").cast("long").alias("n"))
@@ -243,6 +280,14 @@ def stft_dft(spark, sf_dir):
     return rounded(frames.dft(framed, 16), mag=6)
 
 
+@query
+def stft_fft(spark, sf_dir):
+    """A label's vectors one after another are a clip."""
+    rows = table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("clip")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("held"))
+    clips = rows.select("clip", F.transform(F.flatten(F.transform("held", lambda h: h["embedding"])), lambda x: x.cast("double")).alias("xs"))
+    return rounded(frames.fft(frames.framed(clips, 1024, 1024), 1024), mag=5)
+
+
 @query
 def normalize_text(spark, sf_dir):
     text = F.concat(F.lit("  "), "p_name", F.lit(" & "), "p_brand", F.lit("--("), "p_type", F.lit(")! "))

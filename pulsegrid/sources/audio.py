@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as k
+from . import clips
 
 #: Decoders by file signature, for formats that need a library: bytes -> (samples frames x channels, rate).
 DECODERS: dict[bytes, Callable[[bytes], tuple[np.ndarray, int]]] = {}
@@ -87,19 +88,22 @@ def middle(samples: np.ndarray, rate: int, secs: float = 30.0) -> np.ndarray:
     return samples[skip : skip + int(secs * rate)]
 
 
-def benched(manifest: DataFrame, files: DataFrame) -> DataFrame:
-    """(dataset, id, value) of a manifest (dataset, id, url, tonic_pc, mode) and files (path, content): a JSON line each.
+def benched(manifest: DataFrame, files: DataFrame | clips.Folder) -> DataFrame:
+    """(dataset, id, value) of a manifest (dataset, id, url, tonic_pc, mode) and files, a folder or (path, content): a JSON line each.
 
     A line has the labels, the band chroma of the clip's middle, and the key that each
     scorer gives; what fails is a line with an error.  Lines come in no order.
     """
     from ..operators import kernels
 
+    get = None if isinstance(files, DataFrame) else files.get
+
     def one(row) -> dict:
         try:
-            if row.content is None:
-                raise ValueError("no such file")
-            pcm = decode(bytes(row.content))
+            content, message = (row.content, "no such file") if get is None else get(row.url) if row.there else (None, "no such file")
+            if content is None:
+                raise ValueError(message)
+            pcm = decode(bytes(content))
             clip = middle(pcm["samples"], pcm["sample_rate"])
             bands, _ = kernels.band_chroma(clip, pcm["sample_rate"])
             found = {name: kernels.key(clip, pcm["sample_rate"], name) for name in ("edm", "krumhansl", "bands")}
@@ -110,11 +114,15 @@ def benched(manifest: DataFrame, files: DataFrame) -> DataFrame:
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                yield pd.DataFrame({"dataset": [row.dataset], "id": [row.id], "value": [json.dumps(one(row))]})
+            yield pd.DataFrame({"dataset": pdf["dataset"], "id": pdf["id"], "value": [json.dumps(one(row)) for row in pdf.itertuples(index=False)]})
 
-    rows = manifest.join(files.select(F.col("path").alias("url"), "content"), "url", "left").repartition("id")
-    return rows.select("dataset", "id", "tonic_pc", "mode", "content").mapInPandas(made, "dataset string, id string, value string")
+    labels = ["dataset", "id", "tonic_pc", "mode"]
+    if get is None:
+        rows = manifest.repartition("url").join(files.select(F.col("path").alias("url"), "content"), "url", "left").select(*labels, "content")
+    else:
+        names = files.names(manifest.sparkSession).select(F.col("path").alias("url"), F.lit(True).alias("there"))
+        rows = manifest.join(names, "url", "left").select(*labels, "url", F.coalesce("there", F.lit(False)).alias("there")).repartition("id")
+    return rows.mapInPandas(made, "dataset string, id string, value string")
 
 
 def decoded(files: DataFrame) -> DataFrame:

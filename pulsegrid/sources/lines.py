@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import input_error
 from ..schema import ERROR, QUERY
 
 
+#: Where a line of a text source comes from; a file's splits begin at ``start``.
+ORIGIN = ["value AS line", "_metadata.file_modification_time AS at", "_metadata.file_path AS file", "_metadata.file_block_start AS start"]
+#: Lines of a split.
+WIDE = 1 << 33
+
+
+def numbered(rows: DataFrame, *by: str) -> DataFrame:
+    """(line_no, line) of ``rows`` with ORIGIN: numbers rise with ``by`` (file, if none), and with the place in a file.
+
+    Spark packs splits into partitions by size, so a row's number in its partition orders
+    only the rows of one split.  Splits are numbered by file and start, a row each.
+    """
+    order = [*(by or ("file",)), "file", "start"]
+    place = F.row_number().over(Window.orderBy(*dict.fromkeys(order)))
+    splits = rows.select("at", "file", "start").distinct().withColumn("split", place - 1).select("file", "start", "split")
+    here = F.monotonically_increasing_id() % WIDE
+    return rows.withColumn("here", here).join(splits, ["file", "start"]).select((F.col("split") * WIDE + F.col("here")).alias("line_no"), "line")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, line) of text files; numbers rise with file and place."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
+    return numbered(spark.read.text(path).selectExpr(*ORIGIN))
 
 
 def parsed(lines: DataFrame) -> DataFrame:

@@ -1,13 +1,14 @@
 """Requests to results: ordered, failures as rows, one analysis a track, cache hits, streams."""
 
 import json
+import time
 
 import pytest
 
 from pulsegrid.functions import sql, synth
 from pulsegrid.operators import cache
 from pulsegrid.plans import batch
-from pulsegrid.sources import audio, catalog, lines
+from pulsegrid.sources import audio, catalog, clips, lines
 from pulsegrid.streaming import batch as stream
 
 LINES = [
@@ -40,7 +41,7 @@ def world(spark, folder):
     at = lambda name: f"file:{folder}/{name}"
     rows = [(1, "Daft Punk", "Around the World", at("a.wav")), (2, "Daft Punk", "Around the World (Radio Edit)", at("a.wav")), (3, "Red Hot Chili Peppers", "Around the World", at("b.wav")), (7, "A", "B", at("b.wav")), (8, "A", "C", None), (9, "A", "D", at("bad.wav")), (10, "A", "E", at("gone.wav"))]
     table = spark.createDataFrame(rows, "c_track_id long, c_artist string, c_title string, c_preview string")
-    return table, audio.read(spark, str(folder))
+    return table, clips.Folder(str(folder))
 
 
 def numbered(spark):
@@ -63,15 +64,103 @@ def test_batch_and_cache(spark, world, tmp_path):
     assert cache.opened(spark, str(tmp_path / "none"), cache.RESOLUTIONS).count() == 0
 
 
+def told(done):
+    return [r.analysis.error.kind if r.analysis.error else "ok" for r in done.orderBy("line_no").collect()]
+
+
+def test_only_asked_files_are_opened_and_no_bytes_are_shuffled(spark, world, folder, tmp_path):
+    log = tmp_path / "opened"
+
+    def get(path):
+        with open(log, "a") as out:
+            out.write(path + "\n")
+        return clips.opened(path)
+
+    for i in range(30):
+        (folder / f"unasked{i}.wav").write_bytes(b"never read")
+    done = batch.run(numbered(spark), world[0], clips.Folder(str(folder), get))
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan and "BinaryFileFormat" not in plan.replace("binaryFile", "")
+    assert told(done) == WANT
+    # a track is opened once: two share a.wav, one file is broken
+    assert sorted(log.read_text().split()) == sorted(f"file:{folder}/{n}" for n in ("a.wav", "a.wav", "b.wav", "bad.wav"))
+
+
+def test_table_of_bytes(spark, world, folder):
+    assert told(batch.run(numbered(spark), world[0], audio.read(spark, str(folder)))) == WANT
+
+
+def test_large_and_missing_files_are_not_opened(spark, folder, monkeypatch):
+    monkeypatch.setattr("pulsegrid.constants.MAX_AUDIO_BYTES", 10)
+    tracks = spark.createDataFrame([(1, f"file:{folder}/a.wav"), (2, f"file:{folder}/none.wav"), (3, None)], "track_id long, preview_url string")
+    got = {r.track_id: (r.failed, r.why) for r in batch.analyzed(tracks, clips.Folder(str(folder), lambda path: (None, "opened after all")), batch.Options()).collect()}
+    assert got[1][0] == "http" and got[2] == got[3] == ("http", "no such preview")
+
+
+def test_clip_source_drops_files_before_opening_them(spark, tmp_path, monkeypatch):
+    for i in range(12):
+        (tmp_path / f"c{i:02d}.wav").write_bytes(b"x" * (i + 1))
+    (tmp_path / "c05.wav").chmod(0o600)
+    reader = clips.ClipReader(f"file:{tmp_path}")
+    keep = clips.EqualTo(("other",), 1)
+    left = list(reader.pushFilters([clips.In(("path",), tuple(f"file:{tmp_path}/c{i:02d}.wav" for i in (3, 5, 7))), clips.GreaterThan(("length",), 4), keep]))
+    assert left == [keep]
+    parts = reader.partitions()
+    assert [n for p in parts for n in p.files] == [(f"file:{tmp_path}/c05.wav", 6), (f"file:{tmp_path}/c07.wav", 8)]
+    assert [b.to_pylist()[0]["content"] for p in parts for b in reader.read(p)] == [b"x" * 6, b"x" * 8]
+    monkeypatch.setattr(clips, "PART_FILES", 5)
+    assert [len(p.files) for p in clips.ClipReader(str(tmp_path)).partitions()] == [5, 5, 2]
+    clips.register(spark)
+    before = spark.conf.get("spark.sql.python.filterPushdown.enabled")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        got = spark.read.format("clips").load(f"file:{tmp_path}").where(f"path = 'file:{tmp_path}/c02.wav'")
+        assert "path" not in got._jdf.queryExecution().optimizedPlan().toString().split("Filter", 1)[-1].split("\n")[0] or got.count() == 1
+        assert [(r.length, bytes(r.content), r.message) for r in got.collect()] == [(3, b"xxx", None)]
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", before)
+    assert clips.opened(f"{tmp_path}/none.wav")[0] is None and "too large" in clips.opened(f"{tmp_path}/c11.wav", 3)[1]
+
+
+def test_lines_of_several_files_are_numbered_in_order(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("first\n")
+    (tmp_path / "b.txt").write_text("second, longer than first\nx\n")
+    (tmp_path / "c.txt").write_text("".join(f"line {i}\n" for i in range(50_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        got = [r.line for r in lines.read(spark, str(tmp_path)).orderBy("line_no").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == ["first", "second, longer than first", "x", *(f"line {i}" for i in range(50_000))]
+
+
+def test_cache_that_fails(spark, world, tmp_path, caplog, monkeypatch):
+    kept = batch.Cache(str(tmp_path / "kept"))
+
+    def full(rows, path):
+        raise OSError("disk full")
+
+    monkeypatch.setattr(cache, "put", full)
+    assert told(kept.answer(numbered(spark), *world)) == WANT
+    assert "could not cache results: disk full" in caplog.text and "could not cache resolutions" in caplog.text
+    broken = tmp_path / "broken" / "results"
+    broken.mkdir(parents=True)
+    monkeypatch.setattr(cache, "opened", lambda *a: full(*a[:2]))
+    assert told(batch.Cache(str(tmp_path / "broken")).answer(numbered(spark), *world)) == ["cache" if w != "invalid_input" else w for w in WANT]
+
+
 def test_stream(spark, world, tmp_path):
     inbox, outbox = tmp_path / "in", tmp_path / "out"
     inbox.mkdir()
     (inbox / "1.jsonl").write_text("\n".join(LINES[1:4]) + "\n")
+    time.sleep(0.05)
+    (inbox / "0.jsonl").write_text("\n".join([LINES[5], *["no request"] * 30]) + "\n")  # larger, and later
     stream.start(spark, str(inbox), str(outbox), str(tmp_path / "c"), *world, once=True).awaitTermination()
     (inbox / "2.jsonl").write_text(LINES[5] + "\n")
     stream.start(spark, str(inbox), str(outbox), str(tmp_path / "c"), *world, once=True).awaitTermination()
     kinds = [[json.loads(x)["error"]["kind"] for x in "".join(p.read_text() for p in sorted(d.glob("part*"))).splitlines()] for d in sorted(outbox.glob("batch=*"))]
-    assert kinds == [["invalid_input", "no_match"], ["no_preview"]]
+    assert kinds == [["invalid_input", "no_match", "no_preview", *["invalid_input"] * 30], ["no_preview"]]
 
 
 @pytest.mark.parametrize("bits", [8, 16, 24, 32, "f"])
@@ -115,7 +204,8 @@ def test_key_bench(spark, tmp_path):
     (tmp_path / "a.wav").write_bytes(synth.wav(synth.chords(9, True, 40) * 0.5))
     (tmp_path / "b.wav").write_bytes(b"no audio")
     rows = spark.createDataFrame([("d", "1", at("a.wav"), 9, "minor"), ("d", "2", at("b.wav"), 0, "major"), ("d", "3", at("none.wav"), 0, "major")], "dataset string, id string, url string, tonic_pc int, mode string")
-    got = {r.id: json.loads(r.value) for r in audio.benched(rows, audio.read(spark, str(tmp_path))).collect()}
+    got = {r.id: json.loads(r.value) for r in audio.benched(rows, clips.Folder(str(tmp_path))).collect()}
+    assert got == {r.id: json.loads(r.value) for r in audio.benched(rows, audio.read(spark, str(tmp_path))).collect()}
     assert got["1"]["tonic"] == 9 and set(got["1"]["estimates"]) == {"bands", "edm", "krumhansl"} and got["1"]["estimates"]["bands"]["key"] == "A minor"
     assert len(got["1"]["bands"]) == 5 and got["1"]["estimates"]["edm"]["scoring"]["strength"] >= 0
     assert set(got["2"]) == set(got["3"]) == {"dataset", "id", "error"}

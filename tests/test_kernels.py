@@ -3,8 +3,9 @@
 import numpy as np
 import pytest
 
+from pulsegrid import constants as k
 from pulsegrid.functions import synth
-from pulsegrid.operators import kernels
+from pulsegrid.operators import frames, kernels, key, tempo
 
 
 def over_drums(tonal, drums=0.8):
@@ -67,3 +68,58 @@ def test_robustness():
         assert got["key"] is None or got["key"]["confidence"] == 0
     assert kernels.sizes(44100, "onsets") == (2048, 256) and kernels.sizes(48000, "onsets") == (4096, 512)
     assert kernels.sizes(44100, "chroma") == (8192, 2048) and kernels.sizes(44100, "bands") == (16384, 2048)
+
+
+@pytest.mark.parametrize("n", [2, 8, 64])
+def test_fft_equals_numpy(spark, n):
+    x = np.random.default_rng(n).normal(size=3 * n)
+    clips = spark.createDataFrame([(1, x.tolist()), (2, x[: n - 1].tolist())], "clip int, xs array<double>")
+    got = frames.fft(frames.framed(clips, n, n // 2), n).orderBy("t", "b").collect()
+    want = np.concatenate(list(kernels.magnitudes(x, n, n // 2)))
+    assert np.allclose([r.mag for r in got], want.ravel(), atol=1e-9) and {r.clip for r in got} == {1}
+    with pytest.raises(ValueError):
+        frames.fft(clips, 12)
+
+
+def test_relational_tempo_equals_kernel(spark):
+    """Refinement, finalists and beat phase of a click track, and of a slower one with silence between, against the kernel."""
+    fps, rows, tempos, want = 20.0, [], [], {}
+    for clip, (period, size) in enumerate([(9.37, 400), (11.9, 260)]):
+        g = np.random.default_rng(clip)
+        x, kick = g.normal(0, 0.2, size), np.abs(g.normal(0, 0.02, size))
+        at = (np.arange(int(size / period)) * period + 3).astype(int)
+        x[at] += 3
+        kick[at] += 0.8
+        x = (x - x.mean()) / x.std()
+        env = {"values": x, "kick": kick, "fps": fps, "latency": 0.0}
+        want[clip] = (kernels.tempo(env), kernels.tempo_candidates(x, fps)[0], env)
+        rows += [(clip, t, float(a), float(b)) for t, (a, b) in enumerate(zip(x, kick))]
+        tempos.append((clip, 60 * fps / period, -1.0))
+    env = spark.createDataFrame(rows, "clip int, t long, x double, kick double")
+    series = env.select("clip", "t", "x")
+    soft = frames.smooth(series, int(np.floor(k.SMOOTH_SECS * fps + 0.5)))
+    refined = {(r.clip, r.place): r for r in tempo.refined(soft, tempo.candidates(series, fps), fps).collect()}
+    for clip, (_, coarse, e) in want.items():
+        smooth = kernels.Series(kernels.smooth(e["values"], int(np.floor(k.SMOOTH_SECS * fps + 0.5))))
+        for place, bpm in enumerate(coarse):
+            best, got = kernels.refine(smooth, fps, bpm), refined.get((clip, place))
+            assert (best is None) == (got is None)
+            if best:
+                assert np.allclose([got.bpm, got.score, got.mean, got.sd, got.phase], best, atol=1e-7)
+    for r in tempo.estimates(series, fps).collect():
+        assert abs(r.bpm - want[r.clip][0]["bpm"]) <= 0.005 and abs(r.confidence - want[r.clip][0]["confidence"]) < 1e-6
+        told = {o["relation"]: o["score"] for o in want[r.clip][0]["alternates"] if o["relation"] != "runner_up"}
+        assert all(abs(getattr(r, name) - score) < 1e-3 for name, score in told.items())
+    for r in tempo.beat_phases(env, spark.createDataFrame(tempos, "clip int, bpm double, otherwise double"), fps).collect():
+        assert abs(r.phase - kernels.beat_phase(want[r.clip][2], r.bpm, -1.0)) < 1e-9
+
+
+@pytest.mark.parametrize("rate", [8000, 44100])
+def test_grid_taps_list_the_kernels_bins(rate):
+    n = 126
+    by_place = {}
+    for j, b, w in key.taps(float(rate), n):
+        by_place.setdefault(j, []).append((b, w))
+    assert set(by_place) == set(range(k.GRID_BINS))
+    for own in by_place.values():
+        assert all(0 <= b <= n // 2 for b, _ in own) and (own[0][1] is None or abs(sum(w for _, w in own) - 1) < 1e-9 or own == [(0, 0.0)])

@@ -85,6 +85,43 @@ def test_bucket_waits():
     assert bucket.wait() == 0 and bucket.tokens <= 5
 
 
+def conforms(times, per_second, burst):
+    """Whether requests at these times never outrun a token bucket."""
+    tokens, last = burst, min(times)
+    for t in sorted(times):
+        tokens, last = min(burst, tokens + (t - last) * per_second) - 1, t
+        if tokens < -1e-6:
+            return False
+    return True
+
+
+@pytest.mark.parametrize("late", [0.0, 7.0, 100.0])
+def test_tasks_together_keep_the_rate(spark, tmp_path, late):
+    """Each task has a clock of its own; the second starts ``late``; a second batch after a crash owes what the first leased."""
+    service, begun, times = web.Service("http://x", 60, 4, f"file:{tmp_path}/leases", 2), 1000.0, []
+    for batch_, (n, start) in enumerate([(20, begun), (10, begun + 3)]):
+        at, had, rate = service.leased(spark, n, lambda: start)  # noqa: B023
+        assert at == start and had == pytest.approx(4.0 if batch_ == 0 else -16.0 + 3.0)
+        dues = [at + max(0.0, (slot - had) / rate) for slot in range(1, n + 1)]
+        for task in range(2):
+            clock = [at + (late if task and batch_ else 0.0)]
+            pace = web.Pace(lambda: clock[0], lambda secs: clock.__setitem__(0, clock[0] + secs))  # noqa: B023
+            for due in dues[task::2]:
+                pace.until(due)
+                assert clock[0] >= due - 1e-9
+                times.append(clock[0])
+    assert len(times) == 30 and conforms(times, 1.0, 4 + 2)
+    assert web.Service("http://other", 60, 4, f"file:{tmp_path}/leases").leased(spark, 1, lambda: begun)[1] == 4.0
+
+
+def test_equal_requests_are_asked_once(spark, server):
+    at, asked, _ = server
+    asked.clear()
+    rows = spark.createDataFrame([(i, None, "Daft Punk", "Around the World") for i in range(3)] + [(i, 3, None, None) for i in range(3, 7)], "key long, track_id long, artist string, title string").repartition(4)
+    got = web.Service(at, per_minute=60_000, tasks=3).answers(rows, None)
+    assert {r.key for r in got.where("error IS NULL").collect()} == set(range(7)) and len(asked) == 2
+
+
 LINES = ['{"artist": "Daft Punk", "title": "Around the World"}', '{"artist": "nobody", "title": "zzzz"}', '{"track_id": 3}', '{"track_id": 8}', '{"track_id": 77}', '{"track_id": 9}', '{"track_id": 10}', '{"track_id": 11}', "{"]
 WANT = ["ok", "no_match", "ok", "no_preview", "not_found", "http", "http", "http", "invalid_input"]
 
