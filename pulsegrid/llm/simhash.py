@@ -7,16 +7,21 @@ texts' likeness is the share of bits on which they agree, 1 - angle / pi of thei
 vectors in expectation.
 
 ``search`` finds all fingerprints within a Hamming radius below 32 exactly: of 16 parts
-of 16 bits, one differs in at most one bit, so each query looks its parts, and these
-with each bit flipped, up in an index of each part.  Fingerprints are dealt over the
-tasks, and all queries pass every task.  Equal fingerprints count as one entry with a
-number; ``neighbours`` gives the rows themselves.
+of 16 bits, one differs in at most one bit.  There is a table for each part, permuted so
+that the part leads and names the block: a fingerprint stands in one block of each table,
+and a query asks the block of its part, and of the part with each bit flipped.  Blocks
+are dealt over the tasks by hash, so a fingerprint is sent 16 times and a query 272 times
+however many there are; blocks of many entries are dealt over several tasks.  A pair
+counts in the first table in which it meets.  Equal fingerprints count as one entry with
+a number; ``neighbours`` gives the rows themselves.  What is compared is a 65,536th of all
+entries in each block asked, so comparisons still grow with entries times queries; no
+wider part would keep all fingerprints within an eighth of the bits.
 
 ``chained`` puts each text beside the next by id without a global sort: ids are cut into
 ranges, a text goes to its range, and the first of each range to the one before as well.
 
 Defined results: a null text counts as empty; a text without words has the fingerprint 0;
-a null id comes before all others; rows with equal ids are ordered by a hash of their
+a null id comes before all others, as does the smallest long, which comes back as null; rows with equal ids are ordered by a hash of their
 texts; after the last comes the first, so a single row follows itself; columns other
 than id and text are not read.
 """
@@ -41,8 +46,8 @@ WORDS = BITS // 64
 RADIUS = 31
 #: Of 16 bits each; up to a radius of 31, one of them differs in at most one bit.
 PARTS = BITS // 16
-#: Fingerprints that a task holds, about; tasks at least.
-DEALT, LEAST_DEALT = 1 << 17, 16
+#: Entries of a block that go to one task, about: 32 MB.  Fingerprints placed at once.
+BLOCK_ENTRIES, PLACED = 1 << 20, 256
 #: Pairs compared at once; a task's memory for them is some 20 MB.
 COMPARED = 1 << 17
 _SEEDS = np.arange(1, WORDS + 1, dtype=np.uint64) * np.full(WORDS, 0x9E3779B97F4A7C15, np.uint64)
@@ -184,69 +189,76 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return got.select(F.when(F.col("key") != -(1 << 63), F.col("key")).alias("id"), *got.columns[1:])
 
 
+def tables(raw: np.ndarray, flips: np.ndarray) -> np.ndarray:
+    """The blocks (rows x PARTS x flips) that fingerprints stand in: of the table of each part, permuted so that the part leads, those that the part with each of ``flips`` names."""
+    parts = raw.view(np.uint16).reshape(-1, PARTS)
+    return (np.arange(PARTS, dtype=np.int64)[:, None] << 16) | (parts[:, :, None] ^ flips)
+
+
 def met(prints: DataFrame, queries: DataFrame, radius: int, each: bool) -> DataFrame:
     """(query, n): rows of ``prints`` (fingerprint) within ``radius`` of each distinct fingerprint of ``queries``, in parts that add up; if ``each``, (query, found) instead."""
     if not 0 <= radius < 2 * PARTS:
         raise ValueError("radius is to be below %d" % (2 * PARTS))
-    entries = scratch.written(prints.groupBy("fingerprint").agg(F.count("*").alias("n")), "classes")
-    dealt = max(LEAST_DEALT, entries.count() // DEALT)
+    spark = prints.sparkSession
+    entries = scratch.written(prints.groupBy(F.unhex("fingerprint").alias("raw")).agg(F.count("*").alias("n")), "classes")
     flips = np.array([0, *(1 << i for i in range(16 if radius >= PARTS else 0))], np.uint16)
-
-    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                yield pa.RecordBatch.from_arrays([pa.array([b"".join(batch.column("raw")[lo : lo + 4096].to_pylist())], pa.binary())], ["raw"])
-
-    def compare(own: np.ndarray, n: np.ndarray, index: list, asked: np.ndarray) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(asked), np.int64)
-        halves, parts = own.view(np.uint16).reshape(-1, PARTS), asked.view(np.uint16).reshape(-1, PARTS)
-        for k, (order, start) in enumerate(index):
-            value = (parts[:, k, None] ^ flips).ravel()
-            row = np.repeat(np.arange(len(asked)), len(flips))
-            low, size = start[value], start[value.astype(np.int64) + 1] - start[value]
-            ends = np.cumsum(size)
-            a = 0
-            while a < len(row):
-                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + COMPARED, side="right")))
-                count = size[a:b]
-                q = np.repeat(row[a:b], count)
-                e = order[np.repeat(low[a:b] - (np.cumsum(count) - count), count) + np.arange(len(q))]
-                a = b
-                close = np.bitwise_count(asked[q] ^ own[e]).sum(1, dtype=np.int64) <= radius
-                q, e = q[close], e[close]
-                first = (np.bitwise_count(parts[q] ^ halves[e]) < (2 if len(flips) > 1 else 1)).argmax(1) == k
-                q, e = q[first], e[first]
-                if each and len(q):
-                    yield pa.RecordBatch.from_arrays([pa.array([asked[i].tobytes() for i in q], pa.binary()), pa.array([own[i].tobytes() for i in e], pa.binary())], ["query", "found"])
-                np.add.at(total, q, n[e])
-        if not each:
-            hit = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([asked[i].tobytes() for i in hit], pa.binary()), pa.array(total[hit])], ["query", "n"])
+    most = 2 if len(flips) > 1 else 1
+
+    def placed(flips: np.ndarray):
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, PLACED):
+                    part = batch.slice(lo, PLACED)
+                    raw = np.frombuffer(b"".join(part.column("raw").to_pylist()), np.uint64).reshape(-1, WORDS)
+                    blocks = tables(raw, flips)
+                    owner = pa.array(np.repeat(np.arange(len(raw)), blocks[0].size))
+                    yield pa.RecordBatch.from_arrays([pa.array(blocks.ravel()), part.column("n").take(owner), part.column("raw").take(owner)], ["block", "n", "raw"])
+
+        return place
+
+    # a block of many entries is dealt over several tasks, and what asks it to each of them
+    own = entries.select("n", "raw").mapInArrow(placed(flips[:1]), "block long, n long, raw binary")
+    hot = own.groupBy("block").count().where(F.col("count") > BLOCK_ENTRIES).select("block", F.ceil(F.col("count") / BLOCK_ENTRIES).cast("int").alias("over"))
+    hot = F.broadcast(scratch.written(hot, "hot"))  # at most PARTS << 16 rows, whatever the input
+    over = F.coalesce("over", F.lit(1))
+    own = own.join(hot, "block", "left").select("block", F.pmod(F.xxhash64("raw"), over).cast("int").alias("slice"), "n", "raw")
+    asked = queries.select(F.unhex("fingerprint").alias("raw")).distinct().select(F.lit(0).cast("long").alias("n"), "raw").mapInArrow(placed(flips), "block long, n long, raw binary")
+    asked = asked.join(hot, "block", "left").select("block", F.explode(F.sequence(F.lit(0), over - 1)).alias("slice"), "n", "raw")
+
+    def compared(block: np.ndarray, n: np.ndarray, raw: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query row, entry row) of pairs within the radius, each in the first table in which it meets; rows are sorted by block."""
+        has, asks = np.flatnonzero(n > 0), np.flatnonzero(n == 0)
+        low, high = np.searchsorted(block[has], block[asks]), np.searchsorted(block[has], block[asks], side="right")
+        ends = np.cumsum(high - low)
+        halves = raw.view(np.uint16).reshape(-1, PARTS)
+        done, total = 0, int(ends[-1]) if len(ends) else 0
+        while done < total:
+            pair = np.arange(done, min(total, done + COMPARED))
+            done += len(pair)
+            q = np.searchsorted(ends, pair, side="right")
+            e, q = has[pair - (ends[q] - high[q])], asks[q]
+            close = np.bitwise_count(raw[q] ^ raw[e]).sum(1, dtype=np.int64) <= radius
+            q, e = q[close], e[close]
+            first = (np.bitwise_count(halves[q] ^ halves[e]) < most).argmax(1) == block[q] >> 36
+            yield q[first], e[first]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, held, counts, index = None, [], [], None
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WORDS), np.uint64))
         for batch in batches:
-            for part, n, raw in zip(batch.column("part").to_pylist(), batch.column("n").to_pylist(), batch.column("raw")):
-                if part != here:
-                    here, held, counts, index = part, [], [], None
-                if n:
-                    held.append(raw.as_py())
-                    counts.append(n)
-                    continue
-                if not held:
-                    continue
-                if index is None:
-                    own, number = np.frombuffer(b"".join(held), np.uint64).reshape(-1, WORDS), np.array(counts)
-                    index = []
-                    for column in own.view(np.uint16).reshape(-1, PARTS).T:
-                        order = np.argsort(column, kind="stable")
-                        index.append((order, np.searchsorted(column[order], np.arange((1 << 16) + 1))))
-                yield from compare(own, number, index, np.frombuffer(raw.as_buffer(), np.uint64).reshape(-1, WORDS))
-
-    asked = queries.select(F.unhex("fingerprint").alias("raw")).distinct().mapInArrow(bundle, "raw binary")
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(dealt - 1))).alias("part"), F.lit(0).cast("long").alias("n"), "raw")
-    own = entries.select(F.pmod(F.hash("fingerprint"), F.lit(dealt)).alias("part"), "n", F.unhex("fingerprint").alias("raw"))
-    rows = own.union(asked).repartition("part").sortWithinPartitions("part", F.col("n").desc())
+            block = (batch.column("block").to_numpy() << 20) | batch.column("slice").to_numpy()
+            raw = np.frombuffer(b"".join(batch.column("raw").to_pylist()), np.uint64).reshape(-1, WORDS)
+            block, n, raw = (np.concatenate(x) for x in zip(held, (block, batch.column("n").to_numpy(), raw)))
+            for q, e in compared(block, n, raw):
+                if each and len(q):
+                    yield pa.RecordBatch.from_arrays([pa.array([raw[i].tobytes() for i in q], pa.binary()), pa.array([raw[i].tobytes() for i in e], pa.binary())], ["query", "found"])
+                elif len(q):
+                    who, at = np.unique(q, return_inverse=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([raw[i].tobytes() for i in who], pa.binary()), pa.array(np.bincount(at, n[e]).astype(np.int64))], ["query", "n"])
+            if len(block):
+                keep = (block == block[-1]) & (n > 0)
+                held = (block[keep], n[keep], raw[keep])
+
+    rows = own.unionByName(asked).repartition("block", "slice").sortWithinPartitions("block", "slice", F.col("n").desc())
     name = lambda c: F.lower(F.hex(c)).alias(c)
     if each:
         return rows.mapInArrow(meet, "query binary, found binary").select(name("query"), name("found"))

@@ -108,3 +108,27 @@ def test_ranges_keep_the_order():
     for cuts in ([], [3], [3, 3, 3, 9, 12, 12], [0, 0, 19, 19, 19]):
         bucket = simhash.Ranges(cuts).bucket(key[order], tie[order])
         assert (np.diff(bucket) >= 0).all()
+
+
+def test_blocks_of_many_entries_are_dealt_over_tasks(spark, monkeypatch):
+    """One part that half of all entries share makes a hot block, which is cut, without losing or repeating a pair."""
+    rng = np.random.default_rng(12)
+    bits = rng.integers(0, 2, (300, simhash.BITS)).astype(np.uint8)
+    bits[:150] = bits[0]
+    for row in bits[:150]:
+        row[rng.choice(np.arange(16, simhash.BITS), rng.integers(0, 45), replace=False)] ^= 1
+    prints = [np.packbits(b).tobytes().hex() for b in bits]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(prints)] + [(1000, prints[3])], "doc_id long, fingerprint string")
+    monkeypatch.setattr(simhash, "BLOCK_ENTRIES", 20)
+    monkeypatch.setattr(simhash, "COMPARED", 64)
+    everything = np.vstack([bits, bits[3]])
+    near = (bits[:, None, :] ^ everything).sum(2) <= simhash.RADIUS
+    assert {r.query: r.n_near for r in simhash.search(df, df).collect()} == {p: int(near[i].sum()) for i, p in enumerate(prints)}
+    pairs = sorted((r.query, r.doc_id) for r in simhash.neighbours(df, df.where("doc_id % 7 = 0")).collect())
+    assert pairs == sorted((prints[i], j if j < 300 else 1000) for i in range(0, 300, 7) for j in np.flatnonzero(near[i]).tolist())
+
+
+def test_very_long_text(spark):
+    long = "word " * 400_000
+    got = {r.id: r for r in simhash.fingerprint(spark.createDataFrame([(1, long), (2, None)], "doc_id long, text string")).collect()}
+    assert got[1].n_chars == 2_000_000 and got[1].edited_sha256 == hashlib.sha256(long[:1_000_000].encode()).hexdigest() and got[2].edited_sha256 == hashlib.sha256(b"").hexdigest()
