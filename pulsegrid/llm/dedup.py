@@ -151,7 +151,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     texts = docs.select(F.col(id_col).alias("_own"), F.col(text_col).alias("_text")).join(ids, F.col("_own").eqNullSafe(F.col("_id")), "left_semi").select(bare.alias("bare"))
     same = texts.groupBy(F.unhex(F.sha2(F.col("bare"), 256)).alias("sha"), "bare").agg(F.count("*").alias("n"))
     proven = same.groupBy("sha").agg(F.count("*").alias("variants"))
-    best = F.max(F.struct("n_cp", F.col("id").isNotNull().alias("has"), (-F.col("id")).alias("neg"), (-F.col("pid")).alias("p"), (-F.col("seat")).alias("s")))
+    best = F.min(F.struct((-F.col("n_cp")).alias("shorter"), F.col("id").isNull().alias("nameless"), "id", "pid", "seat"))
     copies = doubted.groupBy("sha").agg(F.count("*").alias("size"), best.alias("best")).where("size > 1")
     copies = copies.join(proven, "sha").where(F.assert_true(F.col("variants") == 1, F.lit("two texts with one SHA-256")).isNull())
     copies = scratch.written(copies.select("sha", "size", "best"), "copies")  # read again, so that a hot sha's rows can be split
@@ -159,9 +159,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     alone = F.col("size").isNull()
     return found.select(
         F.col("id"),
-        F.when(alone, F.col("id")).otherwise(-F.col("best.neg")).alias("keep_id"),
+        F.when(alone, F.col("id")).otherwise(F.col("best.id")).alias("keep_id"),
         F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
-        (alone | ((F.col("pid") == -F.col("best.p")) & (F.col("seat") == -F.col("best.s")))).alias("kept"),
+        (alone | ((F.col("pid") == F.col("best.pid")) & (F.col("seat") == F.col("best.seat")))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
         "mark",
     )

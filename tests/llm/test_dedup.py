@@ -32,3 +32,13 @@ def test_groups(spark):
     assert sorted(((r.id, r.keep_id, r.group_size) for r in got), key=str) == want
     assert sum(r.kept for r in got) == groups
     assert dedup.groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_ids_at_the_ends_of_their_range_and_long_texts(spark):
+    low, high = -(1 << 63), (1 << 63) - 1
+    rows = [(low, "same"), (high, "s ame"), (0, "sa me"), (low + 1, "x" * 3_000_000), (5, "x" * 3_000_000 + " ")]
+    got = {r.id: (r.keep_id, r.group_size, r.kept) for r in dedup.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    # of the two with five code points the smaller id stays
+    assert got == {low: (0, 3, False), high: (0, 3, False), 0: (0, 3, True), low + 1: (5, 2, False), 5: (5, 2, True)}
+    tied = dedup.groups(spark.createDataFrame([(low, "a b"), (high, "ab ")], "doc_id long, text string")).collect()
+    assert {r.keep_id for r in tied} == {low}
