@@ -53,7 +53,7 @@ def bucketed(df: DataFrame, what: str, key: str, buckets: int) -> DataFrame:
     path = f"{folder(spark)}/{name}"
     df.write.option("compression", "zstd").option("path", path).format("parquet").bucketBy(buckets, key).saveAsTable(name)
     table = spark.table(name)
-    table._scratch = path
+    table._scratch, table._named = path, name
     return table
 
 
@@ -61,6 +61,8 @@ def drop(*tables: DataFrame) -> None:
     """Deletes written tables.  Only for such as nothing but written tables was made from: a lost task may read its inputs again."""
     for table in tables:
         spark = table.sparkSession
+        if getattr(table, "_named", None):
+            spark.sql(f"DROP TABLE IF EXISTS {table._named}")  # its entry in the catalog; the files are not the catalog's
         path = spark._jvm.org.apache.hadoop.fs.Path(table._scratch)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
