@@ -102,16 +102,19 @@ def analyze_audio():
 
 
 def analyze_files(get: Callable[[str], tuple[bytes | None, str | None]]):
-    """The pandas UDF (path, length, profile, explain) -> audio, features, error, why: ``get`` reads a file, or says why not; null paths give nulls."""
+    """The pandas UDF (path, length, profile, explain) -> audio, features, error, why: ``get`` reads a file, or says why not, once for a run of equal paths; null paths give nulls."""
 
     def _files(path: pd.Series, length: pd.Series, profile: pd.Series, explain: pd.Series) -> pd.DataFrame:
-        rows = []
+        rows, last = [], (None, None)
         for where, size, *how in zip(path, length, profile, explain):
             row = {"audio": None, "features": None, "error": None, "why": None}
-            if where is not None:
+            if where is not None and last[0] == where:
+                row = last[1]
+            elif where is not None:
                 body, row["why"] = get(where) if not size > k.MAX_AUDIO_BYTES else (None, f"too large: {int(size)} bytes (limit {k.MAX_AUDIO_BYTES})")
                 if body is not None:
                     row |= examined(body, *how)
+                last = (where, row)
             rows.append(row)
         return pd.DataFrame(rows, columns=["audio", "features", "error", "why"])
 

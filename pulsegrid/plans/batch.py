@@ -119,8 +119,8 @@ def fetch(url: str) -> tuple[bytes | None, str | None]:
     return web.get(url, k.MAX_AUDIO_BYTES, audio=True)
 
 
-def run(request_lines: DataFrame, catalog: DataFrame | web.Service, files: Files, results: DataFrame | None = None, options: Options = Options(), resolutions: DataFrame | None = None) -> DataFrame:
-    """(line_no, analysis) of (line_no, line); ``results`` and ``resolutions`` are the caches' tables."""
+def prepared(request_lines: DataFrame, catalog: DataFrame | web.Service, results: DataFrame | None, options: Options, resolutions: DataFrame | None, twice: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parsed lines, (line_no, track, error) of the well-formed ones, and (track_id, preview_url, hit) of their tracks."""
     parsed = lines.parsed(request_lines)
     valid = parsed.where("error IS NULL").select("line_no", "query")
     if resolutions is None:
@@ -131,22 +131,51 @@ def run(request_lines: DataFrame, catalog: DataFrame | web.Service, files: Files
         met = scratch.written(keyed.join(kept, F.col("query_key") == F.col("_key"), "left").drop("_key"), "resolutions")
         fresh = resolved(met.where("track IS NULL").select("line_no", "query"), catalog, options)
         found = met.where("track IS NOT NULL").select("line_no", "track", F.lit(None).cast("string").alias("error")).unionByName(fresh)
-    if not isinstance(catalog, DataFrame) or files is None:
+    if twice:
         found = scratch.written(found, "found")
     tracks = found.where("track IS NOT NULL").select(F.col("track.track_id").alias("track_id"), F.col("track.preview_url").alias("preview_url")).dropDuplicates(["track_id"])
-    payload = f"audio {AUDIO}, features {FEATURES}"
     if results is not None:
-        known = cache.hits(tracks, results, options.key(), payload)
+        known = cache.hits(tracks, results, options.key(), f"audio {AUDIO}, features {FEATURES}")
     else:
         known = tracks.withColumn("hit", F.lit(None).cast(f"struct<audio: {AUDIO}, features: {FEATURES}>"))
+    return parsed, found, known
+
+
+def told(rows: DataFrame, kind: Column) -> DataFrame:
+    """(line_no, analysis) of rows (line_no, query, error, track, audio, features, cached, why) and what kind of failure they have, if any."""
+    error = F.coalesce(F.col("error"), F.when(kind.isNotNull(), F.struct(kind.alias("kind"), F.coalesce("why", kind).alias("message"))).cast(ERROR))
+    features = F.coalesce("features", F.struct(F.lit(None).cast(TEMPO).alias("tempo"), F.lit(None).cast(KEY).alias("key")))
+    return rows.select("line_no", analysis(F.col("query"), F.col("track"), features, F.col("audio"), F.col("cached"), error).alias("analysis"))
+
+
+def run(request_lines: DataFrame, catalog: DataFrame | web.Service, files: Files, results: DataFrame | None = None, options: Options = Options(), resolutions: DataFrame | None = None) -> DataFrame:
+    """(line_no, analysis) of (line_no, line); ``results`` and ``resolutions`` are the caches' tables."""
+    parsed, found, known = prepared(request_lines, catalog, results, options, resolutions, not isinstance(catalog, DataFrame) or files is None)
     fresh = analyzed(known.where("hit IS NULL").select("track_id", "preview_url"), files, options)
     have = known.where("hit IS NOT NULL").select("track_id", F.col("hit.audio").alias("audio"), F.col("hit.features").alias("features"), F.lit(None).cast("string").alias("failed"), F.lit(None).cast("string").alias("why"), F.lit(True).alias("cached"))
     all_ = fresh.withColumn("cached", F.lit(False)).unionByName(have)
     rows = parsed.join(found.withColumnRenamed("error", "unresolved"), "line_no", "left").join(all_, F.col("track.track_id") == F.col("track_id"), "left")
-    kind = F.coalesce("unresolved", "failed")
-    error = F.coalesce(F.col("error"), F.when(kind.isNotNull(), F.struct(kind.alias("kind"), F.coalesce("why", kind).alias("message"))).cast(ERROR))
-    features = F.coalesce("features", F.struct(F.lit(None).cast(TEMPO).alias("tempo"), F.lit(None).cast(KEY).alias("key")))
-    return rows.select("line_no", analysis(F.col("query"), F.col("track"), features, F.col("audio"), F.col("cached"), error).alias("analysis"))
+    return told(rows, F.coalesce("unresolved", "failed"))
+
+
+def run_late(request_lines: DataFrame, catalog: DataFrame | web.Service, files: clips.Folder | None, tasks: int, results: DataFrame | None = None, options: Options = Options(), resolutions: DataFrame | None = None) -> DataFrame:
+    """``run`` with the analysis last, in ``tasks`` tasks: a task's results are whole when it ends, whatever the others do.
+
+    The lines of one track share a task, which analyses it once.
+    """
+    parsed, found, known = prepared(request_lines, catalog, results, options, resolutions, True)
+    rows = parsed.join(found.withColumnRenamed("error", "unresolved"), "line_no", "left").join(known.select("track_id", "hit"), F.col("track.track_id") == F.col("track_id"), "left")
+    rows = rows.withColumn("url", F.when(F.col("hit").isNull() & F.col("unresolved").isNull(), F.col("track.preview_url")))
+    if files is None:
+        named, there = rows.withColumn("length", F.lit(None).cast("long")), F.col("url").isNotNull()
+    else:
+        named, there = rows.join(files.names(rows.sparkSession).withColumnRenamed("path", "_path"), F.col("url") == F.col("_path"), "left"), F.col("length").isNotNull()
+    dealt = named.repartition(tasks, F.coalesce(F.col("track_id"), F.xxhash64("line_no"))).sortWithinPartitions("url")
+    got = analyze_files(fetch if files is None else files.get)(F.when(there, F.col("url")), F.col("length").cast("double"), F.lit(options.key_profile), F.lit(options.explain_key_scoring))
+    done = dealt.withColumn("there", there).withColumn("got", got)
+    failed = F.when(F.col("url").isNotNull() & (~F.col("there") | F.col("got.why").isNotNull()), "http").otherwise(F.col("got.error"))
+    done = done.withColumns({"audio": F.coalesce("hit.audio", "got.audio"), "features": F.coalesce("hit.features", "got.features"), "cached": F.col("hit").isNotNull(), "why": F.when(F.col("url").isNotNull() & ~F.col("there"), "no such preview").otherwise(F.col("got.why"))})
+    return told(done, F.coalesce("unresolved", failed))
 
 
 def refused(request_lines: DataFrame, kind: str, message: str) -> DataFrame:

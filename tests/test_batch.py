@@ -86,6 +86,16 @@ def test_only_asked_files_are_opened_and_no_bytes_are_shuffled(spark, world, fol
     assert sorted(log.read_text().split()) == sorted(f"file:{folder}/{n}" for n in ("a.wav", "a.wav", "b.wav", "bad.wav"))
 
 
+def test_analysis_last_gives_the_same(spark, world):
+    lines_ = numbered(spark)
+    read = lambda done: sorted((r.line_no, r.value) for r in lines.rendered(done).collect())
+    first = batch.run(lines_, *world)
+    late = read(batch.run_late(lines_, *world, tasks=5))
+    assert late == read(first)
+    stored = batch.storable(first).cache()
+    assert sorted(read(batch.run(lines_, *world, results=stored))) == sorted(read(batch.run_late(lines_, *world, 3, results=stored)))
+
+
 def test_table_of_bytes(spark, world, folder):
     assert told(batch.run(numbered(spark), world[0], audio.read(spark, str(folder)))) == WANT
 
