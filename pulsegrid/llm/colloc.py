@@ -94,19 +94,37 @@ def summed(batches: Iterator[pa.RecordBatch], sql: str) -> Iterator[pa.RecordBat
             yield from db.sql(sql).to_arrow_reader(1 << 16)
 
 
-def pack(rows: list[pa.RecordBatch]) -> bytes:
-    sink = pa.BufferOutputStream()
+#: A block of counts: n-grams in a row, by language; one without n-gram is an empty line.
+BLOCK = "bucket int, langs array<string>, many array<long>, size long, grams binary, n binary"
+_BLOCK = pa.schema([("bucket", pa.int32()), ("langs", pa.list_(pa.string())), ("many", pa.list_(pa.int64())), ("size", pa.int64()), ("grams", pa.binary()), ("n", pa.binary())])
+_ZSTD = pa.Codec("zstd", 3)
+
+
+def pack(bucket: int, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """One block of counts that are sorted by language and n-gram; no n-gram has a line end."""
     table = pa.Table.from_batches(rows).cast(GRAMS).combine_chunks()
-    with pa.ipc.new_stream(sink, GRAMS, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
-        out.write_table(table)
-    return sink.getvalue().to_pybytes()
+    lang, gram = (table.column(c).combine_chunks() for c in ("lang", "gram"))
+    codes = lang.dictionary_encode()
+    cuts = np.flatnonzero(np.diff(codes.indices.to_numpy(), prepend=-1))
+    text = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(gram)], pa.int64()), pc.fill_null(gram, "")), "\n")[0].as_buffer()
+    held = [bucket], [lang.take(pa.array(cuts)).to_pylist()], [np.diff(cuts, append=len(lang)).tolist()], [text.size], [_ZSTD.compress(text).to_pybytes()], [_ZSTD.compress(table.column("n").to_numpy().tobytes()).to_pybytes()]
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(held, _BLOCK)], schema=_BLOCK)
+
+
+def unpack(row: dict) -> pa.RecordBatch:
+    """The counts that ``pack`` was given."""
+    rows = sum(row["many"])
+    gram = pc.split_pattern(pa.array([_ZSTD.decompress(row["grams"], row["size"]).to_pybytes()], pa.binary()).cast(pa.string()), "\n").flatten()
+    n = np.frombuffer(_ZSTD.decompress(row["n"], 8 * rows), np.int64)
+    lang = pa.array(row["langs"], pa.string()).take(pa.array(np.repeat(np.arange(len(row["many"])), row["many"])))
+    return pa.RecordBatch.from_arrays([lang, pc.if_else(pc.equal(gram, ""), pa.scalar(None, pa.string()), gram), pa.array(n)], schema=GRAMS)
 
 
 def counted(distinct: DataFrame, longest: int, least: int) -> DataFrame:
     """(lang, gram, words, n) of the n-grams that stand at least ``least`` times, and (lang, null, 0, n) with a language's words in all."""
     tasks = SPREAD * int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(tasks, LEAST_BUCKETS)
-    by_bucket = f"SELECT (hash(lang, gram) % {buckets})::INTEGER AS bucket, * FROM (SELECT lang, gram, sum(n)::BIGINT AS n FROM grams GROUP BY lang, gram) ORDER BY bucket, gram"
+    by_bucket = f"SELECT (hash(lang, gram) % {buckets})::INTEGER AS bucket, * FROM (SELECT lang, gram, sum(n)::BIGINT AS n FROM grams GROUP BY lang, gram) ORDER BY bucket, lang, gram"
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
         run, size = [], 0
@@ -128,9 +146,6 @@ def counted(distinct: DataFrame, longest: int, least: int) -> DataFrame:
         held: list[pa.RecordBatch] = []
         here = None
 
-        def block() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([here], pa.int32()), pa.array([pack(held)], pa.binary())], ["bucket", "block"])
-
         for rows in summed(iter(run), by_bucket):
             bucket = rows.column("bucket").to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
@@ -138,24 +153,24 @@ def counted(distinct: DataFrame, longest: int, least: int) -> DataFrame:
                 if lo == hi:
                     continue
                 if held and bucket[lo] != here:
-                    yield block()
+                    yield pack(here, held)
                     held = []
                 here = int(bucket[lo])
                 held.append(rows.slice(lo, hi - lo).select(GRAMS.names))
         if held:
-            yield block()
+            yield pack(here, held)
 
     totals = f"SELECT lang, gram, coalesce(1 + length(gram) - length(replace(gram, ' ', '')), 0)::INTEGER AS words, sum(n)::BIGINT AS n FROM grams GROUP BY lang, gram HAVING sum(n) >= {least} OR gram IS NULL"
 
     def totalled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wide = pa.schema([*list(GRAMS)[:2], ("words", pa.int32()), GRAMS.field("n")])
-        rows = ((bucket, block.as_buffer()) for b in batches for bucket, block in zip(b.column("bucket").to_pylist(), b.column("block")))
-        for _, own in itertools.groupby(rows, key=lambda row: row[0]):
-            for got in summed((part for _, block in own for part in pa.ipc.open_stream(block)), totals):
+        rows = (row for b in batches for i in range(b.num_rows) for row in b.slice(i, 1).to_pylist())
+        for _, own in itertools.groupby(rows, key=lambda row: row["bucket"]):
+            for got in summed(map(unpack, own), totals):
                 if got.num_rows:
                     yield pa.Table.from_batches([got]).cast(wide).combine_chunks().to_batches()[0]
 
-    blocks = distinct.mapInArrow(sums, "bucket int, block binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    blocks = distinct.mapInArrow(sums, BLOCK).repartition(tasks, "bucket").sortWithinPartitions("bucket")
     return blocks.mapInArrow(totalled, COUNTS)
 
 

@@ -74,3 +74,9 @@ def test_sums_go_out_of_core(monkeypatch):
     batches = [pa.RecordBatch.from_arrays([pa.array(["en"] * 50_000), pa.array([f"a rather long phrase, number {i}" for i in range(lo, lo + 50_000)]), pa.array([1] * 50_000, pa.int64())], schema=colloc.GRAMS) for lo in (*range(0, 500_000, 50_000), 0)]
     got = list(colloc.summed(iter(batches), "SELECT n, count(*) AS rows FROM (SELECT gram, sum(n)::BIGINT AS n FROM grams GROUP BY gram) GROUP BY n ORDER BY n"))
     assert [tuple(r.values()) for b in got for r in b.to_pylist()] == [(1, 450_000), (2, 50_000)]
+
+
+def test_blocks_hold_what_they_were_given():
+    rows = pa.table({"lang": ["a\nb", "a\nb", "c", "c"], "gram": [None, "é x", "q", "r s t"], "n": [3, 1, 2**40, 7]}, schema=colloc.GRAMS).to_batches()
+    block = colloc.pack(9, [rows[0].slice(0, 1), rows[0].slice(1)])
+    assert block.column("bucket").to_pylist() == [9] and colloc.unpack(block.to_pylist()[0]).equals(rows[0])
