@@ -8,6 +8,7 @@ result with an error.  The catalog is a table or a search service (``web.Service
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -119,7 +120,11 @@ def fetch(url: str) -> tuple[bytes | None, str | None]:
     return web.get(url, k.MAX_AUDIO_BYTES, audio=True)
 
 
-def prepared(request_lines: DataFrame, catalog: DataFrame | web.Service, results: DataFrame | None, options: Options, resolutions: DataFrame | None, twice: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+#: A cache's table, or a function that gives, for a table of keys, at least its rows of these.
+Kept = DataFrame | Callable[[DataFrame], DataFrame] | None
+
+
+def prepared(request_lines: DataFrame, catalog: DataFrame | web.Service, results: Kept, options: Options, resolutions: Kept, twice: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Parsed lines, (line_no, track, error) of the well-formed ones, and (track_id, preview_url, hit) of their tracks."""
     parsed = lines.parsed(request_lines)
     valid = parsed.where("error IS NULL").select("line_no", "query")
@@ -127,6 +132,9 @@ def prepared(request_lines: DataFrame, catalog: DataFrame | web.Service, results
         found = resolved(valid, catalog, options)
     else:
         keyed = valid.withColumn("query_key", resolution_key(F.col("query"), options))
+        if not isinstance(resolutions, DataFrame):
+            keyed = scratch.written(keyed, "keyed")
+            resolutions = resolutions(keyed)
         kept = cache.resolutions(resolutions, TRACK).withColumnRenamed("query_key", "_key")
         met = scratch.written(keyed.join(kept, F.col("query_key") == F.col("_key"), "left").drop("_key"), "resolutions")
         fresh = resolved(met.where("track IS NULL").select("line_no", "query"), catalog, options)
@@ -135,7 +143,7 @@ def prepared(request_lines: DataFrame, catalog: DataFrame | web.Service, results
         found = scratch.written(found, "found")
     tracks = found.where("track IS NOT NULL").select(F.col("track.track_id").alias("track_id"), F.col("track.preview_url").alias("preview_url")).dropDuplicates(["track_id"])
     if results is not None:
-        known = cache.hits(tracks, results, options.key(), f"audio {AUDIO}, features {FEATURES}")
+        known = cache.hits(tracks, results if isinstance(results, DataFrame) else results(tracks), options.key(), f"audio {AUDIO}, features {FEATURES}")
     else:
         known = tracks.withColumn("hit", F.lit(None).cast(f"struct<audio: {AUDIO}, features: {FEATURES}>"))
     return parsed, found, known
@@ -148,9 +156,9 @@ def told(rows: DataFrame, kind: Column) -> DataFrame:
     return rows.select("line_no", analysis(F.col("query"), F.col("track"), features, F.col("audio"), F.col("cached"), error).alias("analysis"))
 
 
-def run(request_lines: DataFrame, catalog: DataFrame | web.Service, files: Files, results: DataFrame | None = None, options: Options = Options(), resolutions: DataFrame | None = None) -> DataFrame:
+def run(request_lines: DataFrame, catalog: DataFrame | web.Service, files: Files, results: Kept = None, options: Options = Options(), resolutions: Kept = None) -> DataFrame:
     """(line_no, analysis) of (line_no, line); ``results`` and ``resolutions`` are the caches' tables."""
-    parsed, found, known = prepared(request_lines, catalog, results, options, resolutions, not isinstance(catalog, DataFrame) or files is None)
+    parsed, found, known = prepared(request_lines, catalog, results, options, resolutions, not isinstance(catalog, DataFrame) or files is None or callable(results))
     fresh = analyzed(known.where("hit IS NULL").select("track_id", "preview_url"), files, options)
     have = known.where("hit IS NOT NULL").select("track_id", F.col("hit.audio").alias("audio"), F.col("hit.features").alias("features"), F.lit(None).cast("string").alias("failed"), F.lit(None).cast("string").alias("why"), F.lit(True).alias("cached"))
     all_ = fresh.withColumn("cached", F.lit(False)).unionByName(have)
@@ -158,7 +166,7 @@ def run(request_lines: DataFrame, catalog: DataFrame | web.Service, files: Files
     return told(rows, F.coalesce("unresolved", "failed"))
 
 
-def run_late(request_lines: DataFrame, catalog: DataFrame | web.Service, files: clips.Folder | None, tasks: int, results: DataFrame | None = None, options: Options = Options(), resolutions: DataFrame | None = None) -> DataFrame:
+def run_late(request_lines: DataFrame, catalog: DataFrame | web.Service, files: clips.Folder | None, tasks: int, results: Kept = None, options: Options = Options(), resolutions: Kept = None) -> DataFrame:
     """``run`` with the analysis last, in ``tasks`` tasks: a task's results are whole when it ends, whatever the others do.
 
     The lines of one track share a task, which analyses it once.
@@ -215,14 +223,19 @@ class Cache:
         if self.path is None:
             return run(request_lines, catalog, files, options=options)
         try:
-            results, resolutions = (cache.opened(spark, f"{self.path}/{name}", schema) for name, schema in (("results", cache.RESULTS), ("resolutions", cache.RESOLUTIONS)))
+            for name in ("results", "resolutions"):
+                cache.runs(spark, f"{self.path}/{name}")
         except Exception as error:  # noqa: BLE001  a batch never fails as a whole
             log.warning("could not open the cache at %s: %s", self.path, error)
             return refused(request_lines, "cache", f"opening {self.path}: {type(error).__name__}")
+        results = lambda keys: cache.opened(spark, f"{self.path}/results", cache.RESULTS, keys)
+        resolutions = lambda keys: cache.opened(spark, f"{self.path}/resolutions", cache.RESOLUTIONS, keys)
         done = scratch.written(run(request_lines, catalog, files, results, options, resolutions), "answers")
-        for name, rows in (("results", storable(done, options)), ("resolutions", resolvable(done, resolutions, options))):
+        fresh = scratch.written(resolvable(done, None, options), "fresh")
+        kept = ("results", storable(done, options), cache.RESULT_KEYS), ("resolutions", resolvable(done, resolutions(fresh), options), ("query_key",))
+        for name, rows, keys in kept:
             try:
-                cache.put(rows, f"{self.path}/{name}")
+                cache.put(rows, f"{self.path}/{name}", *keys)
             except Exception as error:  # noqa: BLE001
                 log.warning("could not cache %s: %s", name, error)
         return done

@@ -1,5 +1,6 @@
 """Requests to results: ordered, failures as rows, one analysis a track, cache hits, streams."""
 
+import datetime
 import json
 import time
 
@@ -82,8 +83,9 @@ def test_only_asked_files_are_opened_and_no_bytes_are_shuffled(spark, world, fol
     plan = done._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan and "BinaryFileFormat" not in plan.replace("binaryFile", "")
     assert told(done) == WANT
-    # a track is opened once: two share a.wav, one file is broken
-    assert sorted(log.read_text().split()) == sorted(f"file:{folder}/{n}" for n in ("a.wav", "a.wav", "b.wav", "bad.wav"))
+    # a track is opened once: two share a.wav, whose tasks may be one; one file is broken
+    opened = log.read_text().split()
+    assert set(opened) == {f"file:{folder}/{n}" for n in ("a.wav", "b.wav", "bad.wav")} and opened.count(f"file:{folder}/a.wav") <= 2 and len(opened) <= 5
 
 
 def test_analysis_last_gives_the_same(spark, world):
@@ -148,7 +150,7 @@ def test_lines_of_several_files_are_numbered_in_order(spark, tmp_path):
 def test_cache_that_fails(spark, world, tmp_path, caplog, monkeypatch):
     kept = batch.Cache(str(tmp_path / "kept"))
 
-    def full(rows, path):
+    def full(rows, path, *keys):
         raise OSError("disk full")
 
     monkeypatch.setattr(cache, "put", full)
@@ -156,10 +158,35 @@ def test_cache_that_fails(spark, world, tmp_path, caplog, monkeypatch):
     assert "could not cache results: disk full" in caplog.text and "could not cache resolutions" in caplog.text
     broken = tmp_path / "broken" / "results"
     broken.mkdir(parents=True)
-    monkeypatch.setattr(cache, "opened", lambda *a: full(*a[:2]))
+    monkeypatch.setattr(cache, "runs", lambda *a: full(*a[:2]))
     assert told(batch.Cache(str(tmp_path / "broken")).answer(numbered(spark), *world)) == ["cache" if w != "invalid_input" else w for w in WANT]
 
 
+def test_lookups_read_a_bounded_part_of_a_cache(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cache, "RUNS", 4)
+    monkeypatch.setattr(cache, "BUCKETS", 8)
+    at = f"file:{tmp_path}/kept"
+    row = lambda key, n: (f"key{key}", f"value{n}", datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=n))
+    for n in range(21):  # every key again and again
+        cache.put(spark.createDataFrame([row((n + i) % 30, n) for i in range(10)], cache.RESOLUTIONS).coalesce(1), at, "query_key")
+    known = cache.runs(spark, at)
+    assert sorted((r.tier, r.buckets is None) for r in known) == [(0, True), (1, False), (2, False)]
+    assert len(cache.generations(spark, at)) == cache.KEPT
+    table = cache.opened(spark, at, cache.RESOLUTIONS)
+    want = {f"key{(n + i) % 30}": f"value{n}" for n in range(21) for i in range(10)}
+    assert {r.query_key: r.matched for r in cache.latest(table, "query_key").collect()} == want
+    asked = spark.createDataFrame([("key3",), ("none",)], "query_key string")
+    few = cache.opened(spark, at, cache.RESOLUTIONS, asked)
+    assert len(few.inputFiles()) <= 1 + 2 * 2 < len(table.inputFiles())
+    assert cache.latest(few, "query_key").where("query_key = 'key3'").first().matched == want["key3"]
+    # a merge that fails loses nothing
+    monkeypatch.setattr(cache, "publish", lambda *a: (_ for _ in ()).throw(OSError("gone")))
+    monkeypatch.setattr(cache, "RUNS", 1)
+    with pytest.raises(OSError):
+        cache.compact(spark, at, cache.RESOLUTIONS, "query_key")
+    assert {r.query_key: r.matched for r in cache.latest(cache.opened(spark, at, cache.RESOLUTIONS), "query_key").collect()} == want
+
+
 def test_stream(spark, world, tmp_path):
     inbox, outbox = tmp_path / "in", tmp_path / "out"
     inbox.mkdir()
