@@ -10,6 +10,7 @@ import json
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -87,7 +88,8 @@ def batch_ordered_results(spark, sf_dir):
     done = parsed.select("line_no", analysis(F.col("query"), none(TRACK), none(FEATURES), none(AUDIO), F.lit(False), F.col("error")).alias("analysis"))
     status = F.get_json_object("value", "$.status")
     # a global place without a global sort: places inside ranges, after counts of the ranges before
-    ranged = lines.rendered(done).select("line_no", status.alias("status")).repartitionByRange("line_no").withColumn("part", F.spark_partition_id()).persist()
+    ranged = lines.rendered(done).select("line_no", status.alias("status")).repartitionByRange("line_no").withColumn("part", F.spark_partition_id())
+    ranged = scratch.written(ranged, "ranged")
     before = ranged.groupBy("part").agg(F.count("*").alias("n")).withColumn("skip", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     place = F.row_number().over(Window.partitionBy("part").orderBy("line_no"))
     return ranged.withColumn("place", place).join(F.broadcast(before.drop("n")), "part").select((F.col("place") + F.col("skip")).cast("long").alias("place"), "line_no", "status")
@@ -457,13 +459,19 @@ def search_url(spark, sf_dir):
 
 @query
 def wav_decode_analyze(spark, sf_dir):
-    """All self-test signals at full length as WAV bytes, decoded and analysed: one row a signal."""
-    rows = [(i, float(bpm), name, bytearray(synth.wav(synth.selftest_case(i) * 0.5))) for i, (bpm, _, _, name, *_) in enumerate(synth.SELFTEST)]
-    clips = spark.createDataFrame(rows, "clip int, expected_bpm double, expected_key string, content binary").repartition(len(rows), "clip")
-    got = clips.select("clip", F.col("expected_bpm"), "expected_key", analyze_audio()("content", F.lit("bands"), F.lit(False)).alias("got"))
-    tempo, key_ = F.col("got.features.tempo"), F.col("got.features.key.key")
-    named = (F.col("expected_key") == "") | (key_ == F.col("expected_key"))
-    return got.select("clip", "expected_bpm", F.round(tempo["bpm"].cast("double"), 0).alias("bpm"), "expected_key", named.alias("key_right"), F.round("got.audio.duration_secs", 3).alias("duration_secs"))
+    """A label's vectors one after another as a clip of 8,000 samples a second: written as WAV bytes, decoded and measured."""
+    rows = table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("clip")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("held"))
+    clips = rows.select("clip", F.flatten(F.transform("held", lambda h: h["embedding"])).alias("xs")).repartition("clip")
+
+    @F.pandas_udf("binary")
+    def encoded(xs: pd.Series) -> pd.Series:
+        return pd.Series([synth.wav(np.asarray(x, float), 8000) for x in xs])
+
+    files = clips.select("clip", encoded("xs").alias("content"))
+    got = files.select("clip", sql.decode_audio()("content").alias("d"), analyze_audio()("content", F.lit("bands"), F.lit(False)).alias("a"))
+    pcm = got.select("clip", F.explode(F.transform("d.samples", lambda x: x.cast("double"))).alias("x"))
+    facts = got.select("clip", F.round("a.audio.duration_secs", 6).alias("duration_secs"), F.round("a.audio.silent_fraction", 6).alias("told_silent"), F.col("d.sample_rate").alias("sample_rate"))
+    return rounded(frames.pcm_stats(pcm).join(facts, "clip"), peak=6, rms=6, silent_fraction=6)
 
 
 @query
@@ -643,8 +651,3 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["flagship"] = flagship
-
-
-def searched(spark: SparkSession, bodies: list[dict]) -> DataFrame:
-    """Search responses as a table (key, body), for trying ``catalog.responses``."""
-    return spark.createDataFrame([(str(i), json.dumps(b)) for i, b in enumerate(bodies)], "key string, body string")
