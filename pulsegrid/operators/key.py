@@ -66,6 +66,23 @@ def probabilities(bands: DataFrame) -> DataFrame:
     return e.select("clip", "tonic", "minor", (F.col("e") / F.sum("e").over(over("clip"))).alias("score"))
 
 
+def slopes(bands: DataFrame, keys: DataFrame, l2: float = 1e-2) -> DataFrame:
+    """(minor, band, degree, slope, loss) of (clip, band, pc, e) and (clip, tonic, minor): how the fitted loss changes with each learned weight.
+
+    The loss is the mean cross entropy of ``probabilities`` with half of ``l2`` times the
+    squared weights.  Each band energy counts for the weight of its degree above each of
+    the 24 keys, by what the key's share exceeds the truth.
+    """
+    n = keys.count()
+    shares = probabilities(bands).join(keys.select("clip", F.col("tonic").alias("_tonic"), F.col("minor").alias("_minor")), "clip")
+    over_ = shares.withColumn("right", (F.col("tonic") == F.col("_tonic")) & (F.col("minor") == F.col("_minor")))
+    over_ = over_.select("clip", "tonic", "minor", (F.col("score") - F.col("right").cast("double")).alias("over"), F.when(F.col("right"), -F.ln("score")).alias("lost"))
+    weights = F.broadcast(band_weights(bands.sparkSession))  # 120 rows
+    each = turned(bands).join(over_.drop("lost"), ["clip", "tonic"]).groupBy("minor", "band", "degree").agg((F.sum(F.col("over") * F.col("e")) / n).alias("slope"))
+    loss = (over_.agg(F.sum("lost")).first()[0] or 0.0) / max(n, 1) + l2 / 2 * float(sum(w * w for mode in k.BAND_WEIGHTS for band in mode for w in band))  # one number
+    return each.join(weights, ["minor", "band", "degree"]).select("minor", "band", "degree", (F.col("slope") + l2 * F.col("w")).alias("slope"), F.lit(loss).alias("loss"))
+
+
 def ranked(scores: DataFrame) -> DataFrame:
     order = Window.partitionBy("clip").orderBy(F.desc("score"), "tonic", "minor")
     return scores.withColumn("rank", F.row_number().over(order))

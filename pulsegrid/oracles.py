@@ -157,6 +157,7 @@ sql("chromagram", f"{MEL}, {CHROMA}", "SELECT clip, pc, round(e, 6) AS e FROM ch
 sql("chroma_gates", f"{TWELVE}, {GATES}", f"SELECT clip, round(salience, 6) AS salience, round(tpc, 6) AS tonal_pitch_classes, round({unit('(salience - 0.02) / 0.08')}, 6) AS structure, round({unit('(tpc - 3.5) / 2.0')}, 6) AS coverage FROM gt")
 sql("key_correlation", f"{TWELVE}, {EDM}, {GATES}, {KEYED}, rk AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY score DESC, tonic, minor) AS r FROM co)", f"SELECT a.clip, {KEYNAME('a.tonic', 'a.minor')} AS key, {CAMELOT('a.tonic', 'a.minor')} AS camelot, round(a.score, 6) AS correlation, round(b.score, 6) AS runner_up, round({unit('(a.score - 0.45) / 0.40')} * (1 - exp(-((a.score - b.score) / a.score) / 0.10)) * {unit('(salience - 0.02) / 0.08')} * {unit('(tpc - 3.5) / 2.0')}, 3) AS confidence FROM rk a JOIN rk b ON a.clip = b.clip AND a.r = 1 AND b.r = 2 JOIN gt ON gt.clip = a.clip WHERE a.score > 0")
 sql("key_softmax", f"ba AS (SELECT vec_id AS clip, unnest(range(60)) AS i, abs(unnest(embedding[1:60])::DOUBLE) AS e FROM embeddings), {LEARNED}, z AS (SELECT clip, tonic, minor, sum(w * e) + CASE WHEN minor THEN {k.MODE_BIAS[1]} ELSE {k.MODE_BIAS[0]} END AS z FROM ba, (SELECT unnest(range(12)) AS tonic) t JOIN bw ON bw.band = i // 12 AND bw.degree = (i % 12 - tonic + 12) % 12 GROUP BY clip, tonic, minor)", "SELECT clip, tonic::INT AS tonic, minor, round(exp(z - mx) / sum(exp(z - mx)) OVER (PARTITION BY clip), 6) AS score FROM (SELECT *, max(z) OVER (PARTITION BY clip) AS mx FROM z)")
+sql("key_slopes", f"ba AS (SELECT vec_id AS clip, unnest(range(60)) AS i, abs(unnest(embedding[1:60])::DOUBLE) AS e FROM embeddings), {LEARNED}, z AS (SELECT clip, tonic, minor, sum(w * e) + CASE WHEN minor THEN {k.MODE_BIAS[1]} ELSE {k.MODE_BIAS[0]} END AS z FROM ba, (SELECT unnest(range(12)) AS tonic) t JOIN bw ON bw.band = i // 12 AND bw.degree = (i % 12 - tonic + 12) % 12 GROUP BY clip, tonic, minor), sh AS (SELECT clip, tonic, minor, exp(z - mx) / sum(exp(z - mx)) OVER (PARTITION BY clip) AS share FROM (SELECT *, max(z) OVER (PARTITION BY clip) AS mx FROM z)), ov AS (SELECT clip, tonic, minor, share, (tonic = clip % 12 AND minor = (clip % 2 = 0)) AS hit FROM sh), gr AS (SELECT ov.minor, ba.i // 12 AS band, (ba.i % 12 - ov.tonic + 12) % 12 AS degree, sum((share - hit::INT) * e) AS g FROM ov JOIN ba ON ba.clip = ov.clip GROUP BY ALL)", "SELECT g.minor, g.band::INT AS band, g.degree::INT AS degree, round(g.g / (SELECT count(*) FROM embeddings) + 0.01 * w, 6) AS slope, round((SELECT -sum(ln(share)) / count(*) FROM ov WHERE hit) + (SELECT 0.005 * sum(w * w) FROM bw), 6) AS loss FROM gr g JOIN bw ON bw.minor = g.minor AND bw.band = g.band AND bw.degree = g.degree")
 UP = "((b - a + 12) % 12)"
 sql("key_labels", "", f"SELECT a::BIGINT AS tonic, am AS minor, b::BIGINT AS other, bm AS other_minor, {KEYNAME('a', 'am')} AS key, {CAMELOT('b', 'bm')} AS camelot, CASE WHEN am <> bm THEN CASE WHEN NOT am AND {UP} = 9 THEN 'relative_minor' WHEN am AND {UP} = 3 THEN 'relative_major' WHEN {UP} = 0 THEN 'parallel' ELSE 'other' END WHEN {UP} = 7 THEN 'dominant' WHEN {UP} = 5 THEN 'subdominant' ELSE 'other' END AS relation FROM (SELECT n_nationkey % 12 AS a, n_nationkey >= 12 AS am FROM nation WHERE n_nationkey < 24), (SELECT n_nationkey % 12 AS b, n_nationkey >= 12 AS bm FROM nation WHERE n_nationkey < 24)")
 sql("stft_dft", "fr AS (SELECT vec_id AS clip, unnest(range(7)) AS t, embedding AS x FROM embeddings), sa AS (SELECT clip, t, unnest(range(16)) AS i, unnest(x[t * 8 + 1 : t * 8 + 16])::DOUBLE AS x FROM fr), wi AS (SELECT *, x * (0.5 - 0.5 * cos(2 * pi() * i / 16)) AS w FROM sa)", "SELECT clip, t, b, round(sqrt(pow(sum(w * cos(2 * pi() * i * b / 16)), 2) + pow(sum(w * sin(2 * pi() * i * b / 16)), 2)), 6) AS mag FROM wi, (SELECT unnest(range(9)) AS b) GROUP BY clip, t, b")

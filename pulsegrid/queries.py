@@ -632,6 +632,16 @@ def middle_slice(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", frames.middle(F.col("embedding"), rate, 8.0).alias("x")).select("vec_id", F.size("x").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 5).alias("total"))
 
 
+@query
+def key_slopes(spark, sf_dir):
+    """Loss and its slopes at the learned weights, over vectors as bands of keys that their numbers name."""
+    n = F.col("vec_id")
+    bands = vectors(spark, sf_dir).select("clip", F.posexplode(F.slice("x", 1, 60)).alias("i", "e"))
+    bands = bands.select("clip", F.floor(F.col("i") / 12).cast("int").alias("band"), (F.col("i") % 12).alias("pc"), "e")
+    keys = table(spark, sf_dir, "embeddings").select(n.alias("clip"), (n % 12).cast("int").alias("tonic"), (n % 2 == 0).alias("minor"))
+    return rounded(key.slopes(bands, keys), slope=6, loss=6)
+
+
 @query
 def key_fit(spark, sf_dir):
     """The learned scorer fitted on vectors as bands: loss over all of them, and how many it gets right."""

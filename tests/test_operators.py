@@ -255,3 +255,26 @@ def test_key_metrics(spark):
 def test_middle_and_counter(spark):
     got = spark.createDataFrame([(list(map(float, range(40))), 1)], "s array<double>, r int").select(frames.middle(F.col("s"), F.col("r"), 30.0)).first()[0]
     assert got == list(map(float, range(5, 35))) and Counter(got).most_common(1)[0][1] == 1
+
+
+def test_slopes_are_the_losses(spark):
+    """Slopes against differences of the loss, of which the pinned weights are moved one at a time."""
+    from pulsegrid.operators import key as keys
+
+    rng = np.random.default_rng(8)
+    x = rng.random((30, 5, 12))
+    truth = [(i, int(rng.integers(12)), bool(rng.integers(2))) for i in range(30)]
+    bands = spark.createDataFrame([(i, b, p, float(x[i, b, p])) for i in range(30) for b in range(5) for p in range(12)], "clip int, band int, pc int, e double")
+    got = {(r.minor, r.band, r.degree): r for r in keys.slopes(bands, spark.createDataFrame(truth, "clip int, tonic int, minor boolean")).collect()}
+
+    def loss(w):
+        z = np.stack([(w[None] * np.roll(x, -t, 2)[:, None]).sum((2, 3)) + np.array(k.MODE_BIAS) for t in range(12)], 1)
+        right = z[np.arange(30), [t for _, t, _ in truth], [int(m) for *_, m in truth]]
+        return (np.log(np.exp(z).sum((1, 2))) - right).mean() + 0.005 * (w**2).sum()
+
+    w = np.array(k.BAND_WEIGHTS)
+    assert len(got) == 120 and abs(got[False, 0, 0].loss - loss(w)) < 1e-9
+    for minor, band, degree in [(False, 0, 0), (True, 4, 11), (True, 2, 7), (False, 3, 5)]:
+        step = np.zeros_like(w)
+        step[int(minor), band, degree] = 1e-5
+        assert abs((loss(w + step) - loss(w - step)) / 2e-5 - got[minor, band, degree].slope) < 1e-6
