@@ -127,10 +127,9 @@ def decode_audio():
 
 
 def register(spark: SparkSession) -> None:
-    """Make the functions known to ``spark.sql``."""
+    """Make the functions known to ``spark.sql``; no setting is changed (Spark bounds batches of clips by bytes)."""
     spark.udf.register("analyze_pcm", analyze_pcm())
     spark.udf.register("analyze_audio", analyze_audio())
     spark.udf.register("decode_audio", decode_audio())
     spark.udtf.register("spectrogram", F.udtf(Spectrogram, returnType="frame int, magnitudes array<double>"))
     spark.udtf.register("tempo_candidates", F.udtf(TempoCandidates, returnType="place int, bpm double"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")

@@ -215,7 +215,9 @@ def test_wav_layouts(bits):
 
 
 def test_sql_functions(spark):
+    before = dict(spark.conf.getAll)
     sql.register(spark)
+    assert dict(spark.conf.getAll) == before
     x = synth.chords(0, False, 4).tolist()
     spark.createDataFrame([(x, 44100), ([], 44100)], "samples array<float>, rate int").createOrReplaceTempView("clips")
     got = [r.f for r in spark.sql("SELECT analyze_pcm(samples, rate) AS f FROM clips").collect()]
