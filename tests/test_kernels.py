@@ -1,9 +1,12 @@
 """Keys and tempos of synthetic signals, against pinned results and the known truth."""
 
+import random
+
 import numpy as np
 import pytest
 
 from pulsegrid import constants as k
+from pulsegrid import queries
 from pulsegrid.functions import synth
 from pulsegrid.operators import frames, kernels, key, tempo
 
@@ -123,3 +126,29 @@ def test_grid_taps_list_the_kernels_bins(rate):
     assert set(by_place) == set(range(k.GRID_BINS))
     for own in by_place.values():
         assert all(0 <= b <= n // 2 for b, _ in own) and (own[0][1] is None or abs(sum(w for _, w in own) - 1) < 1e-9 or own == [(0, 0.0)])
+
+
+def test_windows_of_pieces_are_those_of_the_clip(spark):
+    rng = random.Random(3)
+    whole, pieces = {}, []
+    for clip in (0, 1, None):
+        held = [[rng.random() for _ in range(rng.choice((0, 1, 3, 7, 40)))] for _ in range(60)]
+        whole[clip] = [x for h in held for x in h]
+        pieces += [(clip, 5 * i - 100, h) for i, h in enumerate(held)]
+    pieces += [(4, 0, None), (4, 1, [0.5] * 15), (5, 0, [])]
+    rng.shuffle(pieces)
+    table = spark.createDataFrame(pieces, "clip int, place long, xs array<double>").repartition(7)
+    for n, hop in ((16, 16), (16, 5), (8, 11)):
+        want = {(c, i, tuple(xs[i * hop : i * hop + n])) for c, xs in [*whole.items(), (4, [0.5] * 15)] for i in range(len(xs)) if i * hop + n <= len(xs)}
+        got = [(r.clip, r.t, tuple(r.xs)) for r in frames.framed_pieces(table, n, hop).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_stft_of_a_clip_with_a_missing_vector(spark, tmp_path):
+    rng = random.Random(4)
+    held = [(i, None if i == 5 else [rng.random() for _ in range(64)], 1) for i in range(36)]
+    spark.createDataFrame(held, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries.QUERIES["stft_fft"](spark, str(tmp_path)).orderBy("t", "b").collect()
+    x = np.array([v for _, h, _ in held if h for v in h], np.float32).astype(float)
+    want = np.concatenate(list(kernels.magnitudes(x, 1024, 1024)))
+    assert np.allclose([r.mag for r in got], want.ravel(), atol=1e-4) and [r.t for r in got] == [0] * 513 + [1] * 513
