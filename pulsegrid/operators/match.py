@@ -127,6 +127,25 @@ def pick_best(pairs: DataFrame, key: str = "query_id") -> DataFrame:
     return best.withColumn("match_score", F.round("score", 3)).withColumn("uncertain", F.col("score") < k.MATCH_SURE)
 
 
+#: Keys of one row of ``bundled``: a pair of such rows is read and scored once, and stands for the square of this in pairs at most.
+BUNDLE = 256
+
+
+def bundled(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` that are equal but for ``key`` as one row, numbered by ``part``, for each BUNDLE of their keys: ``held``, an array."""
+    rest = [c for c in rows.columns if c != key]
+    place = F.row_number().over(Window.partitionBy(*rest).orderBy(key)) - 1
+    parts = rows.withColumn("part", F.floor(place / BUNDLE)).groupBy(*rest, "part")
+    return parts.agg(F.collect_list(F.struct(key)).alias("held"))  # structures, as lists of plain keys leave nulls out
+
+
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` in as many partitions as a shuffle has, few bytes though they be: what a join makes of them is large."""
+    session = rows.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, *by)
+
+
 #: A word's weight is this by the number of entries that have it, in whole numbers: sums are the same in any order.
 UNIT = 1 << 40
 

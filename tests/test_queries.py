@@ -44,3 +44,24 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["match_scores"])
+def test_copies_are_scored_once(spark, tmp_path, monkeypatch, name):
+    """Many parts of few kinds, some without a name, some ids twice: the SQL's rows, from no more scores than pairs of kinds."""
+    from pulsegrid.operators import match
+
+    kinds = [("hot bolt", "Brand#1", "LARGE", 1), ("hot bolt", "Brand#1", "ECONOMY", 1), ("old  plate", "Brand#1", "SMALL", 1), (None, "Brand#1", "SMALL", 1), ("hot", "Brand#1", "SMALL", 2)]
+    rows = [(i, *kinds[i // 84 % 5]) for i in range(840)] + [(3, *kinds[0]), (3, *kinds[2])]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(match, "BUNDLE", 7, raising=False)
+    met, plain_scored, plain_bundled = [], match.scored, getattr(match, "bundled", None)
+    monkeypatch.setattr(match, "scored", lambda pairs: met.append(pairs.count()) or plain_scored(pairs))
+    monkeypatch.setattr(match, "bundled", lambda r, key: met.append(plain_bundled(r, key).count()) or plain_bundled(r, key), raising=False)
+    got = queries.QUERIES[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    picked = ", ".join(sorted(got.columns))
+    want = Counter(tuple(map(plain, r)) for r in con.execute(f"SELECT {picked} FROM ({oracles.SQL[name]})").fetchall())
+    rows = Counter(tuple(plain(r[c]) for c in sorted(got.columns)) for r in got.collect())
+    assert rows == want and met and max(met) < 10_000  # pairs of parts are some 140,000
