@@ -46,7 +46,7 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["match_scores", "pick_best"])
+@pytest.mark.parametrize("name", ["match_scores", "pick_best", "similarity_pairs"])
 def test_copies_are_scored_once(spark, tmp_path, monkeypatch, name):
     """Many parts of few kinds, some without a name, some ids twice: the SQL's rows, from no more scores than pairs of kinds."""
     from pulsegrid.operators import match
