@@ -156,13 +156,19 @@ def told(rows: DataFrame, kind: Column) -> DataFrame:
     return rows.select("line_no", analysis(F.col("query"), F.col("track"), features, F.col("audio"), F.col("cached"), error).alias("analysis"))
 
 
+def joined(rows: DataFrame, other: DataFrame, key: Column, other_key: Column, none: Column) -> DataFrame:
+    """Left join by ``key``; rows without one, which meet nothing, are dealt by ``none`` instead of all to one task."""
+    return rows.join(other, (F.coalesce(key, none) == other_key) & key.isNotNull(), "left")
+
+
 def run(request_lines: DataFrame, catalog: DataFrame | web.Service, files: Files, results: Kept = None, options: Options = Options(), resolutions: Kept = None) -> DataFrame:
     """(line_no, analysis) of (line_no, line); ``results`` and ``resolutions`` are the caches' tables."""
     parsed, found, known = prepared(request_lines, catalog, results, options, resolutions, not isinstance(catalog, DataFrame) or files is None or callable(results))
     fresh = analyzed(known.where("hit IS NULL").select("track_id", "preview_url"), files, options)
     have = known.where("hit IS NOT NULL").select("track_id", F.col("hit.audio").alias("audio"), F.col("hit.features").alias("features"), F.lit(None).cast("string").alias("failed"), F.lit(None).cast("string").alias("why"), F.lit(True).alias("cached"))
     all_ = fresh.withColumn("cached", F.lit(False)).unionByName(have)
-    rows = parsed.join(found.withColumnRenamed("error", "unresolved"), "line_no", "left").join(all_, F.col("track.track_id") == F.col("track_id"), "left")
+    rows = parsed.join(found.withColumnRenamed("error", "unresolved"), "line_no", "left")
+    rows = joined(rows, all_, F.col("track.track_id"), F.col("track_id"), F.xxhash64("line_no"))
     return told(rows, F.coalesce("unresolved", "failed"))
 
 
@@ -172,12 +178,13 @@ def run_late(request_lines: DataFrame, catalog: DataFrame | web.Service, files:
     The lines of one track share a task, which analyses it once.
     """
     parsed, found, known = prepared(request_lines, catalog, results, options, resolutions, True)
-    rows = parsed.join(found.withColumnRenamed("error", "unresolved"), "line_no", "left").join(known.select("track_id", "hit"), F.col("track.track_id") == F.col("track_id"), "left")
+    rows = parsed.join(found.withColumnRenamed("error", "unresolved"), "line_no", "left")
+    rows = joined(rows, known.select("track_id", "hit"), F.col("track.track_id"), F.col("track_id"), F.xxhash64("line_no"))
     rows = rows.withColumn("url", F.when(F.col("hit").isNull() & F.col("unresolved").isNull(), F.col("track.preview_url")))
     if files is None:
         named, there = rows.withColumn("length", F.lit(None).cast("long")), F.col("url").isNotNull()
     else:
-        named, there = rows.join(files.names(rows.sparkSession).withColumnRenamed("path", "_path"), F.col("url") == F.col("_path"), "left"), F.col("length").isNotNull()
+        named, there = joined(rows, files.names(rows.sparkSession).withColumnRenamed("path", "_path"), F.col("url"), F.col("_path"), F.xxhash64("line_no").cast("string")), F.col("length").isNotNull()
     dealt = named.repartition(tasks, F.coalesce(F.col("track_id"), F.xxhash64("line_no"))).sortWithinPartitions("url")
     got = analyze_files(fetch if files is None else files.get)(F.when(there, F.col("url")), F.col("length").cast("double"), F.lit(options.key_profile), F.lit(options.explain_key_scoring))
     done = dealt.withColumn("there", there).withColumn("got", got)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions.expr import input_error
 from ..schema import ERROR, QUERY
 
@@ -13,17 +14,23 @@ from ..schema import ERROR, QUERY
 ORIGIN = ["value AS line", "_metadata.file_modification_time AS at", "_metadata.file_path AS file", "_metadata.file_block_start AS start"]
 #: Lines of a split.
 WIDE = 1 << 33
+#: Up to so many splits their numbers go to every task; beyond, lines are shuffled by split.
+BROADCAST_SPLITS = 100_000
 
 
 def numbered(rows: DataFrame, *by: str) -> DataFrame:
     """(line_no, line) of ``rows`` with ORIGIN: numbers rise with ``by`` (file, if none), and with the place in a file.
 
     Spark packs splits into partitions by size, so a row's number in its partition orders
-    only the rows of one split.  Splits are numbered by file and start, a row each.
+    only the rows of one split.  Splits are numbered by file and start, a row each; lines
+    stay where they are read, as tasks that get them by split have few and large keys.
     """
     order = [*(by or ("file",)), "file", "start"]
     place = F.row_number().over(Window.orderBy(*dict.fromkeys(order)))
     splits = rows.select("at", "file", "start").distinct().withColumn("split", place - 1).select("file", "start", "split")
+    splits = scratch.written(splits, "splits")
+    if scratch.at_most(splits, BROADCAST_SPLITS):
+        splits = F.broadcast(splits)
     here = F.monotonically_increasing_id() % WIDE
     return rows.withColumn("here", here).join(splits, ["file", "start"]).select((F.col("split") * WIDE + F.col("here")).alias("line_no"), "line")
 

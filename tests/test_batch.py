@@ -3,8 +3,10 @@
 import datetime
 import json
 import time
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from pulsegrid.functions import sql, synth
 from pulsegrid.operators import cache
@@ -266,3 +268,24 @@ def test_parsed_stream_numbers_equal_lines(spark, tmp_path):
     stream.parsed_stream(spark, str(inbox)).writeStream.format("memory").queryName("parsed").trigger(availableNow=True).start().awaitTermination()
     rows = spark.sql("SELECT line_no, query.track_id AS id FROM parsed ORDER BY line_no").collect()
     assert [r.id for r in rows] == [1, 1, 2] and len({r.line_no for r in rows}) == 3
+
+
+def test_lines_stay_in_their_splits(spark, tmp_path):
+    """Lines are numbered without a shuffle, by which a task would get whole splits."""
+    (tmp_path / "in").mkdir()
+    for name in "ab":
+        (tmp_path / "in" / name).write_text("".join(f"{name}{i}\n" for i in range(500)))
+    got = lines.read(spark, str(tmp_path / "in"))
+    assert [r.line for r in got.orderBy("line_no").collect()] == [f"{n}{i}" for n in "ab" for i in range(500)]
+    assert "hashpartitioning(file" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_requests_without_a_track_are_spread(spark):
+    """A join by track deals requests that have none over the partitions."""
+    rows = spark.range(2000).selectExpr("id AS line_no", "IF(id % 100 = 0, id, NULL) AS track_id")
+    other = spark.range(0, 2000, 200).selectExpr("id AS other_id", "'met' AS said")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = batch.joined(rows, other.hint("merge"), F.col("track_id"), F.col("other_id"), F.xxhash64("line_no")).withColumn("part", F.spark_partition_id()).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == 2000 and {r.line_no for r in got if r.said} == set(range(0, 2000, 200))
+    assert max(Counter(r.part for r in got).values()) < 1000
