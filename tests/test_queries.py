@@ -65,3 +65,13 @@ def test_copies_are_scored_once(spark, tmp_path, monkeypatch, name):
     want = Counter(tuple(map(plain, r)) for r in con.execute(f"SELECT {picked} FROM ({oracles.SQL[name]})").fetchall())
     rows = Counter(tuple(plain(r[c]) for c in sorted(got.columns)) for r in got.collect())
     assert rows == want and met and max(met) < 10_000  # pairs of parts are some 140,000
+
+
+def test_every_signal_is_analysed(spark, tmp_path):
+    """Tempo and key of all self-test signals are in the result, also of those whose number no label has."""
+    from pulsegrid.functions.synth import SELFTEST
+
+    spark.createDataFrame([(0, [0.5] * 64, 3), (1, [-0.25] * 64, 12)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.clip: r for r in queries.QUERIES["wav_decode_analyze"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == [*range(len(SELFTEST)), 12] and got[12].n == got[3].n == 64 and got[12].bpm is None
+    assert all(got[i].bpm == bpm and got[i].expected_key == name and got[i].key_right and got[i].signal_secs == 30 for i, (bpm, _, _, name, *_) in enumerate(SELFTEST))
