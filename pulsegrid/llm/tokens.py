@@ -187,7 +187,7 @@ def held(kind: Callable, *args):
     return tk.KEPT[key]
 
 
-def runs(column: pa.Array, size: int = 1 << 21) -> Iterator[tuple[int, int, list[str | None]]]:
+def runs(column: pa.Array, size: int = 1 << 19) -> Iterator[tuple[int, int, list[str | None]]]:
     """(first row, row after the last, texts) of about ``size`` bytes each."""
     _, at = tk.buffers(column)
     first = 0

@@ -36,6 +36,8 @@ ORDERS = (3, 4, 5)
 SAMPLE = {1: 1600, 0: 3200}
 #: At most so many bytes of text of each class, of the rows that come first.
 SAMPLE_BYTES = 1 << 26
+#: Bytes of text whose features are found at once; these take many times as much.
+BLOCK_BYTES = 1 << 18
 EPOCHS = 6
 SCALE = 100.0
 #: The highest bias, so the log odds of a text without known features.
@@ -158,7 +160,7 @@ def _shift(z: np.ndarray, labels: np.ndarray, prior: float) -> float:
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tk.forget()
     for batch in batches:
-        for first, after, data, at in tk.blocks(batch.column("text")):
+        for first, after, data, at in tk.blocks(batch.column("text"), BLOCK_BYTES):
             bucket, owner, weight = features(data, at)
             key, inverse = np.unique(owner.astype(np.int64) * BUCKETS + bucket, return_inverse=True)
             text, bucket = key // BUCKETS, (key % BUCKETS).astype(np.int32)
@@ -220,7 +222,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, text_col: str
             out = np.zeros(batch.num_rows)
             if known is not None:
                 weight, bias = known
-                for first, after, data, at in tk.blocks(batch.column(text_col), 1 << 19):
+                for first, after, data, at in tk.blocks(batch.column(text_col), BLOCK_BYTES):
                     bucket, owner, heavy = features(data, at)
                     total = np.bincount(owner, heavy, after - first)
                     z = np.bincount(owner, weight[bucket] * heavy, after - first) / np.maximum(total, 1) + bias

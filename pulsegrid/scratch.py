@@ -15,14 +15,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 #: Bytes of rows that go to a Python worker at once: rows are whole texts, and a worker and its JVM hold some such batches each.
-BATCH_BYTES = 1 << 23
+BATCH_BYTES = 1 << 21
+#: Rows that a reader of Parquet decodes at once, into arrays of the JVM that hold all their texts.
+READ_ROWS = 512
 
 
 def lean(spark: SparkSession) -> None:
-    """Bounds the session's Arrow batches by BATCH_BYTES, unless they are smaller."""
+    """Bounds the session's Arrow batches by BATCH_BYTES and what is read at once by READ_ROWS, unless they are smaller."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    if int(spark.conf.get(name)) > READ_ROWS:
+        spark.conf.set(name, str(READ_ROWS))
 
 
 def folder(spark: SparkSession) -> str:

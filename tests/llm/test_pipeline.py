@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pulsegrid.llm import packing, scratch, tokens
@@ -120,3 +121,16 @@ def test_nulls_ties_repeats_and_clashing_columns(spark, small):
     assert {(r.doc_id or 0) for r in packed.collect()} == {i for i, _ in left}
     one = [r for r in packed.collect() if r.doc_id == 7]
     assert len(one) == 1 and one[0].ids_crc32 == packing.crc32(packing.unpack(bytes(one[0].ids)))
+
+
+def test_batches_of_texts_are_small(spark, small, tmp_path):
+    """What a worker and its JVM hold at once of a table of whole texts, and what is encoded of it at once."""
+    at = f"file:{tmp_path}/documents.parquet"
+    spark.range(0, 4000, 1, 1).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 400) AS text").write.parquet(at)
+    scratch.lean(spark)
+    sizes = spark.read.parquet(at).coalesce(1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]}) for b in batches), "n long, size long").collect()
+    assert sum(r.n for r in sizes) == 4000 and max(r.size for r in sizes) < 3 << 20
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 512
+    texts = ["word " * 800] * 1000
+    parts = [*tokens.runs(pa.array(texts))]
+    assert [t for *_, x in parts for t in x] == texts and max(sum(map(len, x)) for *_, x in parts) <= 1 << 19
